@@ -493,14 +493,14 @@ def payment_scope(tables: Tables, date: datetime.date) -> PaymentScope:
         return PaymentScope(headers, sale_orders.result(), lines, line_ids, prices.result())
 
 
-def pnl_main(tables: Tables, date: datetime.date) -> DataFrame:
-    """All sums joined to the contracts of a payment date.
+def pnl_core(scope: PaymentScope, tables: Tables, date: datetime.date) -> DataFrame:
+    """One row per contract of a payment date with its main columns, terms left out.
 
-    The joins on the contract id come first, between sides unique on it; the
-    opportunity join and the fan-out over terms, whose keys may repeat without
-    bound, follow with a shuffle of their own so that they can be split.
+    The joins on the contract id come first, between sides unique on it. The
+    opportunity join, and the fan-out over terms a caller may add, have keys
+    that repeat without bound; each follows a shuffle of its own and can be
+    split.
     """
-    scope = payment_scope(tables, date)
     so_amounts = sale_order_amounts(
         tables["sale_order_line"], scope.sale_orders.hinted(), scope.prices
     )
@@ -510,9 +510,16 @@ def pnl_main(tables: Tables, date: datetime.date) -> DataFrame:
         .join(so_amounts, "id", "left")
     )
     per_opportunity = opportunity_amounts(tables, scope.lines, scope.prices, scope.line_ids)
-    core = lookup_join(per_contract, per_opportunity, ["opportunity_id"], F.col("id"))
+    return with_main_columns(
+        lookup_join(per_contract, per_opportunity, ["opportunity_id"], F.col("id"))
+    )
+
+
+def pnl_main(tables: Tables, date: datetime.date) -> DataFrame:
+    """The core repeated for each terms row of its contract."""
+    scope = payment_scope(tables, date)
     terms = contract_terms(tables["approval_approval_contract"], scope.ids)
-    return with_main_columns(core.join(terms, "id"))
+    return pnl_core(scope, tables, date).join(terms, "id")
 
 
 def contract_pnl(tables: Tables, date: datetime.date) -> DataFrame:

@@ -362,21 +362,22 @@ class MappedTables(Mapping[str, DataFrame]):
     """The mapped tables of one source folder, written on first use."""
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
-        self._spark = spark
+        self.spark = spark
         self._folder = folder.rstrip("/")
         digest = hashlib.sha256(self._folder.encode()).hexdigest()[:16]
         self.root = f"{scratch_dir(spark)}/{digest}"
         self._frames: dict[str, DataFrame] = {}
+        self._written: set[str] = set()
 
     def source(self, name: str) -> DataFrame:
-        return self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+        return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
 
     def stored(self, name: str, write: Callable[[str], None]) -> str:
-        """Path of a table derived from these, written on first use."""
+        """Path of something derived from these tables, written on first use."""
         path = f"{self.root}/{name}"
-        if name not in self._frames:
+        if name not in self._written:
             write(path)
-            self._frames[name] = self._spark.read.parquet(path)
+            self._written.add(name)
         return path
 
     def __getitem__(self, name: str) -> DataFrame:
@@ -388,7 +389,7 @@ class MappedTables(Mapping[str, DataFrame]):
                     *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ALL[name].fields]
                 )
             rows.write.mode("overwrite").parquet(path)
-            reader = self._spark.read
+            reader = self.spark.read
             self._frames[name] = (reader.schema(ALL[name]) if name in ALL else reader).parquet(path)
         return self._frames[name]
 
