@@ -50,13 +50,19 @@ def digits_only(text: Column) -> Column:
 
 
 def is_valid_ymd(digits: Column) -> Column:
-    """Eight digits naming a real calendar day of year 100 or later; never NULL."""
-    return F.coalesce(
-        digits.rlike(EIGHT_DIGITS)
-        & (F.substring(digits, 1, 4) >= "0100")
-        & F.try_to_date(digits, "yyyyMMdd").isNotNull(),
-        F.lit(False),
+    """Eight digits naming a real calendar day of year 100 or later; never NULL.
+
+    Worked out from the month's last day rather than by parsing, which raises
+    and catches an exception inside Spark for every text naming no day.
+    """
+    year, month, day = (
+        F.substring(digits, start, length).try_cast("int")
+        for start, length in ((1, 4), (5, 2), (7, 2))
     )
+    last = F.dayofmonth(F.last_day(F.make_date(year, month, F.lit(1))))
+    return F.when(
+        digits.rlike(EIGHT_DIGITS) & (year >= 100) & month.between(1, 12), day.between(1, last)
+    ).otherwise(F.lit(False))
 
 
 def format_ymd(digits: Column) -> Column:

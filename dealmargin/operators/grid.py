@@ -95,13 +95,17 @@ def grid_filter(rows: DataFrame, filters: Mapping[str, Filter]) -> DataFrame:
 
 
 def apply_sort(rows: DataFrame, order: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows by the given columns, each asc, desc or none; NULLs first ascending, last descending."""
+    """Rows by the given columns, each asc, desc or none; NULLs first ascending, last descending.
+
+    Ties follow a hash of the row, so that a value most rows share is still
+    sorted by several tasks.
+    """
     keys = [
         F.col(name).asc_nulls_first() if way == "asc" else F.col(name).desc_nulls_last()
         for name, way in order
         if way != "none"
     ]
-    return rows.orderBy(*keys) if keys else rows
+    return rows.orderBy(*keys, F.xxhash64(*rows.columns)) if keys else rows
 
 
 def totals_row(rows: DataFrame, sums: Sequence[str], label: str, text: str) -> DataFrame:

@@ -44,20 +44,31 @@ def settle(rows: DataFrame) -> Settled:
     return Settled(kept, seen.get["n"])
 
 
-def lookup_join(left: DataFrame, lookup: DataFrame, keys: list[str], row_id: Column) -> DataFrame:
-    """Left join to a lookup unique on keys, of which the last may be NULL or hot on the left.
-
-    NULL keys match nothing, yet plain hashing would send them all to one task,
-    so they are spread by row_id through a further join column. That column also
-    keeps the lookup from reusing the shuffle it was aggregated by, which leaves
-    a plain shuffle on either side: the shape the adaptive skew join can split
-    when one key holds much of the left side.
+def spread_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: list[str],
+    how: str,
+    row_id: Column | None = None,
+) -> DataFrame:
+    """Join whose left side may hold very many rows of one key, or of none.
+
+    A key found on much of the left side is split by the adaptive skew join,
+    but only where either side comes straight from a shuffle made for this
+    join. A side aggregated, joined or united by the same key reuses that
+    earlier shuffle and rules the split out. A further join column, equal on
+    both sides, takes the earlier shuffle out of the question.
+
+    With row_id, left rows whose last key is NULL are spread over the tasks by
+    it. They match nothing, yet hashing would send all of them to one.
     """
-    empty = F.col(keys[-1]).isNull()
-    left_spread = F.when(empty, F.pmod(F.xxhash64(row_id), F.lit(_SPREAD))).otherwise(0)
-    right_spread = F.when(empty, F.lit(1).cast("long")).otherwise(0)
+    last = F.col(keys[-1])
+    zero = F.xxhash64(last).bitwiseAND(F.lit(0))  # not a literal, which would be folded away
+    spread = zero
+    if row_id is not None:
+        spread = F.when(last.isNull(), F.pmod(F.xxhash64(row_id), F.lit(_SPREAD))).otherwise(zero)
     return (
-        left.withColumn("_spread", left_spread)
-        .join(lookup.withColumn("_spread", right_spread), [*keys, "_spread"], "left")
+        left.withColumn("_spread", spread)
+        .join(right.withColumn("_spread", zero), [*keys, "_spread"], how)
         .drop("_spread")
     )

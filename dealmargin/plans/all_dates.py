@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealmargin.functions import rules
-from dealmargin.operators.joins import lookup_join
+from dealmargin.operators.joins import spread_join
 from dealmargin.plans import contract_pnl as one
 from dealmargin.plans.contract_pnl import Tables
 from dealmargin.sources.schemas import RATE
@@ -65,9 +65,10 @@ def amounts_by_date(tables: Tables, prices: one.Settled, dated: DataFrame) -> Da
         .agg(*[F.sum(amount).alias(amount) for amount in one.LINE_TOTALS])
     )
     order_side = dated.withColumnRenamed("opportunity_id", "order_opportunity_id")
+    candidates = dated.join(pairs, "opportunity_id")
+    keys = ["date_payment", "order_opportunity_id"]
     return (
-        dated.join(pairs, "opportunity_id")
-        .join(order_side, ["date_payment", "order_opportunity_id"], "left_semi")
+        spread_join(candidates, order_side, keys, "left_semi")
         .groupBy("date_payment", "opportunity_id")
         .agg(*one.rounded_totals())
     )
@@ -86,7 +87,8 @@ def dated_contracts(tables: Tables) -> DataFrame:
         .join(so_amounts, "id", "left")
     )
     amounts = amounts_by_date(tables, prices, opportunities_by_date(tables, headers))
-    core = lookup_join(per_contract, amounts, ["date_payment", "opportunity_id"], F.col("id"))
+    keys = ["date_payment", "opportunity_id"]
+    core = spread_join(per_contract, amounts, keys, "left", F.col("id"))
     return one.with_profit(one.with_main_columns(core))
 
 
@@ -94,7 +96,7 @@ def contract_pnl_all_dates(tables: Tables) -> DataFrame:
     """The rows of contract_pnl for every payment date, with that date in front."""
     contracts = tables["approval_approval"].select("id")
     terms = one.contract_terms(tables["approval_approval_contract"], contracts)
-    return dated_contracts(tables).join(terms, "id").select("date_payment", *one.PNL_COLUMNS)
+    return one.with_terms(dated_contracts(tables), terms).select("date_payment", *one.PNL_COLUMNS)
 
 
 _ADDITIVE = (

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealmargin.functions import rules
-from dealmargin.operators.joins import Settled, lookup_join, settle
+from dealmargin.operators.joins import Settled, settle, spread_join
 from dealmargin.operators.latest import latest_by
 from dealmargin.sources.schemas import AMOUNT, RATE
 
@@ -104,11 +104,8 @@ def contract_terms(terms: DataFrame, contracts: DataFrame) -> DataFrame:
             {"cost_thr": "con_construct", "cost_for": "con_fee"}[cost]
         )
 
-    own = (
-        terms.where(F.col("approval_id").isNotNull())
-        .withColumnRenamed("approval_id", "id")
-        .join(contracts, "id", "left_semi")
-    )
+    given = terms.where(F.col("approval_id").isNotNull()).withColumnRenamed("approval_id", "id")
+    own = spread_join(given, contracts, ["id"], "left_semi")
     none = contracts.join(own.select("id").distinct(), "id", "left_anti").select(
         "id",
         F.lit(None).cast(AMOUNT).alias("con_construct"),
@@ -121,7 +118,12 @@ def pnl_contracts(tables: Tables, date: datetime.date) -> DataFrame:
     """The contracts of a payment date, repeated once per terms row where they have several."""
     headers = date_headers(tables, date)
     terms = contract_terms(tables["approval_approval_contract"], headers.hinted("id"))
-    return headers.rows.join(terms, "id")
+    return with_terms(headers.rows, terms)
+
+
+def with_terms(contracts: DataFrame, terms: DataFrame) -> DataFrame:
+    """The contracts' rows repeated for each of their terms rows."""
+    return spread_join(terms, contracts, ["id"], "inner")
 
 
 def vat_exclusive(tables: Tables, date: datetime.date) -> DataFrame:
@@ -132,6 +134,7 @@ def vat_exclusive(tables: Tables, date: datetime.date) -> DataFrame:
 
 
 def _wanted(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
+    """Rows of the wanted ids. Rows are either unique on id or matched with a broadcast set."""
     return rows if ids is None else rows.join(ids, "id", "left_semi")
 
 
@@ -214,7 +217,7 @@ def priced(rows: DataFrame, prices: Settled) -> DataFrame:
     """The rows with the unit price of their product, NULL where there is none."""
     if prices.small:
         return rows.join(prices.hinted(), "product_id", "left")
-    return lookup_join(rows, prices.rows, ["product_id"], F.col("id"))
+    return spread_join(rows, prices.rows, ["product_id"], "left", F.col("id"))
 
 
 # --- deliveries --------------------------------------------------------------------
@@ -231,7 +234,7 @@ def delivery_orders(orders: DataFrame, opportunities: DataFrame | None = None) -
     ).select("id", "opportunity_id")
     if opportunities is None:
         return chosen
-    return chosen.join(opportunities, "opportunity_id", "left_semi").select("id", "opportunity_id")
+    return spread_join(chosen, opportunities, ["opportunity_id"], "left_semi")
 
 
 def latest_po_lines(purchase_lines: DataFrame, line_ids: DataFrame | None = None) -> DataFrame:
@@ -361,7 +364,8 @@ def contract_sale_orders(sale_orders: DataFrame, ids: DataFrame | None = None) -
     )
     if ids is None:
         return orders
-    return orders.join(ids.withColumnRenamed("id", "contract_id"), "contract_id", "left_semi")
+    wanted = ids.withColumnRenamed("id", "contract_id")
+    return spread_join(orders, wanted, ["contract_id"], "left_semi")
 
 
 def sale_order_amounts(sale_lines: DataFrame, orders: DataFrame, prices: Settled) -> DataFrame:
@@ -437,7 +441,8 @@ def with_profit(main: DataFrame) -> DataFrame:
 
 
 def pnl_order() -> list[Column]:
-    return [F.coalesce("team", F.lit("")).desc(), F.col("doc_id").asc_nulls_last()]
+    """By team downwards, then document; the id only settles ties."""
+    return [F.coalesce("team", F.lit("")).desc(), F.col("doc_id").asc_nulls_last(), F.col("id")]
 
 
 # --- the whole ---------------------------------------------------------------------
@@ -511,7 +516,7 @@ def pnl_core(scope: PaymentScope, tables: Tables, date: datetime.date) -> DataFr
     )
     per_opportunity = opportunity_amounts(tables, scope.lines, scope.prices, scope.line_ids)
     return with_main_columns(
-        lookup_join(per_contract, per_opportunity, ["opportunity_id"], F.col("id"))
+        spread_join(per_contract, per_opportunity, ["opportunity_id"], "left", F.col("id"))
     )
 
 
@@ -519,7 +524,7 @@ def pnl_main(tables: Tables, date: datetime.date) -> DataFrame:
     """The core repeated for each terms row of its contract."""
     scope = payment_scope(tables, date)
     terms = contract_terms(tables["approval_approval_contract"], scope.ids)
-    return pnl_core(scope, tables, date).join(terms, "id")
+    return with_terms(pnl_core(scope, tables, date), terms)
 
 
 def contract_pnl(tables: Tables, date: datetime.date) -> DataFrame:
