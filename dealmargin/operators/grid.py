@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, DecimalType, StringType
 
 
 class Condition(NamedTuple):
@@ -108,28 +109,29 @@ def apply_sort(rows: DataFrame, order: Sequence[tuple[str, str]]) -> DataFrame:
     return rows.orderBy(*keys, F.xxhash64(*rows.columns)) if keys else rows
 
 
+def _sum_type(kind: DataType) -> DataType:
+    """Sums of decimals keep ten more digits than the summed values."""
+    if isinstance(kind, DecimalType):
+        return DecimalType(min(38, kind.precision + 10), kind.scale)
+    return kind
+
+
 def totals_row(rows: DataFrame, sums: Sequence[str], label: str, text: str) -> DataFrame:
-    """One row of plain sums in the shape of rows, label in its label column.
+    """One row of plain sums in the shape of rows, with text in its label column.
 
     Other text columns are empty and everything else NULL. No rows sum to 0.
     """
     kinds = {f.name: f.dataType for f in rows.schema.fields}
+    total = rows.agg(*[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in sums])
 
     def cell(name: str) -> Column:
         if name in sums:
-            return F.coalesce(F.sum(name), F.lit(0)).cast(_sum_type(kinds[name]))
-        if kinds[name].typeName() == "string":
-            return F.max(F.lit(text if name == label else ""))
-        return F.max(F.lit(None).cast(kinds[name]))
+            return F.col(name).cast(_sum_type(kinds[name]))
+        if isinstance(kinds[name], StringType):
+            return F.lit(text if name == label else "")
+        return F.lit(None).cast(kinds[name])
 
-    return rows.agg(*[cell(name).alias(name) for name in rows.columns])
-
-
-def _sum_type(kind):
-    """Sums of decimals keep ten more digits than the summed values."""
-    if kind.typeName() != "decimal":
-        return kind
-    return type(kind)(min(38, kind.precision + 10), kind.scale)
+    return total.select(*[cell(name).alias(name) for name in rows.columns])
 
 
 def grid_totals(

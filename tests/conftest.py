@@ -5,7 +5,9 @@ import sys
 from decimal import Decimal
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
+from pyspark.sql.pandas.types import to_arrow_type
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
@@ -17,7 +19,11 @@ SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(4, "tests", **{"spark.ui.showConsoleProgress": "false"})
+    session = local_session(
+        4,
+        "tests",
+        **{"spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "2"},
+    )
     yield session
     session.stop()
 
@@ -85,28 +91,31 @@ GOLDEN_DATE = datetime.date(2026, 7, 10)
 
 def frame(spark, name, rows):
     """Rows as a table of the stated schema, whole numbers turned into decimals where needed."""
-    fields = ALL[name].fields
-    typed = [
-        tuple(
-            Decimal(str(value))
-            if value is not None and field.dataType.typeName() == "decimal"
-            else value
-            for field, value in zip(fields, row, strict=True)
+    schema = ALL[name]
+    columns = list(zip(*rows, strict=True)) or [()] * len(schema.fields)
+    arrays = [
+        pa.array(
+            [
+                Decimal(str(v)) if v is not None and kind.typeName() == "decimal" else v
+                for v in values
+            ],
+            type=to_arrow_type(kind),
         )
-        for row in rows
+        for kind, values in zip([f.dataType for f in schema.fields], columns, strict=True)
     ]
-    return spark.createDataFrame(typed, ALL[name])
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, names=schema.names), schema)
 
 
 @pytest.fixture(scope="session")
 def erp(spark):
     """Builds the golden tables with some of them replaced or extended."""
+    base = {name: frame(spark, name, rows) for name, rows in GOLDEN.items()}
 
     def build(replace=None, extend=None):
-        tables = {**GOLDEN, **(replace or {})}
+        changed = dict(replace or {})
         for name, rows in (extend or {}).items():
-            tables[name] = [*tables[name], *rows]
-        return {name: frame(spark, name, rows) for name, rows in tables.items()}
+            changed[name] = [*changed.get(name, GOLDEN[name]), *rows]
+        return {**base, **{name: frame(spark, name, rows) for name, rows in changed.items()}}
 
     return build
 
