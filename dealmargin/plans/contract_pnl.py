@@ -104,8 +104,7 @@ def contract_terms(terms: DataFrame, contracts: DataFrame) -> DataFrame:
             {"cost_thr": "con_construct", "cost_for": "con_fee"}[cost]
         )
 
-    given = terms.where(F.col("approval_id").isNotNull()).withColumnRenamed("approval_id", "id")
-    own = spread_join(given, contracts, ["id"], "left_semi")
+    own = terms.where(F.col("approval_id").isNotNull()).withColumnRenamed("approval_id", "id")
     none = contracts.join(own.select("id").distinct(), "id", "left_anti").select(
         "id",
         F.lit(None).cast(AMOUNT).alias("con_construct"),
@@ -114,11 +113,18 @@ def contract_terms(terms: DataFrame, contracts: DataFrame) -> DataFrame:
     return own.select("id", net("cost_thr"), net("cost_for")).unionByName(none)
 
 
+def terms_of(terms: DataFrame, ids: DataFrame) -> DataFrame:
+    """The terms rows of the wanted contracts, still in the table's shape."""
+    wanted = ids.withColumnRenamed("id", "approval_id")
+    return spread_join(terms, wanted, ["approval_id"], "left_semi")
+
+
 def pnl_contracts(tables: Tables, date: datetime.date) -> DataFrame:
     """The contracts of a payment date, repeated once per terms row where they have several."""
     headers = date_headers(tables, date)
-    terms = contract_terms(tables["approval_approval_contract"], headers.hinted("id"))
-    return with_terms(headers.rows, terms)
+    ids = headers.hinted("id")
+    terms = terms_of(tables["approval_approval_contract"], ids)
+    return with_terms(headers.rows, contract_terms(terms, ids))
 
 
 def with_terms(contracts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -523,8 +529,8 @@ def pnl_core(scope: PaymentScope, tables: Tables, date: datetime.date) -> DataFr
 def pnl_main(tables: Tables, date: datetime.date) -> DataFrame:
     """The core repeated for each terms row of its contract."""
     scope = payment_scope(tables, date)
-    terms = contract_terms(tables["approval_approval_contract"], scope.ids)
-    return with_terms(pnl_core(scope, tables, date), terms)
+    terms = terms_of(tables["approval_approval_contract"], scope.ids)
+    return with_terms(pnl_core(scope, tables, date), contract_terms(terms, scope.ids))
 
 
 def contract_pnl(tables: Tables, date: datetime.date) -> DataFrame:
