@@ -68,7 +68,7 @@ def _gain(t: MappedTables) -> DataFrame:
     joined = headers.rows.join(_purchases(t, headers), "id").join(_sales(t, headers), "id", "left")
     return joined.select(
         "id",
-        pnl.money(pnl.or_zero("sale_collected")).alias("sale_collected"),
+        pnl.money(pnl.won("sale_collected")).alias("sale_collected"),
         "sum_payment",
         "sum_remain",
         pnl.money(pnl.gain()).alias("gain"),
@@ -80,7 +80,7 @@ def _remain_sale(t: MappedTables) -> DataFrame:
     return headers.rows.join(_sales(t, headers), "id", "left").select(
         "id",
         "expected_sale",
-        pnl.money(pnl.or_zero("total_sale")).alias("total_sale"),
+        pnl.money(pnl.won("total_sale")).alias("total_sale"),
         pnl.money(pnl.remain_sale()).alias("remain_sale"),
     )
 

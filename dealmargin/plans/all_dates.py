@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealmargin.functions import rules
@@ -12,29 +12,17 @@ from dealmargin.plans.contract_pnl import Tables
 from dealmargin.sources.schemas import RATE
 
 
-def purchases_by_date(purchases: DataFrame) -> DataFrame:
-    """Per contract and payment date: what remains on the date, and the sums over all dates.
+def dues_by_date(purchases: DataFrame) -> DataFrame:
+    """What remains to be paid per contract and payment date.
 
-    Rows are reduced to one per contract and date before anything gathers a
-    contract's dates, so a contract holding much of the table is a short list
-    by then.
+    A pass of its own beside the contract totals: the two read different
+    columns, and neither has to carry the other's sums through a shuffle.
     """
-    measures = one.purchase_measures()
-    daily = (
-        purchases.where(F.col("contract_doc_id").isNotNull())
+    return (
+        purchases.where(F.col("date_payment").isNotNull() & F.col("contract_doc_id").isNotNull())
         .groupBy(F.col("contract_doc_id").alias("id"), "date_payment")
-        .agg(
-            F.sum("amount_remain").alias("sum_remain"),
-            *[F.sum(value).alias(name) for name, value in measures.items()],
-        )
+        .agg(one.money(one.won_sum("amount_remain")).alias("sum_remain"))
     )
-    contract = Window.partitionBy("id")
-    return daily.select(
-        "id",
-        "date_payment",
-        one.money(one.or_zero("sum_remain")).alias("sum_remain"),
-        *[one.money(one.or_zero(F.sum(name).over(contract))).alias(name) for name in measures],
-    ).where(F.col("date_payment").isNotNull())
 
 
 def opportunities_by_date(tables: Tables, headers: DataFrame) -> DataFrame:
@@ -82,9 +70,10 @@ def dated_contracts(tables: Tables) -> DataFrame:
         tables["sale_order_line"], one.contract_sale_orders(tables["sale_order"]), prices
     )
     per_contract = (
-        headers.join(purchases_by_date(tables["revenue_purchase"]), "id")
+        headers.join(one.purchase_totals(tables["revenue_purchase"]), "id")
         .join(one.sale_sums(tables["revenue_sale"]), "id", "left")
         .join(so_amounts, "id", "left")
+        .join(dues_by_date(tables["revenue_purchase"]), "id")
     )
     amounts = amounts_by_date(tables, prices, opportunities_by_date(tables, headers))
     keys = ["date_payment", "opportunity_id"]
@@ -119,16 +108,16 @@ def pnl_by_team(tables: Tables) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("contracts"),
             F.max("product_value").alias("product_value"),
-            *[F.sum(name).alias(name) for name in _ADDITIVE],
+            *[F.sum(F.col(name).cast("long")).alias(name) for name in _ADDITIVE],
         )
     )
     summed = per_opportunity.groupBy("date_payment", "team").agg(
         F.sum("contracts").alias("contracts"),
-        one.money(F.sum("product_value")).alias("product_value"),
         *[one.money(F.sum(name)).alias(name) for name in _ADDITIVE],
+        one.money(one.won_sum("product_value")).alias("product_value"),
     )
-    cost = F.col("purchase_total") + F.col("product_value")
-    profit = F.col("occurred_sale") - cost
+    cost = one.won("purchase_total") + one.won("product_value")
+    profit = one.won("occurred_sale") - cost
     return summed.withColumns(
         {
             "total_cost": one.money(cost),

@@ -50,6 +50,20 @@ def or_zero(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(0))
 
 
+def won(column: Column | str) -> Column:
+    """Whole-won money as a long, NULL as zero.
+
+    Sums and differences are formed on longs: as exact as decimals for whole
+    won, while decimals of more than 18 digits are objects to Spark.
+    """
+    return or_zero(F.col(column) if isinstance(column, str) else column).cast("long")
+
+
+def won_sum(value: Column | str) -> Column:
+    amount = F.col(value) if isinstance(value, str) else value
+    return or_zero(F.sum(amount.cast("long")))
+
+
 # --- which contracts ---------------------------------------------------------------
 
 
@@ -149,18 +163,25 @@ def sale_sums(sales: DataFrame, ids: DataFrame | None = None) -> DataFrame:
         sales.where(F.col("contract_doc_id").isNotNull())
         .groupBy(F.col("contract_doc_id").alias("id"))
         .agg(
-            money(or_zero(F.sum("price"))).alias("total_sale"),
-            money(or_zero(F.sum("amount_collected"))).alias("sale_collected"),
-            money(or_zero(F.sum("amount_remain"))).alias("sale_remain"),
+            money(won_sum("price")).alias("total_sale"),
+            money(won_sum("amount_collected")).alias("sale_collected"),
+            money(won_sum("amount_remain")).alias("sale_remain"),
         )
     )
     return _wanted(sums, ids)
 
 
-def purchase_measures() -> dict[str, Column]:
+def _purchase_sums(purchases: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    return (
+        purchases.where(F.col("contract_doc_id").isNotNull())
+        .groupBy(F.col("contract_doc_id").alias("id"))
+        .agg(*[money(won_sum(value)).alias(name) for name, value in measures.items()])
+    )
+
+
+def _purchase_measures() -> dict[str, Column]:
     """What a purchase row adds to each sum over all its contract's dates."""
-    price = F.col("price")
-    kind = F.col("purchase_type_two")
+    price, kind = F.col("price"), F.col("purchase_type_two")
     return {
         "purchase_total": price,
         **{name: F.when(kind == code, price) for name, code in rules.PURCHASE_BUCKETS.items()},
@@ -169,20 +190,18 @@ def purchase_measures() -> dict[str, Column]:
     }
 
 
+def purchase_totals(purchases: DataFrame) -> DataFrame:
+    """Purchases per contract over all dates, in one pass."""
+    return _purchase_sums(purchases, _purchase_measures())
+
+
 def purchase_sums(
     purchases: DataFrame, date: datetime.date, ids: DataFrame | None = None
 ) -> DataFrame:
-    """Sums over all dates in one pass; only sum_remain looks at the given date."""
-    measures = purchase_measures()
-    measures["sum_remain"] = F.when(
-        F.col("date_payment") == F.lit(date), F.col("amount_remain")
-    )
-    sums = (
-        purchases.where(F.col("contract_doc_id").isNotNull())
-        .groupBy(F.col("contract_doc_id").alias("id"))
-        .agg(*[money(or_zero(F.sum(value))).alias(name) for name, value in measures.items()])
-    )
-    return _wanted(sums, ids)
+    """The totals, and in the same pass what remains on the given date only."""
+    on_date = F.when(F.col("date_payment") == F.lit(date), F.col("amount_remain"))
+    measures = {**_purchase_measures(), "sum_remain": on_date}
+    return _wanted(_purchase_sums(purchases, measures), ids)
 
 
 # --- prices ------------------------------------------------------------------------
@@ -396,50 +415,52 @@ def sale_order_amounts(sale_lines: DataFrame, orders: DataFrame, prices: Settled
 
 
 def gain() -> Column:
-    return or_zero("sale_collected") - (or_zero("sum_payment") + or_zero("sum_remain"))
+    return won("sale_collected") - (won("sum_payment") + won("sum_remain"))
 
 
 def remain_sale() -> Column:
-    return or_zero("expected_sale") - or_zero("total_sale")
+    return won("expected_sale") - won("total_sale")
 
 
 def etc_purchase() -> Column:
-    named = reduce(lambda a, b: a + b, [or_zero(name) for name in rules.PURCHASE_BUCKETS])
-    return or_zero("purchase_total") - named
+    return won("purchase_total") - reduce(
+        lambda a, b: a + b, [won(name) for name in rules.PURCHASE_BUCKETS]
+    )
 
 
 def product_value() -> Column:
-    return or_zero("total_qty_delivered_amount")
+    return won("total_qty_delivered_amount")
 
 
 def product_value2() -> Column:
     """Zero, not minus the bucket, where the contract has no sale-order amount."""
-    return or_zero(F.col("so_delivered_amount") - F.col("sum_po_account"))
+    delivered, bucket = F.col("so_delivered_amount"), F.col("sum_po_account")
+    return or_zero(delivered.cast("long") - bucket.cast("long"))
 
 
 def with_main_columns(core: DataFrame) -> DataFrame:
     """The columns up to sum_po_account, from contracts joined with their sums."""
     main = {
-        "occurred_sale": or_zero("total_sale"),
-        "uncollected_sale": or_zero("sale_remain"),
+        "occurred_sale": won("total_sale"),
+        "uncollected_sale": won("sale_remain"),
         "gain": gain(),
         "remain_sale": remain_sale(),
         "etc_purchase": etc_purchase(),
-        "total_qty_delivered_amount": or_zero("total_qty_delivered_amount"),
-        "total_dol_quantity_amount": or_zero("total_dol_quantity_amount"),
+        "total_qty_delivered_amount": won("total_qty_delivered_amount"),
+        "total_dol_quantity_amount": won("total_dol_quantity_amount"),
         "product_value": product_value(),
-        "total_so_delivered_amount": or_zero("so_delivered_amount"),
-        "total_so_price_amount": or_zero("so_price_amount"),
+        "total_so_delivered_amount": won("so_delivered_amount"),
+        "total_so_price_amount": won("so_price_amount"),
         "product_value2": product_value2(),
     }
     return core.withColumns({name: money(value) for name, value in main.items()})
 
 
 def with_profit(main: DataFrame) -> DataFrame:
-    sold = F.col("occurred_sale")
+    sold = won("occurred_sale")
     derived = {}
     for suffix in ("", "2"):
-        cost = F.col("purchase_total") + F.col(f"product_value{suffix}")
+        cost = won("purchase_total") + won(f"product_value{suffix}")
         derived[f"total_cost{suffix}"] = money(cost)
         derived[f"profit{suffix}"] = money(sold - cost)
         derived[f"profit_rate{suffix}"] = rules.percent_of(sold - cost, sold).cast(RATE)
