@@ -9,8 +9,14 @@ from dealmargin.functions.dates import digits_only, format_ymd, is_valid_ymd
 
 
 def _checked(requests: DataFrame, column: str) -> DataFrame:
+    """The requests with their digits and what is wrong with them, if anything.
+
+    The digits come out of a generator, not a plain projection: a filter on the
+    reason would pull a projection into itself and strip the text once for
+    every mention of the digits.
+    """
     digits = digits_only(F.coalesce(F.col(column), F.lit("")))
-    return requests.withColumn("_digits", digits).withColumn(
+    return requests.select("*", F.explode(F.array(digits)).alias("_digits")).withColumn(
         "reason",
         F.when(F.length("_digits") == 0, "empty")
         .when(F.length("_digits") < 8, "not eight digits")

@@ -9,6 +9,7 @@ every query then starts from plain parquet scans, as it would on real tables.
 from __future__ import annotations
 
 import hashlib
+import threading
 from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -368,6 +369,8 @@ class MappedTables(Mapping[str, DataFrame]):
         self.root = f"{scratch_dir(spark)}/{digest}"
         self._frames: dict[str, DataFrame] = {}
         self._written: set[str] = set()
+        # Plans settle independent selections in threads; a table is still written once.
+        self._lock = threading.RLock()
 
     def source(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self._folder}/{name}.parquet")
@@ -375,23 +378,29 @@ class MappedTables(Mapping[str, DataFrame]):
     def stored(self, name: str, write: Callable[[str], None]) -> str:
         """Path of something derived from these tables, written on first use."""
         path = f"{self.root}/{name}"
-        if name not in self._written:
-            write(path)
-            self._written.add(name)
+        with self._lock:
+            if name not in self._written:
+                write(path)
+                self._written.add(name)
         return path
 
     def __getitem__(self, name: str) -> DataFrame:
-        if name not in self._frames:
-            path = f"{self.root}/{name}"
-            rows = _BUILDERS[name](self)
-            if name in ALL:
-                rows = rows.select(
-                    *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ALL[name].fields]
-                )
-            rows.write.mode("overwrite").parquet(path)
-            reader = self.spark.read
-            self._frames[name] = (reader.schema(ALL[name]) if name in ALL else reader).parquet(path)
-        return self._frames[name]
+        with self._lock:
+            if name not in self._frames:
+                self._frames[name] = self._write(name)
+            return self._frames[name]
+
+    def _write(self, name: str) -> DataFrame:
+        path = f"{self.root}/{name}"
+        rows = _BUILDERS[name](self)
+        reader = self.spark.read
+        if name in ALL:
+            rows = rows.select(
+                *[F.col(f.name).cast(f.dataType).alias(f.name) for f in ALL[name].fields]
+            )
+            reader = reader.schema(ALL[name])
+        rows.write.mode("overwrite").parquet(path)
+        return reader.parquet(path)
 
     def __iter__(self) -> Iterator[str]:
         return iter(_BUILDERS)
