@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import datetime
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -83,3 +86,12 @@ def as_ymd(day: Column) -> Column:
 
 def days_before(day: Column, days: int) -> Column:
     return F.date_sub(day, days)
+
+
+def parse_date(value: datetime.date | str) -> datetime.date:
+    """A query's date parameter: a date as it is, or a real day as YYYY-MM-DD text."""
+    if isinstance(value, datetime.date):
+        return value
+    if not re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}", value or ""):
+        raise ValueError(f"date must look like YYYY-MM-DD: {value!r}")
+    return datetime.date.fromisoformat(value)

@@ -179,6 +179,11 @@ def fetch_one(rows: DataFrame) -> DataFrame:
     return rows.limit(1)
 
 
+def preview(rows: DataFrame, n: int = 5) -> DataFrame:
+    """A few rows to look at, any of them."""
+    return rows.limit(n)
+
+
 def counted(rows: DataFrame) -> tuple[DataFrame, Observation]:
     """The rows with their number observed by whichever job reads them first."""
     seen = Observation()

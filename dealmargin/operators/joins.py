@@ -24,6 +24,11 @@ class Settled(NamedTuple):
     def small(self) -> bool:
         return self.count <= BROADCAST_ROWS
 
+    @property
+    def few(self) -> bool:
+        """Whether rows of some hundred bytes, one for each of these, may be broadcast too."""
+        return self.count <= BROADCAST_ROWS // 5
+
     def hinted(self, *columns: str) -> DataFrame:
         """The rows, or some columns of them, with a broadcast hint if their count allows."""
         rows = self.rows.select(*columns) if columns else self.rows

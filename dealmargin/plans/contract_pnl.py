@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealmargin.functions import rules
+from dealmargin.functions.dates import parse_date
 from dealmargin.operators.joins import Settled, settle, spread_join
 from dealmargin.operators.latest import latest_by
 from dealmargin.sources.schemas import AMOUNT, RATE
@@ -528,7 +529,9 @@ def payment_scope(tables: Tables, date: datetime.date) -> PaymentScope:
 def pnl_core(scope: PaymentScope, tables: Tables, date: datetime.date) -> DataFrame:
     """One row per contract of a payment date with its main columns, terms left out.
 
-    The joins on the contract id come first, between sides unique on it. The
+    Sums per contract are as few as the contracts, sums per opportunity as few
+    as the lines, so counts already taken say what may be broadcast. Otherwise
+    the joins on the contract id come first, between sides unique on it. The
     opportunity join, and the fan-out over terms a caller may add, have keys
     that repeat without bound; each follows a shuffle of its own and can be
     split.
@@ -536,27 +539,39 @@ def pnl_core(scope: PaymentScope, tables: Tables, date: datetime.date) -> DataFr
     so_amounts = sale_order_amounts(
         tables["sale_order_line"], scope.sale_orders.hinted(), scope.prices
     )
-    per_contract = (
-        scope.headers.rows.join(purchase_sums(tables["revenue_purchase"], date, scope.ids), "id")
-        .join(sale_sums(tables["revenue_sale"], scope.ids), "id", "left")
-        .join(so_amounts, "id", "left")
-    )
+    sums = [
+        purchase_sums(tables["revenue_purchase"], date, scope.ids),
+        sale_sums(tables["revenue_sale"], scope.ids),
+        so_amounts,
+    ]
+    core = scope.headers.rows
+    for each in sums:
+        core = core.join(F.broadcast(each) if scope.headers.few else each, "id", "left")
     per_opportunity = opportunity_amounts(tables, scope.lines, scope.prices, scope.line_ids)
-    return with_main_columns(
-        spread_join(per_contract, per_opportunity, ["opportunity_id"], "left", F.col("id"))
-    )
+    if scope.line_ids is not None:
+        core = core.join(F.broadcast(per_opportunity), "opportunity_id", "left")
+    else:
+        core = spread_join(core, per_opportunity, ["opportunity_id"], "left", F.col("id"))
+    return with_main_columns(core)
 
 
 def pnl_main(tables: Tables, date: datetime.date) -> DataFrame:
     """The core repeated for each terms row of its contract."""
     scope = payment_scope(tables, date)
-    terms = terms_of(tables["approval_approval_contract"], scope.ids)
-    return with_terms(pnl_core(scope, tables, date), contract_terms(terms, scope.ids))
+    core = pnl_core(scope, tables, date)
+    terms = contract_terms(
+        terms_of(tables["approval_approval_contract"], scope.ids), scope.ids
+    )
+    return with_terms(F.broadcast(core) if scope.headers.few else core, terms)
 
 
-def contract_pnl(tables: Tables, date: datetime.date) -> DataFrame:
-    """Profit and loss of every contract with a purchase on the payment date, in order."""
-    return with_profit(pnl_main(tables, date)).select(*PNL_COLUMNS).orderBy(*pnl_order())
+def contract_pnl(tables: Tables, date: datetime.date | str) -> DataFrame:
+    """Profit and loss of every contract with a purchase on the payment date, in order.
+
+    A text must be a real day as YYYY-MM-DD; ValueError otherwise, before any job runs.
+    """
+    main = pnl_main(tables, parse_date(date))
+    return with_profit(main).select(*PNL_COLUMNS).orderBy(*pnl_order())
 
 
 def contract_pnl_grid(pnl: DataFrame) -> DataFrame:

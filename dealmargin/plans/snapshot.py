@@ -7,6 +7,7 @@ import datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dealmargin.functions.dates import parse_date
 from dealmargin.sources.schemas import SNAPSHOT
 
 # The widths of the snapshot's text columns.
@@ -67,10 +68,10 @@ def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(SNAPSHOT).parquet(path)
 
 
-def snapshot_by_date(snapshot: DataFrame, date: datetime.date) -> DataFrame:
+def snapshot_by_date(snapshot: DataFrame, date: datetime.date | str) -> DataFrame:
     """The stored rows of one criteria date in document order; reads that partition only."""
     return (
-        snapshot.where(F.col("criteria_date") == F.lit(date))
+        snapshot.where(F.col("criteria_date") == F.lit(parse_date(date)))
         .select(*LOOKUP_COLUMNS)
         .orderBy(F.col("doc_id").asc_nulls_last())
     )

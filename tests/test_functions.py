@@ -114,3 +114,10 @@ def test_roles(spark):
     allowed = rows.select("r", rules.role_allowed(F.col("r")).alias("ok")).collect()
     assert {r.r for r in allowed if r.ok} == {"admin", "user"}
     assert all(r.ok is not None for r in allowed)
+
+
+def test_date_parameters():
+    assert dates.parse_date("2026-07-10") == dates.parse_date(day("2026-07-10")) == day("2026-07-10")
+    for wrong in ("", None, "20260710", "2025-02-31", "2026-07-10\n", "２０２６-07-10"):
+        with pytest.raises(ValueError):
+            dates.parse_date(wrong)

@@ -87,6 +87,7 @@ def test_update_merges_the_last_change(spark, people):
 def test_first_row_and_counts(people):
     assert grid.fetch_one(people.where("id = 3")).collect()[0].name == "Lee"
     assert grid.fetch_one(people.where("id = 9")).collect() == []
+    assert grid.preview(people).count() == 5 and grid.preview(people, 2).count() == 2
     rows, seen = grid.counted(people)
     assert len(rows.collect()) == seen.get["row_count"] == 5
 
