@@ -83,6 +83,13 @@ def test_golden_case_over_all_dates(erp, any_size):
     ]
 
 
+def test_date_without_purchases(erp, any_size):
+    assert result(erp(), day("2050-01-03")) == []
+    empty = erp({name: [] for name in GOLDEN})
+    assert result(empty) == []
+    assert all_dates.contract_pnl_all_dates(empty).collect() == []
+
+
 def test_undated_line_is_newest_even_without_price(erp):
     lines = [*GOLDEN["purchase_order_line"], (5, 7, None, "purchase", None, None, None)]
     prices = pnl.latest_purchase_price(erp({"purchase_order_line": lines})["purchase_order_line"])
