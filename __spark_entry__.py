@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime
 from collections.abc import Callable
+from importlib.util import find_spec
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -334,11 +335,33 @@ def _over_folder(query: Callable[[MappedTables], DataFrame]) -> Query:
     return lambda spark, folder: query(mapped_tables(spark, folder))
 
 
+def _llm_part(name: str) -> dict:
+    """What the training-data subpackage and its pipeline register, where they are installed."""
+    if find_spec("dealmargin.llm") is None:
+        return {}
+    from dealmargin.llm import registry
+
+    part = dict(getattr(registry, name))
+    if find_spec("corpus_pipeline") is not None:
+        import corpus_pipeline
+
+        if name == "QUERIES":
+            part["pipeline"] = corpus_pipeline.run
+        elif corpus_pipeline.ORACLE_SQL is not None:
+            part["pipeline"] = corpus_pipeline.ORACLE_SQL
+    return part
+
+
+def core_queries() -> dict[str, Query]:
+    """The registered queries outside the training-data subpackage."""
+    return {name: _over_folder(query) for name, query in _QUERIES.items()}
+
+
 def queries() -> dict[str, Query]:
     """Every registered query, each taking a session and the folder of the test tables."""
-    return {name: _over_folder(query) for name, query in _QUERIES.items()}
+    return core_queries() | _llm_part("QUERIES")
 
 
 def oracle_sql() -> dict[str, str]:
     """The same queries as SQL over the same tables."""
-    return _oracle_sql()
+    return _oracle_sql() | _llm_part("ORACLES")
