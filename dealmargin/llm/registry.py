@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealmargin.llm import line_dedup, sharding, sql, url_filter
+from dealmargin.llm import line_dedup, packing, sharding, simhash, sql, url_filter
 from dealmargin.llm.columns import text_or_empty
 
 SHARDS = 24
+# The ranks of byte_bpe_50k.json, the same vocabulary in the form the faster library reads.
+RANKS = "byte_bpe_50k.tiktoken"
 RULES = (
     ("net", "/", "block"),
     ("example.net", "/en/", "allow"),
@@ -51,6 +54,25 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = packing.pack_documents(
+        _table(spark, folder, "documents"), public_tokenizers.path(RANKS)
+    )
+    return pieces.select(
+        "doc_id",
+        "start",
+        "length",
+        F.crc32("ids").alias("ids_crc32"),
+        "doc_tokens",
+        "sequence_id",
+        "offset",
+    )
+
+
+def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, folder, "documents"))
+
+
 def listed_urls(pages: DataFrame) -> DataFrame:
     host = url_filter.url_host(F.col("url"))
     return pages.where(
@@ -68,6 +90,8 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_stratified_sharding": op3_stratified_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op7_vector_packing": op7_vector_packing,
+    "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_url_filter": op9_url_filter,
 }
 ORACLES: dict[str, str] = {
