@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealmargin.llm import line_dedup, packing, sharding, simhash, sql, url_filter
+from dealmargin.llm import decontamination, line_dedup, packing, sharding, simhash, sql, url_filter
 from dealmargin.llm.columns import text_or_empty
 
 SHARDS = 24
@@ -28,6 +28,19 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.contamination(docs, _table(spark, folder, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op3_stratified_sharding(spark: SparkSession, folder: str) -> DataFrame:
     text = text_or_empty(F.col("text"))
     rows = _table(spark, folder, "documents").select(
@@ -88,6 +101,7 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_stratified_sharding": op3_stratified_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op7_vector_packing": op7_vector_packing,
@@ -95,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
 }
 ORACLES: dict[str, str] = {
+    "op2_benchmark_decontamination": sql.DECONTAMINATION,
     "op3_stratified_sharding": sql.SHARDING,
     "op4_line_dedup": sql.LINE_DEDUP,
     "op9_url_filter": sql.URL_FILTER,

@@ -95,3 +95,40 @@ SELECT n.page_id, n.host, n.path, f.rule,
             ELSE 'allow' END AS verdict
 FROM named n LEFT JOIN fit f USING (page_id) LEFT JOIN listing l ON n.canonical = l.canonical
 """
+
+_WORDS = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+DECONTAMINATION = rf"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORDS}') AS ws
+  FROM documents
+), item AS (
+  SELECT CAST(item_id AS VARCHAR) AS item,
+         regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '{_WORDS}') AS ws
+  FROM benchmark
+), item_at AS (
+  SELECT item, ws, least(len(ws), 10) AS span,
+         unnest(range(1, len(ws) - least(len(ws), 10) + 2)) AS i
+  FROM item WHERE len(ws) > 0
+), windows AS (
+  SELECT DISTINCT item, span, array_to_string(ws[i : i + span - 1], ' ') AS w FROM item_at
+), doc_at AS (
+  SELECT doc_id, ws, span, unnest(range(1, len(ws) - span + 2)) AS i
+  FROM doc, (SELECT DISTINCT span FROM windows) WHERE len(ws) >= span
+), found AS (
+  SELECT d.doc_id, d.i, d.span, w.item
+  FROM doc_at d JOIN windows w
+    ON w.span = d.span AND w.w = array_to_string(d.ws[d.i : d.i + d.span - 1], ' ')
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + span)) AS p FROM found) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items,
+         sha256(string_agg(DISTINCT item, ',' ORDER BY item)) AS items_sha256
+  FROM found GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit,
+       coalesce(n_items, 0) AS n_items, coalesce(items_sha256, sha256('')) AS items_sha256,
+       coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id)
+"""
