@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealmargin.llm import decontamination, line_dedup, packing, sharding, simhash, sql, url_filter
+from dealmargin.llm import decontamination, line_dedup, packing, perplexity, sharding, simhash, sql, url_filter
 from dealmargin.llm.columns import text_or_empty
 
 SHARDS = 24
@@ -67,6 +67,11 @@ def op4_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_perplexity_quality(spark: SparkSession, folder: str) -> DataFrame:
+    judged = perplexity.judged_documents(_table(spark, folder, "documents"))
+    return judged.select("doc_id", *perplexity.BASE, "base_failed", "kept", "surprise")
+
+
 def op7_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack_documents(
         _table(spark, folder, "documents"), public_tokenizers.path(RANKS)
@@ -104,6 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_stratified_sharding": op3_stratified_sharding,
     "op4_line_dedup": op4_line_dedup,
+    "op5_perplexity_quality": op5_perplexity_quality,
     "op7_vector_packing": op7_vector_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_url_filter": op9_url_filter,
