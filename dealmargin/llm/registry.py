@@ -5,10 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dealmargin.llm import decontamination, line_dedup, packing, perplexity, sharding, simhash, sql, url_filter
+from dealmargin.llm import (
+    decontamination,
+    language_id,
+    line_dedup,
+    packing,
+    perplexity,
+    sharding,
+    simhash,
+    sql,
+    url_filter,
+)
 from dealmargin.llm.columns import text_or_empty
 
 SHARDS = 24
@@ -105,6 +115,20 @@ def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def held_out() -> Column:
+    """Whether a document is none to learn from: by the CRC of its id as text."""
+    own = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.crc32(own) % 4 == 2
+
+
+def op10_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents")
+    network = language_id.fit(docs.where(~held_out()), key=F.col("doc_id"))
+    return language_id.predict(docs, network).select(
+        "doc_id", held_out().alias("held_out"), "lang_pred", "score"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_stratified_sharding": op3_stratified_sharding,
@@ -113,6 +137,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_vector_packing": op7_vector_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_url_filter": op9_url_filter,
+    "op10_byte_cnn_language": op10_byte_cnn_language,
 }
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": sql.DECONTAMINATION,
