@@ -14,6 +14,7 @@ from dealmargin.llm import (
     line_dedup,
     packing,
     perplexity,
+    secrets,
     sharding,
     simhash,
     sql,
@@ -82,6 +83,22 @@ def op5_perplexity_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *perplexity.BASE, "base_failed", "kept", "surprise")
 
 
+def op6_multipart_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    found = secrets.secret_spans(_table(spark, folder, "documents"))
+
+    def count(rank: int) -> Column:
+        return F.size(F.filter("strong", lambda s: s["rank"] == rank)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secrets.spans_text(F.col("strong")), 256).alias("base_sha256"),
+        secrets.spans_text(F.concat("strong", "weak")).alias("spans"),
+    )
+
+
 def op7_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
     pieces = packing.pack_documents(
         _table(spark, folder, "documents"), public_tokenizers.path(RANKS)
@@ -134,6 +151,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_stratified_sharding": op3_stratified_sharding,
     "op4_line_dedup": op4_line_dedup,
     "op5_perplexity_quality": op5_perplexity_quality,
+    "op6_multipart_secrets": op6_multipart_secrets,
     "op7_vector_packing": op7_vector_packing,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_url_filter": op9_url_filter,
