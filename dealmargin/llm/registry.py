@@ -14,6 +14,7 @@ from dealmargin.llm import (
     line_dedup,
     packing,
     perplexity,
+    pii,
     secrets,
     sharding,
     simhash,
@@ -22,6 +23,8 @@ from dealmargin.llm import (
 )
 from dealmargin.llm.columns import text_or_empty
 
+# A stand-in: production passes a key of its own to the operator.
+SURROGATE_KEY = "query-key"
 SHARDS = 24
 # The ranks of byte_bpe_50k.json, the same vocabulary in the form the faster library reads.
 RANKS = "byte_bpe_50k.tiktoken"
@@ -39,6 +42,13 @@ def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op1_pii_surrogates(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _table(spark, folder, "documents").select("doc_id", "text")
+    return pii.with_surrogates(docs, SURROGATE_KEY).select(
+        "doc_id", "text", F.size("entities").cast("long").alias("n_entities"), "entities"
+    )
+
+
 def op2_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents").select("doc_id", "text")
     found = decontamination.contamination(docs, _table(spark, folder, "benchmark"))
@@ -147,6 +157,7 @@ def op10_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pii_surrogates": op1_pii_surrogates,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_stratified_sharding": op3_stratified_sharding,
     "op4_line_dedup": op4_line_dedup,

@@ -1,0 +1,95 @@
+"""Surrogates: nothing detected stays, nothing else changes, and clashes are resolved."""
+
+from __future__ import annotations
+
+import re
+
+import pytest
+
+from dealmargin.llm import pii
+
+ROWS = [
+    (1, "Mail die.55@mail4.example.com, DIE.55@mail4.example.com; ip 97.51.17.173. Call "
+        "+1 (487) 555-7209!", "x"),
+    (2, "again die.55@mail4.example.com and +1 (487) 555-7209 from 97.51.17.173", "x"),
+    (3, None, "x"),
+    (4, "", "x"),
+    (5, "Nothing to see in 2024, v1.2.3, 12:30", "x"),
+    (6, "card 4111 1111 1111 1111 or 4111111111111111, plain 9807915762804490", "x"),
+    (7, "Mr. John Smith met Mrs Smith and Frau Jane Smith; Господин Иван Петров", "x"),
+    (8, "GB82 WEST 1234 5698 7654 32, 123-45-6789, 487-555-7209", "x"),
+    (None, "über.ß@mail4.example.com", "x"),
+    (1, "Mail die.55@mail4.example.com, DIE.55@mail4.example.com; ip 97.51.17.173. Call "
+        "+1 (487) 555-7209!", "x"),
+]
+
+
+@pytest.fixture(scope="module")
+def replaced(spark):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string, entities string")
+    return pii.with_surrogates(docs, "key").collect()
+
+
+def text_of(rows, own):
+    return next(r.text for r in rows if r.doc_id == own)
+
+
+def luhn(digits):
+    total = 0
+    for i, d in enumerate(reversed([int(c) for c in digits if c.isdigit()])):
+        total += d if i % 2 == 0 else (2 * d - 9 if d > 4 else 2 * d)
+    return total % 10 == 0
+
+
+def test_rows_and_untouched_texts(replaced):
+    assert len(replaced) == len(ROWS)
+    assert text_of(replaced, 3) is None
+    assert text_of(replaced, 4) == ""
+    assert text_of(replaced, 5) == ROWS[4][1]
+    assert [list(r.entities) for r in replaced if r.doc_id in (3, 4, 5)] == [[], [], []]
+    assert len({r.text for r in replaced if r.doc_id == 1}) == 1
+
+
+def test_originals_are_gone_and_format_stays(replaced):
+    shape = lambda t: re.sub(r"[a-zß-ÿ]", "a", re.sub(r"[A-Z]", "A", re.sub(r"\d", "0", t)))
+    for own in (1, 2, 6, 8):
+        before = next(r[1] for r in ROWS if r[0] == own)
+        after = text_of(replaced, own)
+        for piece in ("die.55", "97.51.17.173", "555-7209", "4111 1111", "6789", "WEST", "WEST1234"):
+            if piece in before:
+                assert piece not in after
+        assert shape(after).lower() == shape(before).lower()
+    assert "+1 (" in text_of(replaced, 1)
+
+
+def test_coreference_across_documents_and_forms(replaced):
+    mail = re.search(r"\S+@\S+\.com", text_of(replaced, 2))[0]
+    assert text_of(replaced, 1).count(mail) == 2
+    cards = re.findall(r"\d{4} \d{4} \d{4} \d{4}|\d{16}", text_of(replaced, 6))
+    assert cards[0].replace(" ", "") == cards[1]
+    assert luhn(cards[1]) and cards[1][0] == "4"
+    names = text_of(replaced, 7)
+    assert len(set(re.findall(r"(?:Mrs|Mr\. \w+|Frau \w+) (\w+)", names))) == 1
+    assert re.search(r"Господин [А-Я][а-я]+н [А-Я][а-я]+", names)
+    given = re.search(r"Mr\. (\w+) .*Frau (\w+) ", names)
+    assert given[1].endswith("rd") and given[2].endswith("na")
+
+
+def test_clashes_are_resolved(spark):
+    texts = [f"{a}.{b}.{c}.{d}" for a in range(6) for b in range(6) for c in range(6) for d in range(6)]
+    docs = spark.createDataFrame(
+        [(i, f"from {t} on") for i, t in enumerate(texts)], "doc_id long, text string"
+    )
+    out = pii.with_surrogates(docs, "key").collect()
+    drawn = [r.entities[0].surrogate for r in out]
+    assert len(set(drawn)) == len(texts)
+    assert not set(drawn) & set(texts)
+    for r in out:
+        assert r.text == f"from {r.entities[0].surrogate} on"
+
+
+def test_key_decides_and_empty_table(spark):
+    docs = spark.createDataFrame([(1, "a@b.org")], "doc_id long, text string")
+    texts = {pii.with_surrogates(docs, k).first().text for k in ("one", "two", "one")}
+    assert len(texts) == 2
+    assert pii.with_surrogates(docs.limit(0), "k").collect() == []
