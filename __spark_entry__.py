@@ -6,7 +6,7 @@ import datetime
 from collections.abc import Callable
 from importlib.util import find_spec
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealmargin.functions import dates, display, rules
@@ -14,6 +14,7 @@ from dealmargin.operators import export, grid, joins, search
 from dealmargin.operators.grid import Both, Condition, Either
 from dealmargin.plans import all_dates, approvals, requests, snapshot, users
 from dealmargin.plans import contract_pnl as pnl
+from dealmargin.sources.parquet_tables import ParquetTables
 from dealmargin.sources.tpch_mapping import MappedTables, mapped_tables
 from oracles.queries import oracle_sql as _oracle_sql
 
@@ -176,6 +177,18 @@ def _filter_and_or(t: MappedTables) -> DataFrame:
     )
 
 
+def _stored_roles(t: MappedTables) -> DataFrame:
+    """The role changes written to a user table of its own, and that table read back."""
+    path = t.stored("users_changed", lambda p: _store_users(t, p))
+    return ParquetTables(t.spark, path)["users"].select(*users.PUBLIC_COLUMNS)
+
+
+def _store_users(t: MappedTables, path: str) -> None:
+    store = ParquetTables(t.spark, path)
+    store.save("users", t["users"])
+    users.store_role_changes(store, t["role_changes"])
+
+
 def _update_row(t: MappedTables) -> DataFrame:
     changes = t["role_changes"].withColumnRenamed("user_id", "id")
     return grid.update_rows(t["users"], changes, "id", "seq")
@@ -184,6 +197,11 @@ def _update_row(t: MappedTables) -> DataFrame:
 # --- date functions over the orders' dates -----------------------------------------
 
 
+def _thirds() -> Column:
+    """An order's price in thousandths and ten-thousandths, so that rounding shows."""
+    return (F.col("o_totalprice").cast("decimal(15,2)") / 80).cast("decimal(18,4)")
+
+
 def _days(t: MappedTables) -> DataFrame:
     return t.source("orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("day"))
 
@@ -195,6 +213,8 @@ def _requests(t: MappedTables) -> DataFrame:
         key.alias("request_id"),
         F.when(key % 43 == 0, F.lit(None).cast("string"))
         .when(key % 41 == 0, "no digits")
+        .when(key % 37 == 0, F.concat(F.date_format(day, "yyyy-MM-dd"), F.lit(" and 345")))
+        .when(key % 31 == 0, F.concat(F.date_format(day, "yyyyMMdd"), F.lit("1")))
         .when(key % 5 == 0, F.date_format(day, "yyyyMMdd"))
         .when(key % 5 == 1, F.date_format(day, "yyyy-MM-dd"))
         .when(key % 5 == 2, F.concat(F.date_format(day, "yyyyMM"), F.lit("31")))
@@ -245,12 +265,13 @@ _QUERIES: dict[str, Callable[[MappedTables], DataFrame]] = {
     "recent_completed_approvals": lambda t: approvals.recent_completed_approvals(
         t, as_of=datetime.date(1998, 12, 31)
     ),
-    "user_by_email": lambda t: users.user_by_email(t["users"], "  user42@example.com "),
+    "user_by_email": lambda t: users.user_by_email(t["users"], "\t user42@example.com \n"),
     "user_list": lambda t: users.user_list(t["users"]),
     "user_detail": lambda t: users.user_detail(t["users"], 42),
     "apply_role_changes": lambda t: users.apply_role_changes(
         t["users"].select(*users.PUBLIC_COLUMNS), t["role_changes"]
     ),
+    "stored_role_changes": _stored_roles,
     "role_change_rejects": lambda t: users.role_change_rejects(t["role_changes"]),
     "role_allowed": lambda t: t["role_changes"].select(
         "seq", "role", rules.role_allowed(F.col("role")).alias("allowed")
@@ -260,6 +281,8 @@ _QUERIES: dict[str, Callable[[MappedTables], DataFrame]] = {
     # results and exports
     "fetch_all": lambda t: grid.fetch_all(t["approval_doctype"], ["id", "name"]),
     "fetch_one": lambda t: grid.fetch_one(users.user_detail(t["users"], 42)),
+    "row_count": lambda t: grid.row_count(t["tax_invoices"]),
+    "preview": lambda t: grid.preview(t["vouchers"].orderBy("voucher_no")),
     "result_json": lambda t: export.result_json(t["tax_invoices"]),
     "export_csv": _export_csv,
     # declared searches
@@ -284,8 +307,7 @@ _QUERIES: dict[str, Callable[[MappedTables], DataFrame]] = {
     ).select("vendor_code", "vendor_name", "biz_no", "use_yn"),
     "search_keyword": lambda t: search.search_keyword(t["vendors"], "07"),
     "apply_conditions": lambda t: search.apply_conditions(
-        t["vouchers"], search.VOUCHERS,
-        {"date_range": "1997/01/01 - 1998/12/31", "status": "미결"},
+        t["accounts"], search.ACCOUNTS, {"account_code": "", "account_name": "1010"}
     ),
     "header_detail": lambda t: search.header_detail(
         t["vouchers"], t["voucher_lines"], "voucher_no"
@@ -306,9 +328,9 @@ _QUERIES: dict[str, Callable[[MappedTables], DataFrame]] = {
     "is_valid_ymd": lambda t: _digits(t).withColumn(
         "valid", dates.is_valid_ymd(F.col("digits"))
     ),
-    "format_ymd": lambda t: _digits(t)
-    .where(F.length("digits") == 8)
-    .select("request_id", dates.format_ymd(F.col("digits")).alias("formatted")),
+    "format_ymd": lambda t: _digits(t).select(
+        "request_id", dates.format_ymd(F.col("digits")).alias("formatted")
+    ),
     "digits_only": lambda t: _requests(t).withColumn("digits", dates.digits_only(F.col("raw"))),
     "is_iso_date": lambda t: _requests(t).select(
         "request_id", dates.is_iso_date(F.col("raw")).alias("iso")
@@ -319,8 +341,8 @@ _QUERIES: dict[str, Callable[[MappedTables], DataFrame]] = {
     ),
     "validate_inputs": lambda t: requests.validate_inputs(_requests(t), "raw"),
     "input_rejects": lambda t: requests.input_rejects(_requests(t), "raw"),
-    "fmt_currency": lambda t: t["approval_approval"].select(
-        "id", display.fmt_currency(F.col("amount")).alias("shown")
+    "fmt_currency": lambda t: t.source("orders").select(
+        "o_orderkey", display.fmt_currency(_thirds()).alias("shown")
     ),
     "fmt_date": lambda t: t["approval_approval"].select(
         "id", display.fmt_date(F.col("date_complete")).alias("shown")

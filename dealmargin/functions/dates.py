@@ -47,9 +47,14 @@ def closing_date(day: Column) -> Column:
     )
 
 
+def all_digits(text: Column) -> Column:
+    """The ASCII digits of a text."""
+    return F.regexp_replace(text, "[^0-9]", "")
+
+
 def digits_only(text: Column) -> Column:
-    """ASCII digits of a text, at most the first eight of them."""
-    return F.substring(F.regexp_replace(text, "[^0-9]", ""), 1, 8)
+    """What a date input lets one type: ASCII digits, at most the first eight of them."""
+    return F.substring(all_digits(text), 1, 8)
 
 
 def is_valid_ymd(digits: Column) -> Column:
@@ -69,9 +74,11 @@ def is_valid_ymd(digits: Column) -> Column:
 
 
 def format_ymd(digits: Column) -> Column:
-    return F.concat_ws(
+    """Eight digits as YYYY-MM-DD; NULL for any other number of them."""
+    dashed = F.concat_ws(
         "-", F.substring(digits, 1, 4), F.substring(digits, 5, 2), F.substring(digits, 7, 2)
     )
+    return F.when(F.length(digits) == 8, dashed)
 
 
 def is_iso_date(text: Column) -> Column:
@@ -89,7 +96,9 @@ def days_before(day: Column, days: int) -> Column:
 
 
 def parse_date(value: datetime.date | str) -> datetime.date:
-    """A query's date parameter: a date as it is, or a real day as YYYY-MM-DD text."""
+    """A query's date parameter: a date, the day of a time, or a real day as YYYY-MM-DD text."""
+    if isinstance(value, datetime.datetime):
+        return value.date()
     if isinstance(value, datetime.date):
         return value
     if not re.fullmatch("[0-9]{4}-[0-9]{2}-[0-9]{2}", value or ""):

@@ -10,10 +10,12 @@ NUMBER_PATTERN = "#,##0.###"
 
 
 def fmt_currency(amount: Column) -> Column:
-    """Grouped number without a currency sign; empty text for NULL."""
-    return F.coalesce(
-        F.call_function("format_number", amount, F.lit(NUMBER_PATTERN)), F.lit("")
-    )
+    """Grouped number without a currency sign, three decimals at most; empty text for NULL.
+
+    Rounded half away from zero first, as the pattern alone rounds half to even.
+    """
+    shown = F.call_function("format_number", F.round(amount, 3), F.lit(NUMBER_PATTERN))
+    return F.coalesce(shown, F.lit(""))
 
 
 def fmt_date(day: Column) -> Column:

@@ -180,10 +180,15 @@ def fetch_one(rows: DataFrame) -> DataFrame:
 
 
 def preview(rows: DataFrame, n: int = 5) -> DataFrame:
-    """A few rows to look at, any of them."""
+    """A few rows to look at: the first of an ordered frame, else any of them."""
     return rows.limit(n)
 
 
+def row_count(rows: DataFrame) -> DataFrame:
+    """One row with the number of rows."""
+    return rows.agg(F.count(F.lit(1)).alias("row_count"))
+
+
 def counted(rows: DataFrame) -> tuple[DataFrame, Observation]:
     """The rows with their number observed by whichever job reads them first."""
     seen = Observation()

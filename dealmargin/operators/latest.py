@@ -2,19 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+_DAY, _HOUR, _MINUTE = 86_400_000_000, 3_600_000_000, 60_000_000
+_NEVER = (1 << 63) - 1
+
+
+def _microseconds(clock: Column) -> Column:
+    """Microseconds from 1970 to a time without zone, whatever the session's zone."""
+    seconds = F.extract(F.lit("SECOND"), clock)
+    return (
+        F.unix_date(clock.cast("date")).cast("long") * _DAY
+        + F.hour(clock).cast("long") * _HOUR
+        + F.minute(clock).cast("long") * _MINUTE
+        + (seconds * 1_000_000).cast("long")
+    )
+
+
+def newest_order(clock: Column, tie: Column) -> Column:
+    """One number that orders by time and then by tie, a missing time last.
+
+    A time and a tie of 19 digits each fill a decimal of 38, which an aggregate
+    keeps in place; a struct would make it sort before and after the shuffle.
+    Ties must not be negative.
+    """
+    at = F.coalesce(_microseconds(clock), F.lit(_NEVER)).cast("decimal(19,0)")
+    return (at * F.lit(Decimal(10**19)) + tie.cast("decimal(19,0)")).cast(
+        "decimal(38,0)"
+    )
+
 
 def latest_by(
-    rows: DataFrame, key: str, order_col: str, tie_col: str, payload: list[str]
+    rows: DataFrame, key: str, order_col: str, tie_col: str, payload: str
 ) -> DataFrame:
-    """One row per key: the newest by order_col, an undated row counting as newest.
+    """One row per key with the payload of the newest row, an undated row counting as newest.
 
-    Ties go to the larger tie_col. An aggregate rather than a window: rows of a
-    key are reduced on the map side, so a key holding much of the table never
-    gathers in one task. The newest row wins even where its payload is NULL.
+    Ties go to the larger tie_col. A hash aggregate rather than a window or a
+    sort: rows of a key are reduced on the map side, so a key holding much of
+    the table never gathers in one task. The newest row wins even where its
+    payload is NULL.
     """
-    rank = F.struct(F.col(order_col).isNull(), F.col(order_col), F.col(tie_col))
-    winner = F.max_by(F.struct(*payload), rank).alias("_winner")
-    return rows.groupBy(key).agg(winner).select(key, *[f"_winner.{name}" for name in payload])
+    order = newest_order(F.col(order_col), F.col(tie_col))
+    return rows.groupBy(key).agg(F.max_by(payload, order).alias(payload))

@@ -6,33 +6,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from dealmargin.functions import rules
-from dealmargin.operators.joins import spread_join
+from dealmargin.operators.joins import settle, spread_join
 from dealmargin.plans import contract_pnl as one
 from dealmargin.plans.contract_pnl import Tables
 from dealmargin.sources.schemas import RATE
 
 
-def dues_by_date(purchases: DataFrame) -> DataFrame:
-    """What remains to be paid per contract and payment date.
+def purchases_by_date(purchases: DataFrame) -> DataFrame:
+    """Every purchase sum per contract and payment date, undated purchases under no date.
 
-    A pass of its own beside the contract totals: the two read different
-    columns, and neither has to carry the other's sums through a shuffle.
+    The one pass over the purchases: totals per contract, what remains on each
+    date, and the dates themselves all come from its rows, which are settled.
     """
-    return (
-        purchases.where(F.col("date_payment").isNotNull() & F.col("contract_doc_id").isNotNull())
+    measures = {**one.purchase_measures(), "sum_remain": F.col("amount_remain")}
+    sums = (
+        purchases.where(F.col("contract_doc_id").isNotNull())
         .groupBy(F.col("contract_doc_id").alias("id"), "date_payment")
-        .agg(one.money(one.won_sum("amount_remain")).alias("sum_remain"))
+        .agg(*[one.won_sum(value).alias(name) for name, value in measures.items()])
     )
+    return settle(sums).rows
 
 
-def opportunities_by_date(tables: Tables, headers: DataFrame) -> DataFrame:
-    """The opportunities whose contracts have a purchase on each payment date."""
-    dates = (
-        tables["revenue_purchase"]
-        .where(F.col("date_payment").isNotNull())
-        .select(F.col("contract_doc_id").alias("id"), "date_payment")
-        .distinct()
+def totals_of(by_date: DataFrame) -> DataFrame:
+    """Purchases per contract over all dates."""
+    return by_date.groupBy("id").agg(
+        *[one.money(F.sum(name)).alias(name) for name in one.purchase_measures()]
+    )
+
+
+def dues_of(by_date: DataFrame) -> DataFrame:
+    """What remains to be paid per contract and payment date."""
+    return by_date.where(F.col("date_payment").isNotNull()).select(
+        "id", "date_payment", one.money(F.col("sum_remain")).alias("sum_remain")
     )
+
+
+def opportunities_by_date(by_date: DataFrame, headers: DataFrame) -> DataFrame:
+    """The opportunities whose contracts have a purchase on each payment date."""
+    dates = by_date.where(F.col("date_payment").isNotNull()).select("id", "date_payment")
     chosen = headers.where(F.col("opportunity_id").isNotNull()).select("id", "opportunity_id")
     return dates.join(chosen, "id").select("date_payment", "opportunity_id").distinct()
 
@@ -69,13 +80,15 @@ def dated_contracts(tables: Tables) -> DataFrame:
     so_amounts = one.sale_order_amounts(
         tables["sale_order_line"], one.contract_sale_orders(tables["sale_order"]), prices
     )
+    by_date = purchases_by_date(tables["revenue_purchase"])
     per_contract = (
-        headers.join(one.purchase_totals(tables["revenue_purchase"]), "id")
+        headers.join(totals_of(by_date), "id")
         .join(one.sale_sums(tables["revenue_sale"]), "id", "left")
         .join(so_amounts, "id", "left")
-        .join(dues_by_date(tables["revenue_purchase"]), "id")
+        .join(dues_of(by_date), "id")
     )
-    amounts = amounts_by_date(tables, prices, opportunities_by_date(tables, headers))
+    dated = settle(opportunities_by_date(by_date, headers)).rows
+    amounts = amounts_by_date(tables, prices, dated)
     keys = ["date_payment", "opportunity_id"]
     core = spread_join(per_contract, amounts, keys, "left", F.col("id"))
     return one.with_profit(one.with_main_columns(core))

@@ -31,6 +31,8 @@ def completed_approvals(tables: Tables, since: datetime.date | Column) -> DataFr
 
 
 def recent_completed_approvals(
-    tables: Tables, as_of: datetime.date, days: int = 365
+    tables: Tables, as_of: datetime.date | None = None, days: int = 365
 ) -> DataFrame:
-    return completed_approvals(tables, days_before(F.lit(as_of), days))
+    """Approvals finished in the days up to as_of, which is today unless given."""
+    day = as_of or datetime.date.today()
+    return completed_approvals(tables, days_before(F.lit(day), days))

@@ -180,7 +180,7 @@ def _purchase_sums(purchases: DataFrame, measures: dict[str, Column]) -> DataFra
     )
 
 
-def _purchase_measures() -> dict[str, Column]:
+def purchase_measures() -> dict[str, Column]:
     """What a purchase row adds to each sum over all its contract's dates."""
     price, kind = F.col("price"), F.col("purchase_type_two")
     return {
@@ -191,17 +191,12 @@ def _purchase_measures() -> dict[str, Column]:
     }
 
 
-def purchase_totals(purchases: DataFrame) -> DataFrame:
-    """Purchases per contract over all dates, in one pass."""
-    return _purchase_sums(purchases, _purchase_measures())
-
-
 def purchase_sums(
     purchases: DataFrame, date: datetime.date, ids: DataFrame | None = None
 ) -> DataFrame:
-    """The totals, and in the same pass what remains on the given date only."""
+    """Purchases per contract over all dates, and what remains on the given date only."""
     on_date = F.when(F.col("date_payment") == F.lit(date), F.col("amount_remain"))
-    measures = {**_purchase_measures(), "sum_remain": on_date}
+    measures = {**purchase_measures(), "sum_remain": on_date}
     return _wanted(_purchase_sums(purchases, measures), ids)
 
 
@@ -213,7 +208,7 @@ def latest_purchase_price(purchase_lines: DataFrame) -> DataFrame:
     confirmed = purchase_lines.where(
         (F.col("state") == rules.CONFIRMED_PURCHASE) & F.col("product_id").isNotNull()
     )
-    return latest_by(confirmed, "product_id", "create_date", "id", ["price_unit"])
+    return latest_by(confirmed, "product_id", "create_date", "id", "price_unit")
 
 
 def unit_prices(tables: Tables) -> DataFrame:
@@ -272,7 +267,7 @@ def latest_po_lines(purchase_lines: DataFrame, line_ids: DataFrame | None = None
     if line_ids is not None:
         wanted = line_ids.withColumnRenamed("id", "delivery_order_line_id")
         confirmed = confirmed.join(wanted, "delivery_order_line_id", "left_semi")
-    return latest_by(confirmed, "delivery_order_line_id", "create_date", "id", ["order_id"])
+    return latest_by(confirmed, "delivery_order_line_id", "create_date", "id", "order_id")
 
 
 def own_lines(tables: Tables, orders: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dealmargin.functions.dates import digits_only, format_ymd, is_valid_ymd
+from dealmargin.functions.dates import all_digits, format_ymd, is_valid_ymd
 
 
 def _checked(requests: DataFrame, column: str) -> DataFrame:
@@ -15,11 +15,11 @@ def _checked(requests: DataFrame, column: str) -> DataFrame:
     reason would pull a projection into itself and strip the text once for
     every mention of the digits.
     """
-    digits = digits_only(F.coalesce(F.col(column), F.lit("")))
+    digits = all_digits(F.coalesce(F.col(column), F.lit("")))
     return requests.select("*", F.explode(F.array(digits)).alias("_digits")).withColumn(
         "reason",
         F.when(F.length("_digits") == 0, "empty")
-        .when(F.length("_digits") < 8, "not eight digits")
+        .when(F.length("_digits") != 8, "not eight digits")
         .when(~is_valid_ymd(F.col("_digits")), "no such date"),
     )
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealmargin.functions.rules import role_allowed
+from dealmargin.functions.rules import ROLES, role_allowed
+from dealmargin.operators.latest import newest_order
+from dealmargin.sources.parquet_tables import ParquetTables
 
 PUBLIC_COLUMNS = ("id", "email", "role")
 
@@ -13,10 +15,11 @@ PUBLIC_COLUMNS = ("id", "email", "role")
 def user_by_email(users: DataFrame, email: str) -> DataFrame:
     """The login lookup: the one result that carries the stored password.
 
-    The match is exact and case-sensitive on the trimmed input; at most one row.
+    The match is exact and case-sensitive on the input without white space at
+    its ends; at most one row.
     """
     return (
-        users.where(F.col("email") == F.trim(F.lit(email)))
+        users.where(F.col("email") == F.lit(email.strip()))
         .select("id", "email", "password", "role")
         .limit(1)
     )
@@ -31,11 +34,17 @@ def user_detail(users: DataFrame, user_id: int) -> DataFrame:
 
 
 def apply_role_changes(users: DataFrame, changes: DataFrame) -> DataFrame:
-    """Users with the last allowed change of each user id applied; unknown ids change nothing."""
+    """Users with the last accepted change of each user id applied; unknown ids change nothing.
+
+    Roles are compared as their number in the list of roles, which an aggregate
+    keeps in place, where text would have to be sorted.
+    """
+    roles = F.array(*map(F.lit, ROLES))
     last = (
-        changes.where(role_allowed(F.col("role")) & F.col("user_id").isNotNull())
+        changes.where(_reject_reason().isNull())
         .groupBy(F.col("user_id").alias("id"))
-        .agg(F.max_by("role", "seq").alias("new_role"))
+        .agg(F.max_by(F.array_position(roles, F.col("role")).cast("int"), "seq").alias("_number"))
+        .select("id", F.element_at(roles, F.col("_number")).alias("new_role"))
     )
     others = [name for name in users.columns if name != "role"]
     return users.join(last, "id", "left").select(
@@ -43,8 +52,23 @@ def apply_role_changes(users: DataFrame, changes: DataFrame) -> DataFrame:
     )
 
 
+def _reject_reason() -> Column:
+    return (
+        F.when(~role_allowed(F.col("role")), "role not allowed")
+        .when(F.col("user_id").isNull(), "no user")
+        .when(F.col("seq").isNull(), "no sequence")
+    )
+
+
 def role_change_rejects(changes: DataFrame) -> DataFrame:
-    return changes.where(~role_allowed(F.col("role"))).select("seq", "user_id", "role")
+    """The changes that are not applied to anyone, with the reason; all others are accepted."""
+    judged = changes.select("seq", "user_id", "role", _reject_reason().alias("reason"))
+    return judged.where(F.col("reason").isNotNull())
+
+
+def store_role_changes(store: ParquetTables, changes: DataFrame) -> None:
+    """Apply the changes to the stored users and replace their table as a whole."""
+    store.save("users", apply_role_changes(store["users"], changes))
 
 
 def current_logins(users: DataFrame, history: DataFrame) -> DataFrame:
@@ -52,11 +76,10 @@ def current_logins(users: DataFrame, history: DataFrame) -> DataFrame:
     newest = history.where(F.col("user_id").isNotNull()).groupBy(
         F.col("user_id").alias("id")
     ).agg(
-        F.max_by(
-            F.struct("login_at", "logout_at"), F.struct(F.col("login_at"), F.col("id"))
-        ).alias("login")
+        F.max("login_at").alias("login_at"),
+        F.max_by("logout_at", newest_order(F.col("login_at"), F.col("id"))).alias("logout_at"),
     )
-    online = newest.where(F.col("login.logout_at").isNull()).select("id", "login.login_at")
+    online = newest.where(F.col("logout_at").isNull()).select("id", "login_at")
     return users.select("id", "email").join(online, "id")
 
 

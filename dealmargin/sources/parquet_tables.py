@@ -26,8 +26,23 @@ class ParquetTables(Mapping[str, DataFrame]):
         return len(ALL)
 
     def save(self, name: str, rows: DataFrame) -> None:
-        """Replace a table by rows of its stated columns and types."""
+        """Replace a table by rows of its stated columns and types.
+
+        The rows are written beside the table and then take its place by
+        renaming, so they may come from the table itself, and a job that dies
+        while writing leaves the table as it was.
+        """
         fields = ALL[name].fields
+        path, new, old = (f"{self._folder}/{name}{end}" for end in ("", ".new", ".old"))
         rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in fields]).write.mode(
             "overwrite"
-        ).parquet(f"{self._folder}/{name}")
+        ).parquet(new)
+        hadoop = self._spark.sparkContext._jvm.org.apache.hadoop.fs
+        conf = self._spark.sparkContext._jsc.hadoopConfiguration()
+        files = hadoop.Path(path).getFileSystem(conf)
+        files.delete(hadoop.Path(old), True)
+        if files.exists(hadoop.Path(path)):
+            files.rename(hadoop.Path(path), hadoop.Path(old))
+        if not files.rename(hadoop.Path(new), hadoop.Path(path)):
+            raise OSError(f"{new} could not take the place of {path}")
+        files.delete(hadoop.Path(old), True)

@@ -189,9 +189,7 @@ def _sale_order_line(t: MappedTables) -> DataFrame:
 def _login_history(t: MappedTables) -> DataFrame:
     login = F.col("ts")
     return (
-        t.source("events")
-        .where(F.col("event_type").isin("signup", "click"))
-        .select(
+        t.source("events").select(
             F.col("event_id").alias("id"),
             "user_id",
             login.alias("login_at"),
@@ -207,11 +205,9 @@ def _login_history(t: MappedTables) -> DataFrame:
 def _role_changes(t: MappedTables) -> DataFrame:
     kind = F.col("event_type")
     return (
-        t.source("events")
-        .where(F.col("event_id") % 5 == 0)
-        .select(
-            F.col("event_id").alias("seq"),
-            (F.col("user_id") + 20).alias("user_id"),
+        t.source("events").select(
+            F.when(F.col("event_id") % 97 != 0, F.col("event_id")).alias("seq"),
+            F.when(F.col("event_id") % 89 != 0, F.col("user_id") + 20).alias("user_id"),
             F.when(kind == "signup", "admin")
             .when(kind == "error", "root")
             .otherwise("user")

@@ -131,14 +131,15 @@ TABLES: dict[str, str] = {
                CASE WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'user' END AS role
         FROM customer""",
     "role_changes": """
-        SELECT event_id AS seq, user_id + 20 AS user_id,
+        SELECT CASE WHEN event_id % 97 <> 0 THEN event_id END AS seq,
+               CASE WHEN event_id % 89 <> 0 THEN user_id + 20 END AS user_id,
                CASE event_type WHEN 'signup' THEN 'admin' WHEN 'error' THEN 'root'
                     ELSE 'user' END AS role
-        FROM events WHERE event_id % 5 = 0""",
+        FROM events""",
     "user_login_history": """
         SELECT event_id AS id, user_id, ts AS login_at,
                CASE WHEN event_id % 3 <> 0 THEN ts + INTERVAL 30 MINUTE END AS logout_at
-        FROM events WHERE event_type IN ('signup', 'click')""",
+        FROM events""",
     "vendors": """
         SELECT 'V' || s_suppkey AS vendor_code, s_name AS vendor_name,
                lpad(CAST(s_suppkey % 1000 AS VARCHAR), 3, '0') || '-'
@@ -177,6 +178,8 @@ TABLES: dict[str, str] = {
         SELECT o_orderkey AS request_id,
                CASE WHEN o_orderkey % 43 = 0 THEN NULL
                     WHEN o_orderkey % 41 = 0 THEN 'no digits'
+                    WHEN o_orderkey % 37 = 0 THEN strftime(o_orderdate, '%Y-%m-%d') || ' and 345'
+                    WHEN o_orderkey % 31 = 0 THEN strftime(o_orderdate, '%Y%m%d') || '1'
                     WHEN o_orderkey % 5 = 0 THEN strftime(o_orderdate, '%Y%m%d')
                     WHEN o_orderkey % 5 = 1 THEN strftime(o_orderdate, '%Y-%m-%d')
                     WHEN o_orderkey % 5 = 2 THEN strftime(o_orderdate, '%Y%m') || '31'

@@ -134,8 +134,7 @@ OVER_ALL = {
         WHERE concat_ws(chr(10), vendor_code, vendor_name, biz_no, ceo_name, address, use_yn)
               ILIKE '%07%'""",
     "apply_conditions": """
-        SELECT * FROM vouchers
-        WHERE acc_date BETWEEN DATE '1997-01-01' AND DATE '1998-12-31' AND status = '미결'""",
+        SELECT * FROM accounts WHERE account_name ILIKE '%1010%'""",
     "header_detail": f"""
         SELECT v.*, {z('n')} AS detail_count, CAST({z('s')} AS DECIMAL(25,0)) AS detail_amount
         FROM vouchers v LEFT JOIN (
@@ -149,9 +148,9 @@ OVER_ALL = {
                AND try_strptime(digits, '%Y%m%d') IS NOT NULL AS valid
         FROM request_digits""",
     "format_ymd": """
-        SELECT request_id, substr(digits, 1, 4) || '-' || substr(digits, 5, 2) || '-'
-               || substr(digits, 7, 2) AS formatted
-        FROM request_digits WHERE length(digits) = 8""",
+        SELECT request_id, CASE WHEN length(digits) = 8 THEN substr(digits, 1, 4) || '-'
+               || substr(digits, 5, 2) || '-' || substr(digits, 7, 2) END AS formatted
+        FROM request_digits""",
     "digits_only": """
         SELECT request_id, raw,
                substr(regexp_replace(raw, '[^0-9]', '', 'g'), 1, 8) AS digits
@@ -170,8 +169,15 @@ OVER_ALL = {
     "input_rejects": """
         SELECT request_id, raw, reason FROM request_checked WHERE reason IS NOT NULL""",
     "fmt_currency": """
-        SELECT id, COALESCE(format('{:,}', CAST(amount AS BIGINT)), '') AS shown
-        FROM approval_approval""",
+        WITH priced AS (
+            SELECT o_orderkey,
+                   round(CAST(o_totalprice AS DECIMAL(15,2)) * 125, 0)::BIGINT AS tenthousandths
+            FROM orders),
+        shown AS (SELECT o_orderkey, (tenthousandths + 5) // 10 AS k FROM priced)
+        SELECT o_orderkey, format('{:,}', k // 1000)
+               || CASE WHEN k % 1000 = 0 THEN ''
+                  ELSE '.' || rtrim(lpad(CAST(k % 1000 AS VARCHAR), 3, '0'), '0') END AS shown
+        FROM shown""",
     "fmt_date": """
         SELECT id, COALESCE(strftime(date_complete, '%Y-%m-%d'), '') AS shown
         FROM approval_approval""",
@@ -184,7 +190,13 @@ OVER_ALL = {
         SELECT u.id, email, COALESCE(r.role, u.role) AS role
         FROM users u LEFT JOIN role_last r ON r.user_id = u.id""",
     "role_change_rejects": """
-        SELECT seq, user_id, role FROM role_changes WHERE role NOT IN ('admin', 'user')""",
+        SELECT seq, user_id, role, CASE WHEN role NOT IN ('admin', 'user') THEN 'role not allowed'
+                   WHEN user_id IS NULL THEN 'no user' ELSE 'no sequence' END AS reason
+        FROM role_changes
+        WHERE role NOT IN ('admin', 'user') OR user_id IS NULL OR seq IS NULL""",
+    "stored_role_changes": """
+        SELECT u.id, email, COALESCE(r.role, u.role) AS role
+        FROM users u LEFT JOIN role_last r ON r.user_id = u.id""",
     "current_logins": """
         SELECT u.id, email, login_at FROM newest_login n JOIN users u ON u.id = n.user_id
         WHERE n.logout_at IS NULL""",
@@ -218,6 +230,8 @@ OVER_ALL = {
             SELECT user_id, role FROM role_changes
             QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1) r
         ON r.user_id = u.id""",
+    "row_count": "SELECT count(*) AS row_count FROM tax_invoices",
+    "preview": "SELECT * FROM vouchers ORDER BY voucher_no LIMIT 5",
     "result_json": """
         SELECT CAST(to_json(struct_pack(
                    issue_date := CAST(issue_date AS VARCHAR), vendor_name := vendor_name,

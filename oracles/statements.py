@@ -162,7 +162,8 @@ STEPS: dict[str, str] = {
                CAST(total_cost AS DECIMAL(15,0)) AS total_cost, biz_note, d AS criteria_date
         FROM judged WHERE reason = ''""",
     "role_last": """
-        SELECT user_id, role FROM role_changes WHERE role IN ('admin', 'user')
+        SELECT user_id, role FROM role_changes
+        WHERE role IN ('admin', 'user') AND user_id IS NOT NULL AND seq IS NOT NULL
         QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1""",
     "newest_login": """
         SELECT * FROM user_login_history
@@ -171,12 +172,15 @@ STEPS: dict[str, str] = {
         SELECT request_id, raw,
                substr(regexp_replace(COALESCE(raw, ''), '[^0-9]', '', 'g'), 1, 8) AS digits
         FROM date_requests""",
+    "request_all_digits": """
+        SELECT request_id, raw, regexp_replace(COALESCE(raw, ''), '[^0-9]', '', 'g') AS digits
+        FROM date_requests""",
     "request_checked": """
         SELECT *, CASE WHEN digits = '' THEN 'empty'
-                       WHEN length(digits) < 8 THEN 'not eight digits'
+                       WHEN length(digits) <> 8 THEN 'not eight digits'
                        WHEN try_strptime(digits, '%Y%m%d') IS NULL
                             OR substr(digits, 1, 4) < '0100' THEN 'no such date' END AS reason
-        FROM request_digits""",
+        FROM request_all_digits""",
 }
 
 

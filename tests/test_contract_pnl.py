@@ -102,7 +102,7 @@ def test_ties_go_to_the_larger_id(spark):
         [(1, 1, same, "a"), (3, 1, same, "c"), (2, 1, same, "b")],
         "id long, k long, at timestamp_ntz, v string",
     )
-    assert latest_by(rows, "k", "at", "id", ["v"]).collect()[0].v == "c"
+    assert latest_by(rows, "k", "at", "id", "v").collect()[0].v == "c"
 
 
 @pytest.mark.parametrize(

@@ -84,6 +84,8 @@ def test_digits_and_formats(spark):
         dates.days_before(F.lit(day("2025-01-02")), 365).alias("since"),
         display.fmt_currency(F.lit(Decimal("-1234567"))).alias("money"),
         display.fmt_currency(F.lit(Decimal("1234.5"))).alias("part"),
+        display.fmt_currency(F.lit(Decimal("0.0625"))).alias("half"),
+        dates.format_ymd(F.lit("202501")).alias("short"),
         display.fmt_currency(F.lit(None).cast("decimal(15,0)")).alias("none"),
         display.fmt_date(F.lit(day("2025-01-02"))).alias("date"),
         display.fmt_date(F.lit(None).cast("date")).alias("no_date"),
@@ -92,20 +94,24 @@ def test_digits_and_formats(spark):
     ).collect()[0]
     assert row.asDict() == {
         "digits": "20250102", "shown": "2025-01-02", "ymd": "20250102",
-        "since": day("2024-01-03"), "money": "-1,234,567", "part": "1,234.5", "none": "",
+        "since": day("2024-01-03"), "money": "-1,234,567", "part": "1,234.5", "half": "0.063",
+        "short": None, "none": "",
         "date": "2025-01-02", "no_date": "", "rate": "55.3%", "no_rate": "",
     }
 
 
 def test_requests_are_split_with_reasons(spark):
     given = spark.createDataFrame(
-        [(1, "2025/01/02"), (2, "20250231"), (3, "2025"), (4, None), (5, "x")], "id int, raw string"
+        [(1, "2025/01/02"), (2, "20250231"), (3, "2025"), (4, None), (5, "x"),
+         (6, "20250102345"), (7, "2025-01-02 and 345")],
+        "id int, raw string",
     )
     good = requests.validate_inputs(given, "raw").collect()
     assert [(r.id, r.request_date) for r in good] == [(1, "2025-01-02")]
     bad = requests.input_rejects(given, "raw").collect()
     assert {r.id: r.reason for r in bad} == {
-        2: "no such date", 3: "not eight digits", 4: "empty", 5: "empty"
+        2: "no such date", 3: "not eight digits", 4: "empty", 5: "empty",
+        6: "not eight digits", 7: "not eight digits",
     }
 
 

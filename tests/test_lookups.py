@@ -44,7 +44,7 @@ def people(spark):
 
 
 def test_user_lookups(people):
-    assert users.user_by_email(people, " a@x.kr ").collect()[0].password == "p1"
+    assert users.user_by_email(people, "\t a@x.kr \n").collect()[0].password == "p1"
     assert users.user_by_email(people, "A@x.kr").collect() == []
     assert users.user_list(people).columns == ["id", "email", "role"]
     assert [r.id for r in users.user_list(people).collect()] == [1, 2, 3]
@@ -57,12 +57,25 @@ def test_role_changes(spark, people):
         spark,
         "role_changes",
         [(1, 1, "admin"), (2, 2, "user"), (3, 2, "root"), (4, 9, "admin"), (5, 3, "admin"),
-         (6, 3, "user"), (7, 1, None)],
+         (6, 3, "user"), (7, 1, None), (8, None, "admin"), (None, 1, "user")],
     )
     after = users.apply_role_changes(people, changes).collect()
     assert {r.id: r.role for r in after} == {1: "admin", 2: "user", 3: "user"}
     assert {r.password for r in after} == {"p1", "p2", "p3"}
-    assert sorted(r.seq for r in users.role_change_rejects(changes).collect()) == [3, 7]
+    rejects = {(r.seq, r.user_id): r.reason for r in users.role_change_rejects(changes).collect()}
+    assert rejects == {
+        (3, 2): "role not allowed", (7, 1): "role not allowed", (8, None): "no user",
+        (None, 1): "no sequence",
+    }
+
+
+def test_stored_role_changes_replace_the_table(spark, people, tmp_path):
+    store = ParquetTables(spark, str(tmp_path))
+    store.save("users", people)
+    changes = frame(spark, "role_changes", [(1, 1, "admin"), (2, 9, "admin"), (3, None, "user")])
+    users.store_role_changes(store, changes)
+    assert {r.id: r.role for r in store["users"].collect()} == {1: "admin", 2: "admin", 3: "user"}
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["users"]
 
 
 def test_logins(spark, people):

@@ -85,9 +85,25 @@ def test_empty_keys_are_spread(no_broadcast, hot, looked_up):
 
 
 def test_latest_reduces_before_the_shuffle(spark, hot):
-    newest = latest_by(hot.withColumn("at", F.col("id")), "k", "at", "id", ["id"])
+    at = F.timestamp_seconds("id").cast("timestamp_ntz")
+    newest = latest_by(hot.withColumn("at", at).withColumn("v", F.col("id")), "k", "at", "id", "v")
     text = plan_text(newest)
     assert "partial_max_by" in text and "Window" not in text
+    assert "SortAggregate" not in text and "Sort " not in text
+
+
+def test_all_dates_read_purchases_once(mapped):
+    from dealmargin.plans import all_dates
+
+    opened = []
+
+    class Watched(dict):
+        def __getitem__(self, name):
+            opened.append(name)
+            return mapped[name]
+
+    all_dates.dated_contracts(Watched())
+    assert opened.count("revenue_purchase") == 1
 
 
 def test_settled_rows_are_counted_and_cut_off(spark):
