@@ -1,10 +1,7 @@
 """URL filters: host rules first, then a listing behind a blocked Bloom filter.
 
-The filter is a table of blocks, each eight 64-bit words; a listed URL sets one
-bit in each word of its block. The table is built by a bit-wise OR per block and
-broadcast, its size being bounded by MAX_BLOCKS. URLs it rules out never move;
-the few it lets through meet the listing in an exact hash join, which removes
-its false positives.
+URLs that the filter rules out never move; the few it lets through meet the
+listing in an exact hash join, which removes its false positives.
 """
 
 from __future__ import annotations
@@ -14,14 +11,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealmargin.llm import bloom
 from dealmargin.llm.columns import ascii_lower, without
 from dealmargin.operators.joins import spread_join
 
-WORDS = 8
-KEYS_PER_BLOCK = 40  # about 13 bits of the 512 for each key
-# 2^18 rows of nine longs: some 30 MB. A longer listing fills the blocks, lets
-# more URLs through to the exact join, and changes no result.
-MAX_BLOCKS = 1 << 18
 TRACKING = ("utm_", "ref=")
 
 
@@ -61,31 +54,6 @@ def rule_verdict(
     return rule, verdict
 
 
-def _block(url: str, blocks: int) -> Column:
-    return F.pmod(F.xxhash64(url), F.lit(blocks))
-
-
-def _masks(url: str) -> list[Column]:
-    bits = F.xxhash64(F.lit(1), url)
-    one = F.lit(1).cast("long")
-    return [
-        F.call_function(
-            "shiftleft", one, F.shiftrightunsigned(bits, 6 * i).bitwiseAND(63).cast("int")
-        )
-        for i in range(WORDS)
-    ]
-
-
-def blocked_bloom(listed: DataFrame, url: str, blocks: int) -> DataFrame:
-    """The filter's blocks that hold a listed URL, as _block and the words _w0 to _w7."""
-    words = {f"_w{i}": mask for i, mask in enumerate(_masks(url))}
-    return (
-        listed.select(_block(url, blocks).alias("_block"), *[m.alias(w) for w, m in words.items()])
-        .groupBy("_block")
-        .agg(*[F.bit_or(w).alias(w) for w in words])
-    )
-
-
 def filter_urls(
     pages: DataFrame,
     listed: DataFrame,
@@ -109,23 +77,17 @@ def filter_urls(
         .select(canonical_url(F.col(listed_column)).alias("_canonical"))
         .distinct()
     )
-    blocks = min(MAX_BLOCKS, max(1, known.count() // KEYS_PER_BLOCK))
-    bloom = F.broadcast(blocked_bloom(known, "_canonical", blocks))
+    blocks = bloom.block_count(known.count())
+    listing = bloom.bloom_filter(known, "_canonical", blocks)
     split = pages.withColumn("host", url_host(url)).withColumn("path", url_path(url))
     rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
-    ruled = split.withColumn("rule", rule).withColumn("_ruled", verdict)
-    masks = _masks("_canonical")
-    hit = F.lit(True)
-    for i, mask in enumerate(masks):
-        hit = hit & (F.col(f"_w{i}").bitwiseAND(mask) == mask)
-    probed = (
-        ruled.withColumn(
-            "_canonical", F.when(url.isNotNull(), canonical_url(url)).otherwise(F.lit(None))
-        )
-        .withColumn("_block", _block("_canonical", blocks))
-        .join(bloom, "_block", "left")
-        .withColumn("_maybe", F.coalesce(F.col("_ruled").isNull() & hit, F.lit(False)))
-        .drop("_block", *[f"_w{i}" for i in range(WORDS)])
+    ruled = (
+        split.withColumn("rule", rule)
+        .withColumn("_ruled", verdict)
+        .withColumn("_canonical", F.when(url.isNotNull(), canonical_url(url)))
+    )
+    probed = bloom.with_possible(ruled, listing, "_canonical", blocks, "_in").withColumn(
+        "_maybe", F.col("_in") & F.col("_ruled").isNull() & F.col("_canonical").isNotNull()
     )
     out = [*split.columns, "rule"]
     passed = probed.where(~F.col("_maybe")).select(
