@@ -14,13 +14,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealmargin.llm.columns import ascii_lower, let, text_or_empty, without
+from dealmargin.llm import bloom
+from dealmargin.llm.columns import ascii_lower, let, text_or_empty
 from dealmargin.operators.joins import settle, spread_join
 
 WINDOW = 10
 GRAM = 5
 # A row holds at most 3 * WINDOW words and the ids of the items sharing them: some 30 MB.
 BROADCAST_ROWS = 50_000
+# Documents are cut into runs of windows starting in so many words each: a hit
+# carries the words around it, and so never those of a whole long document.
+BLOCK_WORDS = 256
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _HIGH, _LOW = -(1 << 32), (1 << 32) - 1
 
@@ -98,6 +102,28 @@ def _common_prefix(a: Column, b: Column) -> Column:
     )
 
 
+def _blocks(words: Column, window: int) -> Column:
+    """Words cut so that each window starts and ends in one block, as (_n, _at, _words).
+
+    _n counts all words and _at those before the block. No words are one empty block.
+    """
+    return let(
+        words,
+        lambda all_words: F.transform(
+            F.sequence(
+                F.lit(0),
+                F.greatest(F.size(all_words) - 1, F.lit(0)),
+                F.lit(BLOCK_WORDS),
+            ),
+            lambda at: F.struct(
+                F.size(all_words).cast("long").alias("_n"),
+                at.alias("_at"),
+                F.slice(all_words, at + 1, BLOCK_WORDS + window - 1).alias("_words"),
+            ),
+        ),
+    )
+
+
 def _item_index(items: DataFrame, window: int, gram: int) -> DataFrame:
     """Fingerprints of the items with the words around them and the ids of the items there."""
     words = F.col("_words")
@@ -177,7 +203,7 @@ def contamination(
     words = docs.select(
         F.col(id_column).alias("_id"),
         F.xxhash64(F.col(text_column)).alias("text_hash"),
-        text_words(F.col(text_column)).alias("_words"),
+        F.inline(_blocks(text_words(F.col(text_column)), window)),
     )
     whole = F.struct(
         F.lit(-1).alias("_pos"),
@@ -186,13 +212,9 @@ def contamination(
     )
     found = _all_marks(F.col("_words"), spans) if spans else F.array()
     # The first mark of a row stands for the row itself and meets no item.
-    marked = words.withColumn("_all", F.concat(F.array(whole), found)).select(
-        "_id",
-        "text_hash",
-        "_words",
-        F.size("_words").cast("long").alias("_n"),
-        F.inline("_all"),
-    )
+    marked = words.withColumn(
+        "_all", F.when(F.col("_at") == 0, F.concat(F.array(whole), found)).otherwise(found)
+    ).select("_id", "text_hash", "_n", "_at", "_words", F.inline("_all"))
     keys = ["_span", "_hash"]
     if index.count <= broadcast_rows:
         met = marked.join(F.broadcast(index.rows), keys, "left").where(
@@ -202,13 +224,14 @@ def contamination(
         same = [
             F.col("_id").eqNullSafe(F.col("_doc")),
             F.col("text_hash") == F.col("_doc_hash"),
+            F.col("_at") == F.col("_block"),
         ]
         anchors = (
             spread_join(marked.where("_pos >= 0").drop("_words", "_n"), index.rows, keys, "inner")
             .distinct()
-            .withColumnsRenamed({"_id": "_doc", "text_hash": "_doc_hash"})
+            .withColumnsRenamed({"_id": "_doc", "text_hash": "_doc_hash", "_at": "_block"})
         )
-        hits = words.join(anchors, same).drop("_doc", "_doc_hash").withColumn("_n", F.lit(0))
+        hits = words.join(anchors, same).drop("_doc", "_doc_hash", "_block")
         rows = marked.where("_pos < 0").drop("_words")
         met = rows.unionByName(hits, allowMissingColumns=True)
     span, pos = F.col("_span"), F.greatest(F.col("_pos"), F.lit(0))
@@ -224,8 +247,12 @@ def contamination(
         (core == F.col("_gram")).alias("_same"),
         (span <= size + _common_prefix(before, F.col("_before"))
          + _common_prefix(after, F.col("_after"))).alias("_long"),
-        (pos - _common_prefix(before, F.col("_before"))).cast("int").alias("_from"),
-        (pos + size + _common_prefix(after, F.col("_after"))).cast("int").alias("_to"),
+        (F.col("_at") + pos - _common_prefix(before, F.col("_before")))
+        .cast("int")
+        .alias("_from"),
+        (F.col("_at") + pos + size + _common_prefix(after, F.col("_after")))
+        .cast("int")
+        .alias("_to"),
     ).where(~F.col("_met") | (F.col("_same") & F.col("_long")))
     hit = F.when(F.col("_met"), F.struct(F.col("_from").alias("from"), F.col("_to").alias("to")))
     of_row = extended.groupBy("_id", "text_hash").agg(
@@ -248,15 +275,5 @@ def without_contaminated(docs: DataFrame, items: DataFrame, **options) -> DataFr
     """The documents that no benchmark item hits, with all their columns."""
     own = options.get("id_column", "doc_id")
     text = options.get("text_column", "text")
-    docs = without(docs, "text_hash")
-    hit = (
-        contamination(docs, items, **options)
-        .where(F.col("n_hit") > 0)
-        .select(F.col(own).alias("_hit_id"), F.col("text_hash").alias("_hit_hash"))
-        .distinct()
-    )
-    return docs.join(
-        hit,
-        F.col(own).eqNullSafe(F.col("_hit_id")) & (F.xxhash64(F.col(text)) == F.col("_hit_hash")),
-        "left_anti",
-    )
+    hit = contamination(docs, items, **options).where(F.col("n_hit") > 0)
+    return bloom.without_rows(docs, hit, own, text, own, "text_hash")
