@@ -6,6 +6,7 @@ from decimal import Decimal
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 # Fixed values of the ERP's coded columns.
 PURCHASE_BUCKETS = {
@@ -43,11 +44,11 @@ def role_allowed(role: Column) -> Column:
     return F.coalesce(role.isin(*ROLES), F.lit(False))
 
 
-def percent_of(part: Column, whole: Column) -> Column:
+def percent_of(part: Column, whole: Column, scale: int = 0) -> Column:
     """part / whole * 100 to one decimal, NULL unless whole is positive.
 
-    The casts keep eighteen decimals through the division; wider inputs would
-    make Spark trade decimals for integer digits.
+    The casts keep eighteen decimals through the division, less the amounts' own;
+    wider inputs would make Spark trade decimals for integer digits.
     """
-    ratio = part.cast("decimal(20,0)") / whole.cast("decimal(18,0)")
+    ratio = part.cast(DecimalType(20 + scale, scale)) / whole.cast(DecimalType(18 + scale, scale))
     return F.when(whole > 0, F.round(ratio * 100, 1))

@@ -106,10 +106,11 @@ def header_detail(headers: DataFrame, details: DataFrame, key: str) -> DataFrame
             F.sum("amount").alias("detail_amount"),
         )
     )
+    total = sums.schema["detail_amount"].dataType
     return headers.join(sums, key, "left").withColumns(
         {
             "detail_count": F.coalesce("detail_count", F.lit(0)),
-            "detail_amount": F.coalesce("detail_amount", F.lit(0)).cast("decimal(25,0)"),
+            "detail_amount": F.coalesce("detail_amount", F.lit(0)).cast(total),
         }
     )
 

@@ -19,25 +19,29 @@ def purchases_by_date(purchases: DataFrame) -> DataFrame:
     date, and the dates themselves all come from its rows, which are settled.
     """
     measures = {**one.purchase_measures(), "sum_remain": F.col("amount_remain")}
+    scale = one.purchase_scale(purchases)
     sums = (
         purchases.where(F.col("contract_doc_id").isNotNull())
         .groupBy(F.col("contract_doc_id").alias("id"), "date_payment")
-        .agg(*[one.won_sum(value).alias(name) for name, value in measures.items()])
+        .agg(*[one.won_sum(value, scale).alias(name) for name, value in measures.items()])
     )
     return settle(sums).rows
 
 
 def totals_of(by_date: DataFrame) -> DataFrame:
     """Purchases per contract over all dates."""
+    scale = one.money_scale(by_date)
     return by_date.groupBy("id").agg(
-        *[one.money(F.sum(name)).alias(name) for name in one.purchase_measures()]
+        *[one.money(F.sum(name), scale).alias(name) for name in one.purchase_measures()]
     )
 
 
 def dues_of(by_date: DataFrame) -> DataFrame:
     """What remains to be paid per contract and payment date."""
     return by_date.where(F.col("date_payment").isNotNull()).select(
-        "id", "date_payment", one.money(F.col("sum_remain")).alias("sum_remain")
+        "id",
+        "date_payment",
+        one.money(F.col("sum_remain"), one.money_scale(by_date)).alias("sum_remain"),
     )
 
 
@@ -115,26 +119,27 @@ def pnl_by_team(tables: Tables) -> DataFrame:
     counts once per team and date, so team costs are no plain sum of contract
     costs.
     """
+    contracts = dated_contracts(tables)
+    scale = one.money_scale(contracts, *_ADDITIVE)
     per_opportunity = (
-        dated_contracts(tables)
-        .groupBy("date_payment", "team", "opportunity_id")
+        contracts.groupBy("date_payment", "team", "opportunity_id")
         .agg(
             F.count(F.lit(1)).alias("contracts"),
             F.max("product_value").alias("product_value"),
-            *[F.sum(F.col(name).cast("long")).alias(name) for name in _ADDITIVE],
+            *[F.sum(one.won(name, scale)).alias(name) for name in _ADDITIVE],
         )
     )
     summed = per_opportunity.groupBy("date_payment", "team").agg(
         F.sum("contracts").alias("contracts"),
-        *[one.money(F.sum(name)).alias(name) for name in _ADDITIVE],
-        one.money(one.won_sum("product_value")).alias("product_value"),
+        *[one.money(F.sum(name), scale).alias(name) for name in _ADDITIVE],
+        one.money(one.won_sum("product_value", scale), scale).alias("product_value"),
     )
-    cost = one.won("purchase_total") + one.won("product_value")
-    profit = one.won("occurred_sale") - cost
+    cost = one.won("purchase_total", scale) + one.won("product_value", scale)
+    profit = one.won("occurred_sale", scale) - cost
     return summed.withColumns(
         {
-            "total_cost": one.money(cost),
-            "profit": one.money(profit),
-            "profit_rate": rules.percent_of(profit, F.col("occurred_sale")).cast(RATE),
+            "total_cost": one.money(cost, scale),
+            "profit": one.money(profit, scale),
+            "profit_rate": rules.percent_of(profit, F.col("occurred_sale"), scale).cast(RATE),
         }
     )

@@ -16,6 +16,7 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DecimalType
 
 from dealmargin.functions import rules
 from dealmargin.functions.dates import parse_date
@@ -43,26 +44,34 @@ GRID_COLUMNS = (
 _QUANTITY = "decimal(19,4)"  # times a unit price of decimal(18,4) stays exact in 38 digits
 
 
-def money(column: Column) -> Column:
-    return column.cast(AMOUNT)
+def money_scale(rows: DataFrame, *columns: str) -> int:
+    """The most decimals that any of these columns, or else any decimal column, has."""
+    kinds = [rows.schema[c].dataType for c in columns] or [f.dataType for f in rows.schema]
+    return max([k.scale for k in kinds if isinstance(k, DecimalType)], default=0)
+
+
+def money(column: Column, scale: int = 0) -> Column:
+    return column.cast(DecimalType(AMOUNT.precision + scale, scale))
 
 
 def or_zero(column: Column | str) -> Column:
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(0))
 
 
-def won(column: Column | str) -> Column:
-    """Whole-won money as a long, NULL as zero.
+def won(column: Column | str, scale: int = 0) -> Column:
+    """Money to compute with, NULL as zero: a long where it is whole, else a decimal.
 
-    Sums and differences are formed on longs: as exact as decimals for whole
-    won, while decimals of more than 18 digits are objects to Spark.
+    Sums and differences of whole amounts are formed on longs: as exact as
+    decimals, while decimals of more than 18 digits are objects to Spark. The
+    scale comes from the column's type, so nothing is cut.
     """
-    return or_zero(F.col(column) if isinstance(column, str) else column).cast("long")
+    value = or_zero(F.col(column) if isinstance(column, str) else column)
+    return value.cast("long") if scale == 0 else money(value, scale)
 
 
-def won_sum(value: Column | str) -> Column:
+def won_sum(value: Column | str, scale: int = 0) -> Column:
     amount = F.col(value) if isinstance(value, str) else value
-    return or_zero(F.sum(amount.cast("long")))
+    return or_zero(F.sum(amount.cast("long") if scale == 0 else amount))
 
 
 # --- which contracts ---------------------------------------------------------------
@@ -112,18 +121,20 @@ def contract_terms(terms: DataFrame, contracts: DataFrame) -> DataFrame:
     one, whose either side can be split when one contract has very many terms.
     """
     taxed = F.col("amount_type") == rules.TAX_INCLUDED
+    scale = money_scale(terms, "cost_thr", "cost_for")
 
     def net(cost: str) -> Column:
         amount = F.col(cost)
-        return money(F.when(taxed, rules.without_vat(amount)).otherwise(amount)).alias(
+        kept = F.when(taxed, rules.without_vat(amount)).otherwise(amount)
+        return money(kept, scale).alias(
             {"cost_thr": "con_construct", "cost_for": "con_fee"}[cost]
         )
 
     own = terms.where(F.col("approval_id").isNotNull()).withColumnRenamed("approval_id", "id")
     none = contracts.join(own.select("id").distinct(), "id", "left_anti").select(
         "id",
-        F.lit(None).cast(AMOUNT).alias("con_construct"),
-        F.lit(None).cast(AMOUNT).alias("con_fee"),
+        money(F.lit(None), scale).alias("con_construct"),
+        money(F.lit(None), scale).alias("con_fee"),
     )
     return own.select("id", net("cost_thr"), net("cost_for")).unionByName(none)
 
@@ -160,26 +171,32 @@ def _wanted(rows: DataFrame, ids: DataFrame | None) -> DataFrame:
 
 
 def sale_sums(sales: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    scale = money_scale(sales, "price", "amount_collected", "amount_remain")
     sums = (
         sales.where(F.col("contract_doc_id").isNotNull())
         .groupBy(F.col("contract_doc_id").alias("id"))
         .agg(
-            money(won_sum("price")).alias("total_sale"),
-            money(won_sum("amount_collected")).alias("sale_collected"),
-            money(won_sum("amount_remain")).alias("sale_remain"),
+            money(won_sum("price", scale), scale).alias("total_sale"),
+            money(won_sum("amount_collected", scale), scale).alias("sale_collected"),
+            money(won_sum("amount_remain", scale), scale).alias("sale_remain"),
         )
     )
     return _wanted(sums, ids)
 
 
 def _purchase_sums(purchases: DataFrame, measures: dict[str, Column]) -> DataFrame:
+    scale = purchase_scale(purchases)
     return (
         purchases.where(F.col("contract_doc_id").isNotNull())
         .groupBy(F.col("contract_doc_id").alias("id"))
-        .agg(*[money(won_sum(value)).alias(name) for name, value in measures.items()])
+        .agg(*[money(won_sum(v, scale), scale).alias(name) for name, v in measures.items()])
     )
 
 
+def purchase_scale(purchases: DataFrame) -> int:
+    return money_scale(purchases, "price", "amount_payment", "amount_remain")
+
+
 def purchase_measures() -> dict[str, Column]:
     """What a purchase row adds to each sum over all its contract's dates."""
     price, kind = F.col("price"), F.col("purchase_type_two")
@@ -410,17 +427,17 @@ def sale_order_amounts(sale_lines: DataFrame, orders: DataFrame, prices: Settled
 # --- derived columns ---------------------------------------------------------------
 
 
-def gain() -> Column:
-    return won("sale_collected") - (won("sum_payment") + won("sum_remain"))
+def gain(scale: int = 0) -> Column:
+    return won("sale_collected", scale) - (won("sum_payment", scale) + won("sum_remain", scale))
 
 
-def remain_sale() -> Column:
-    return won("expected_sale") - won("total_sale")
+def remain_sale(scale: int = 0) -> Column:
+    return won("expected_sale", scale) - won("total_sale", scale)
 
 
-def etc_purchase() -> Column:
-    return won("purchase_total") - reduce(
-        lambda a, b: a + b, [won(name) for name in rules.PURCHASE_BUCKETS]
+def etc_purchase(scale: int = 0) -> Column:
+    return won("purchase_total", scale) - reduce(
+        lambda a, b: a + b, [won(name, scale) for name in rules.PURCHASE_BUCKETS]
     )
 
 
@@ -428,38 +445,42 @@ def product_value() -> Column:
     return won("total_qty_delivered_amount")
 
 
-def product_value2() -> Column:
+def product_value2(scale: int = 0) -> Column:
     """Zero, not minus the bucket, where the contract has no sale-order amount."""
     delivered, bucket = F.col("so_delivered_amount"), F.col("sum_po_account")
-    return or_zero(delivered.cast("long") - bucket.cast("long"))
+    return or_zero(
+        delivered.cast("long") - bucket.cast("long") if scale == 0 else delivered - bucket
+    )
 
 
 def with_main_columns(core: DataFrame) -> DataFrame:
     """The columns up to sum_po_account, from contracts joined with their sums."""
+    scale = money_scale(core)
     main = {
-        "occurred_sale": won("total_sale"),
-        "uncollected_sale": won("sale_remain"),
-        "gain": gain(),
-        "remain_sale": remain_sale(),
-        "etc_purchase": etc_purchase(),
+        "occurred_sale": won("total_sale", scale),
+        "uncollected_sale": won("sale_remain", scale),
+        "gain": gain(scale),
+        "remain_sale": remain_sale(scale),
+        "etc_purchase": etc_purchase(scale),
         "total_qty_delivered_amount": won("total_qty_delivered_amount"),
         "total_dol_quantity_amount": won("total_dol_quantity_amount"),
         "product_value": product_value(),
         "total_so_delivered_amount": won("so_delivered_amount"),
         "total_so_price_amount": won("so_price_amount"),
-        "product_value2": product_value2(),
+        "product_value2": product_value2(scale),
     }
-    return core.withColumns({name: money(value) for name, value in main.items()})
+    return core.withColumns({name: money(value, scale) for name, value in main.items()})
 
 
 def with_profit(main: DataFrame) -> DataFrame:
-    sold = won("occurred_sale")
+    scale = money_scale(main, "occurred_sale", "purchase_total")
+    sold = won("occurred_sale", scale)
     derived = {}
     for suffix in ("", "2"):
-        cost = won("purchase_total") + won(f"product_value{suffix}")
-        derived[f"total_cost{suffix}"] = money(cost)
-        derived[f"profit{suffix}"] = money(sold - cost)
-        derived[f"profit_rate{suffix}"] = rules.percent_of(sold - cost, sold).cast(RATE)
+        cost = won("purchase_total", scale) + won(f"product_value{suffix}", scale)
+        derived[f"total_cost{suffix}"] = money(cost, scale)
+        derived[f"profit{suffix}"] = money(sold - cost, scale)
+        derived[f"profit_rate{suffix}"] = rules.percent_of(sold - cost, sold, scale).cast(RATE)
     return main.withColumns(derived)
 
 
@@ -557,7 +578,11 @@ def pnl_main(tables: Tables, date: datetime.date) -> DataFrame:
     terms = contract_terms(
         terms_of(tables["approval_approval_contract"], scope.ids), scope.ids
     )
-    return with_terms(F.broadcast(core) if scope.headers.few else core, terms)
+    if not scope.headers.few:
+        return with_terms(core, terms)
+    # Free text has no bound, so the hinted side holds ids and costs; the texts stay where they are.
+    kept = settle(terms)
+    return core.join(kept.hinted(), "id") if kept.small else with_terms(core, kept.rows)
 
 
 def contract_pnl(tables: Tables, date: datetime.date | str) -> DataFrame:

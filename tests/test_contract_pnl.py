@@ -96,6 +96,37 @@ def test_undated_line_is_newest_even_without_price(erp):
     assert {r.product_id: r.price_unit for r in prices.collect()}[7] is None
 
 
+def test_fractions_are_summed_exactly(spark, erp):
+    tables = erp()
+    cents = {
+        "revenue_sale": ("price", "amount_collected", "amount_remain"),
+        "revenue_purchase": ("price", "amount_payment", "amount_remain"),
+        "approval_approval_contract": ("cost_thr", "cost_for"),
+    }
+    for name, columns in cents.items():
+        tables[name] = tables[name].withColumns(
+            {c: (F.col(c) + F.lit(Decimal("0.45"))).cast("decimal(17,2)") for c in columns}
+        )
+    (sold,) = pnl.sale_sums(tables["revenue_sale"]).collect()
+    assert sold.total_sale == Decimal("800000.45")
+    bought = {r.id: r for r in pnl.purchase_sums(tables["revenue_purchase"], GOLDEN_DATE).collect()}
+    assert bought[1].purchase_total == Decimal("350001.35")
+    untaxed = tables["approval_approval_contract"].withColumn("amount_type", F.lit("none"))
+    kept = pnl.contract_terms(untaxed, tables["approval_approval"]).where("id = 1").collect()
+    assert [r.con_construct for r in kept] == [Decimal("110000.45")]
+    (row,) = pnl.contract_pnl(tables, GOLDEN_DATE).where("id = 1").collect()
+    assert row.occurred_sale == Decimal("800000.45")
+    assert row.purchase_total == Decimal("350001.35")
+    assert row.etc_purchase == Decimal("50000.45")
+    assert row.gain == row.occurred_sale * 0 + Decimal("300000.45") - (
+        Decimal("120001.35") + Decimal("230000.90")
+    )
+    (dated,) = all_dates.contract_pnl_all_dates(tables).where(
+        (F.col("id") == 1) & (F.col("date_payment") == F.lit(GOLDEN_DATE))
+    ).collect()
+    assert {k: v for k, v in dated.asDict().items() if k != "date_payment"} == row.asDict()
+
+
 def test_ties_go_to_the_larger_id(spark):
     same = clock("2026-01-01")
     rows = spark.createDataFrame(

@@ -167,6 +167,43 @@ def test_unconfigured_erp_fails_at_first_table(spark):
         tables["sale_order"]
 
 
+def test_facts_are_sliced_or_refused(spark):
+    settings = erp_jdbc.ErpSettings(host="db", user="reader", dbname="erp")
+    dates = erp_jdbc.KeyRange("date_payment", day("2020-01-01"), day("2026-01-01"))
+    options = erp_jdbc.read_options(settings, "revenue_purchase", dates)
+    assert (options["partitionColumn"], options["lowerBound"]) == ("date_payment", "2020-01-01")
+    slices = {
+        "revenue_purchase": dates,
+        "revenue_sale": erp_jdbc.KeyRange("contract_doc_id", 0, 1000),
+        "approval_approval_contract": ["approval_id % 2 = 0", "approval_id % 2 = 1"],
+    }
+    tables = erp_jdbc.ErpTables(spark, settings, slices)
+    with pytest.raises(erp_jdbc.UnslicedFact):
+        tables["sale_order_line"]
+    for name, bad in (
+        ("revenue_purchase", erp_jdbc.KeyRange("nothing", 0, 9)),
+        ("approval_approval", erp_jdbc.KeyRange("doc_id", 0, 9)),
+        ("revenue_sale", erp_jdbc.KeyRange("contract_doc_id", 9, 9)),
+        ("revenue_sale", []),
+        ("revenue_sale", ["true"] * 6),
+        ("no_table", ["true"]),
+    ):
+        with pytest.raises(ValueError):
+            erp_jdbc.ErpTables(spark, settings, {name: bad})
+
+
+def test_amounts_keep_their_decimals(spark):
+    fields = SNAPSHOT.fields[3:4]
+    rows = spark.createDataFrame([(Decimal("100.905"),)], "expected_sale decimal(20,3)")
+    read = erp_jdbc.select_typed(rows, fields)
+    assert read.collect()[0][0] == Decimal("100.905")
+    with pytest.raises(TypeError):
+        erp_jdbc.select_typed(spark.createDataFrame([(1.5,)], "expected_sale double"), fields)
+    large = spark.createDataFrame([(Decimal(10) ** 16,)], "expected_sale decimal(20,0)")
+    with pytest.raises(Exception, match="NUMERIC_VALUE_OUT_OF_RANGE"):
+        erp_jdbc.select_typed(large, fields).collect()
+
+
 class _Cluster:
     class sparkContext:  # noqa: N801
         applicationId, master = "app", "yarn"
