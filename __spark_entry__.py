@@ -357,14 +357,21 @@ def _over_folder(query: Callable[[MappedTables], DataFrame]) -> Query:
     return lambda spark, folder: query(mapped_tables(spark, folder))
 
 
+def _installed(module: str) -> bool:
+    try:
+        return find_spec(module) is not None
+    except ModuleNotFoundError:  # of the package that would hold it
+        return False
+
+
 def _llm_part(name: str) -> dict:
     """What the training-data subpackage and its pipeline register, where they are installed."""
-    if find_spec("dealmargin.llm") is None:
+    if not _installed("dealmargin.llm.registry"):
         return {}
     from dealmargin.llm import registry
 
     part = dict(getattr(registry, name))
-    if find_spec("corpus_pipeline") is not None:
+    if _installed("corpus_pipeline"):
         import corpus_pipeline
 
         if name == "QUERIES":
