@@ -143,11 +143,10 @@ def _filter_text(t: MappedTables) -> DataFrame:
                     Condition("contains", "project 1"),
                     Condition("startsWith", "PRO"),
                     Condition("endsWith", "4"),
-                    Condition("notBlank"),
                 )
             ),
             "doc_id": Both((Condition("notContains", "7"), Condition("notEqual", "doc-1"))),
-            "biz_note": Condition("blank"),
+            "biz_note": Both((Condition("notBlank"), Condition("contains", "NOTE"))),
         },
     )
 
@@ -161,6 +160,7 @@ def _filter_number(t: MappedTables) -> DataFrame:
             "uncollected_sale": Condition("lessThanOrEqual", 200000),
             "profit": Condition("notEqual", 0),
             "profit_rate": Condition("notBlank"),
+            "biz_note": Condition("blank"),
         },
     )
 

@@ -85,7 +85,9 @@ def _approvals(t: MappedTables) -> DataFrame:
         ),
         F.when(key % 19 != 0, _won(_exact("o_totalprice"))).alias("amount"),
         (F.col("o_orderpriority") == "5-LOW").alias("biz_done"),
-        F.lit(None).cast("string").alias("biz_note"),
+        F.when(key % 4 == 1, "")
+        .when(key % 4 > 1, F.concat(F.lit("Note "), (key % 10).cast("string")))
+        .alias("biz_note"),
         _opportunity(key).alias("opportunity_id"),
     )
 

@@ -60,7 +60,9 @@ TABLES: dict[str, str] = {
                CASE WHEN o_orderstatus = 'F' AND o_orderkey % 13 <> 0
                     THEN CAST(o_orderdate AS DATE) END AS date_complete,
                CASE WHEN o_orderkey % 19 <> 0 THEN {won(_TOTAL)} END AS amount,
-               o_orderpriority = '5-LOW' AS biz_done, CAST(NULL AS VARCHAR) AS biz_note,
+               o_orderpriority = '5-LOW' AS biz_done,
+               CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN ''
+                    ELSE 'Note ' || o_orderkey % 10 END AS biz_note,
                {opportunity('o_orderkey')} AS opportunity_id
         FROM orders""",
     "approval_approval_contract": f"""

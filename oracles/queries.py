@@ -75,7 +75,9 @@ ON_DATE = {
     "pnl_ordered": "SELECT team, doc_id, id FROM pnl ORDER BY COALESCE(team, '') DESC, doc_id",
     "contract_pnl": f"SELECT {_PNL} FROM pnl",
     "contract_pnl_grid": f"SELECT {_GRID} FROM pnl",
-    "export_csv": f"SELECT {_GRID} FROM pnl",
+    # A CSV file does not tell an empty text from a missing one.
+    "export_csv": f"""
+        SELECT {_GRID.removesuffix('biz_note')} NULLIF(biz_note, '') AS biz_note FROM pnl""",
 }
 
 OVER_ALL = {
@@ -205,12 +207,13 @@ OVER_ALL = {
         FROM users u LEFT JOIN user_login_history h ON h.user_id = u.id GROUP BY 1, 2""",
     "grid_filter_text": """
         SELECT * FROM snapshot
-        WHERE doc_name ILIKE '%project 1%' AND doc_id NOT ILIKE '%7%' AND COALESCE(biz_note, '') = ''
+        WHERE doc_name ILIKE '%project 1%' AND doc_id NOT ILIKE '%7%' AND biz_note ILIKE '%note%'
               AND doc_id <> 'DOC-1' AND doc_name ILIKE 'PRO%' AND doc_name ILIKE '%4'""",
     "grid_filter_number": """
         SELECT * FROM snapshot
         WHERE expected_sale BETWEEN 100000 AND 300000 AND occurred_sale > 0
-              AND uncollected_sale <= 200000 AND profit <> 0 AND profit_rate IS NOT NULL""",
+              AND uncollected_sale <= 200000 AND profit <> 0 AND profit_rate IS NOT NULL
+              AND COALESCE(biz_note, '') = ''""",
     "grid_filter_and_or": """
         SELECT * FROM tax_invoices
         WHERE (vendor_name ILIKE '%1' OR vendor_name ILIKE '%00%')
