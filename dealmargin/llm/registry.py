@@ -125,7 +125,7 @@ def op7_vector_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return simhash.near_duplicates(_table(spark, folder, "documents"))
+    return simhash.near_duplicates(_table(spark, folder, "documents")).drop("text_hash")
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:

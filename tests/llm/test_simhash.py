@@ -9,6 +9,7 @@ import xxhash
 
 from dealmargin.llm import simhash
 from dealmargin.llm.components import component_roots
+from dealmargin.operators.joins import settle
 
 
 def brute_fingerprint(text):
@@ -51,7 +52,7 @@ def test_fingerprint_equals_brute_force(text):
     assert found == brute_fingerprint(text)
 
 
-def test_links_connect_exactly_the_radius(spark):
+def test_components_follow_exactly_the_radius(spark):
     rng = random.Random(5)
     fps = {0, 2**63, 2**64 - 1}
     for _ in range(40):
@@ -62,9 +63,9 @@ def test_links_connect_exactly_the_radius(spark):
                 f ^= 1 << b
             fps.add(f)
     signed = [(f - 2**64 if f >> 63 else f,) for f in fps]
-    links = simhash.fingerprint_links(spark.createDataFrame(signed, "_fp long"))
+    found = simhash.fingerprint_components(settle(spark.createDataFrame(signed, "_fp long")))
     got = {f[0]: f[0] for f in signed}
-    for r in component_roots(links, "a", "b").collect():
+    for r in found.collect():
         got[r.node] = r.root
     expected = brute_components({f: f & (1 << 64) - 1 for (f,) in signed})
     groups = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
