@@ -3,15 +3,20 @@
 The model is modified Kneser-Ney over 4-grams of UTF-16 units, one per language.
 Tasks count the grams of their rows, Spark sums the counts over the whole corpus
 and turns them into probabilities order by order. What scoring needs of it is
-stored as two arrays, sorted slots of hashed grams and log probabilities, of at
-most 2^SLOT_BITS entries whatever the corpus; grams sharing a slot share the
-mean of their values, weighted by count. That bound is what is broadcast.
+stored in arrays by sorted slots of hashed grams, of at most 2^SLOT_BITS entries
+whatever the corpus; grams sharing a slot share the mean of their values,
+weighted by count. That bound is what is broadcast.
+
+Each document was counted too, so its own rarities would look familiar. A gram
+that only this document has is therefore scored by its fallback, the shorter
+gram that follows more than one unit.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +24,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealmargin.llm.columns import without
+from dealmargin.llm import bloom
 from dealmargin.operators.joins import settle, spread_join
 
 ORDER = 4
 _UNIT = 16
 SLOT_BITS = 23
+COUNTED_UNITS = 1 << 19
+KEPT_GRAMS = 1 << 22
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
 # A band reaches BAND robust standard deviations from the language's median, but
@@ -80,25 +87,66 @@ def grams_of(text: str) -> np.ndarray:
 # --- counts and the model, in Spark ------------------------------------------------
 
 
+class _Counts:
+    """Counts of one language's grams, kept as sorted arrays; new grams wait until there are many."""
+
+    def __init__(self) -> None:
+        self.grams = np.zeros(0, dtype=np.uint64)
+        self.n = np.zeros(0, dtype=np.int64)
+        self.waiting: list[np.ndarray] = []
+        self.units = 0
+
+    def add(self, grams: np.ndarray) -> None:
+        for start in range(0, len(grams), COUNTED_UNITS):
+            part = grams[start : start + COUNTED_UNITS]
+            self.waiting.append(part)
+            self.units += len(part)
+            if self.units >= COUNTED_UNITS:
+                self.merge()
+
+    def merge(self) -> None:
+        if not self.units:
+            return
+        fresh, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+        self.waiting, self.units = [], 0
+        both = np.concatenate([self.grams, fresh])
+        order = np.argsort(both, kind="stable")
+        self.grams, first = np.unique(both[order], return_index=True)
+        self.n = np.add.reduceat(np.concatenate([self.n, n])[order], first)
+
+    def taken(self, code: str) -> Iterator[pa.RecordBatch]:
+        self.merge()
+        for start in range(0, len(self.grams), COUNTED_UNITS):
+            grams = self.grams[start : start + COUNTED_UNITS].view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array([code] * len(grams), pa.string()),
+                    pa.array(grams),
+                    pa.array(self.n[start : start + COUNTED_UNITS]),
+                ],
+                names=["_lang", "_gram", "_n"],
+            )
+
+
 def gram_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
-    """How often each language has each gram, as _lang, _gram and _n, over all rows."""
+    """How often each language has each gram, as _lang, _gram and _n, over all rows.
+
+    A task counts its rows in arrays of at most about KEPT_GRAMS entries, which
+    go to Spark's aggregate when they are full and at the end.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[str, _Counts] = {}
         for batch in batches:
-            found: dict[str, list[np.ndarray]] = {}
             for code, body in zip(batch.column(0), batch.column(1), strict=True):
                 if body.is_valid:
-                    found.setdefault(code.as_py(), []).append(grams_of(body.as_py()))
-            for code, parts in found.items():
-                grams, n = np.unique(np.concatenate(parts), return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array([code] * len(grams), pa.string()),
-                        pa.array(grams.view(np.int64)),
-                        pa.array(n),
-                    ],
-                    names=["_lang", "_gram", "_n"],
-                )
+                    found.setdefault(code.as_py(), _Counts()).add(grams_of(body.as_py()))
+            if sum(len(c.grams) + c.units for c in found.values()) > KEPT_GRAMS:
+                for code, counts in found.items():
+                    yield from counts.taken(code)
+                found = {}
+        for code, counts in found.items():
+            yield from counts.taken(code)
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("")), text)
     counted = rows.mapInArrow(each, "_lang string, _gram long, _n long")
@@ -131,6 +179,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
 
     The highest order has its counts, each lower one the number of distinct
     units its grams follow. Orders are interpolated down to a uniform share.
+    _fallback is the probability by the longest shorter gram that follows two
+    units or more, or else the uniform share.
     """
     orders = [counts]
     for order in range(ORDER - 1, 0, -1):
@@ -160,13 +210,21 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             F.col("_gram").bitwiseAND(F.lit((1 << _UNIT * (order - 1)) - 1)).alias("_suffix"),
         )
         if lower is None:
-            below = spread_join(met, known, ["_lang"], "inner").withColumn(
-                "_less", 1.0 / F.col("_units")
+            uniform = 1.0 / F.col("_units")
+            below = spread_join(met, known, ["_lang"], "inner").withColumns(
+                {"_less": uniform, "_fallback": uniform}
             )
         else:
             below = spread_join(
                 met,
-                lower.select("_lang", F.col("_gram").alias("_suffix"), F.col("_p").alias("_less")),
+                lower.select(
+                    "_lang",
+                    F.col("_gram").alias("_suffix"),
+                    F.col("_p").alias("_less"),
+                    F.when(F.col("_n") > 1, F.col("_p"))
+                    .otherwise(F.col("_fallback"))
+                    .alias("_fallback"),
+                ),
                 ["_lang", "_suffix"],
                 "inner",
             )
@@ -175,6 +233,7 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             "_gram",
             "_n",
             (F.col("_own") + F.col("_backoff") * F.col("_less")).alias("_p"),
+            "_fallback",
         )
     return lower
 
@@ -205,33 +264,49 @@ def slot_of(grams: np.ndarray, lang: str, bits: int = SLOT_BITS) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def model_arrays(probabilities: DataFrame, bits: int = SLOT_BITS) -> tuple[np.ndarray, np.ndarray]:
-    """The model as sorted slots and their mean log probabilities: at most 2^bits entries."""
+class Model(NamedTuple):
+    """By sorted slot: how often its grams occur, and their mean log probabilities."""
+
+    slots: np.ndarray
+    counts: np.ndarray
+    logp: np.ndarray
+    fallback: np.ndarray
+
+
+def model_arrays(probabilities: DataFrame, bits: int = SLOT_BITS) -> Model:
+    """The model of at most 2^bits entries of 16 bytes each, collected to the driver."""
     slot = F.shiftrightunsigned(F.xxhash64("_lang", "_gram"), 64 - bits).cast("int")
+
+    def mean(probability: str) -> Column:
+        return (F.sum(F.col("_n") * F.log(probability)) / F.sum("_n")).cast("float")
+
     stored = (
-        probabilities.groupBy(slot.alias("slot"))
-        .agg((F.sum(F.col("_n") * F.log("_p")) / F.sum("_n")).cast("float").alias("logp"))
+        probabilities.groupBy(slot.alias("slots"))
+        .agg(
+            F.least(F.sum("_n"), F.lit((1 << 31) - 1)).cast("int").alias("counts"),
+            mean("_p").alias("logp"),
+            mean("_fallback").alias("fallback"),
+        )
         .toArrow()
     )
-    slots = stored["slot"].to_numpy()
-    order = np.argsort(slots)
-    return slots[order], stored["logp"].to_numpy()[order]
+    order = np.argsort(stored["slots"].to_numpy())
+    return Model(*(stored[name].to_numpy()[order] for name in Model._fields))
 
 
 # --- scoring -----------------------------------------------------------------------
 
 
-def mean_surprise(text: str, lang: str, model: tuple[np.ndarray, np.ndarray]) -> float:
+def mean_surprise(text: str, lang: str, model: Model) -> float:
     """Nats a unit of the text under its language's model: the log of its perplexity."""
     grams, n = np.unique(grams_of(text), return_counts=True)
     if not len(grams):
         return 0.0
-    slots, logp = model
-    at = np.searchsorted(slots, slot_of(grams, lang))
-    return float(-(logp[at] * n).sum() / n.sum())
+    at = np.searchsorted(model.slots, slot_of(grams, lang))
+    logp = np.where(n >= model.counts[at], model.fallback[at], model.logp[at])
+    return float(-(logp * n).sum() / n.sum())
 
 
-def scored_documents(docs: DataFrame, id_column: str, lang: str, text: str, model) -> DataFrame:
+def scored_documents(docs: DataFrame, id_column: str, lang: str, text: str, model: Model) -> DataFrame:
     """Id, language, text hash, base counts and surprise of every row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_column].dataType.simpleString()
@@ -324,17 +399,6 @@ def judged_documents(
 
 def kept_documents(docs: DataFrame, **columns: str) -> DataFrame:
     """The documents that are kept, with all their columns."""
-    docs = without(docs, "text_hash")
     own, text = columns.get("id_column", "doc_id"), columns.get("text_column", "text")
-    lost = (
-        judged_documents(docs, **columns)
-        .where(~F.col("kept"))
-        .select(F.col(own).alias("_lost_id"), F.col("text_hash").alias("_lost_hash"))
-        .distinct()
-    )
-    return docs.join(
-        lost,
-        F.col(own).eqNullSafe(F.col("_lost_id"))
-        & (F.xxhash64(F.col(text)) == F.col("_lost_hash")),
-        "left_anti",
-    )
+    lost = judged_documents(docs, **columns).where(~F.col("kept"))
+    return bloom.without_rows(docs, lost, own, text, own, "text_hash")
