@@ -1,0 +1,188 @@
+"""Perplexity and language ID: counts and probabilities by brute force, held-out accuracy."""
+
+from __future__ import annotations
+
+import math
+import random
+from collections import Counter
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from dealmargin.llm import language_id, perplexity, registry
+from tests.conftest import SMALL
+
+
+def brute_base(text):
+    blanks = " \t\n\x0b\x0c\r"
+    words, word = [], ""
+    for c in (text or "") + " ":
+        if c in blanks:
+            words += [word] if word else []
+            word = ""
+        else:
+            word += c
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts = Counter(windows)
+    again = {i + j for i, w in enumerate(windows) if counts[w] > 1 for j in range(3)}
+    seen, dup = set(), 0
+    for line in (text or "").split("\n"):
+        if line.strip(blanks):
+            dup += line in seen
+            seen.add(line)
+    symbols = sum(c in "#*$%&|<>" for c in text or "")
+    return len(words), sum(map(len, words)), symbols, dup, len(again)
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["", "one", "a b c a b c a", "x x x x", "é\x85b\xa0c # $ <|>", "l\nl\n\n \nl \nm\nl", "q w e " * 9,
+     "\ud83d\ude00 😀 漢字\x1cz"],
+)
+def test_base_counts(text):
+    text = text.encode("utf-16", "surrogatepass").decode("utf-16")
+    assert perplexity.base_counts(text.encode()) == brute_base(text)
+
+
+def test_grams_are_packed_units():
+    grams = perplexity.grams_of("aé😀")
+    units = [0, 0, 0, *np.frombuffer("aé😀".encode("utf-16-le"), "<u2").tolist()]
+    expected = [
+        units[i] << 48 | units[i + 1] << 32 | units[i + 2] << 16 | units[i + 3]
+        for i in range(len(units) - 3)
+    ]
+    assert grams.tolist() == expected
+
+
+def brute_kneser_ney(texts):
+    full = Counter()
+    for text in texts:
+        padded = "\0\0\0" + text
+        full.update(padded[i : i + 4] for i in range(len(text)))
+    orders = [full]
+    for _ in range(3):
+        orders.append(Counter(g[1:] for g in orders[-1]))
+    orders.reverse()
+    probability = fallback = {"": 1 / len(orders[0])}
+    lower = Counter()
+    for counts in orders:
+        fallback = {
+            g: probability[g[1:]] if lower[g[1:]] > 1 else fallback[g[1:]] for g in counts
+        }
+        lower = counts
+        t = [sum(c == i for c in counts.values()) for i in range(1, 5)]
+        y = t[0] / (t[0] + 2 * t[1]) if t[0] else 0
+
+        def discount(c, t=t, y=y):
+            i = min(c, 3)
+            if t[i - 1] == 0 or t[0] == 0:
+                return 0.5 * i
+            return min(max(i - (i + 1) * y * t[i] / t[i - 1], 0.1 * i), 0.9 * i)
+
+        all_of, held = Counter(), Counter()
+        for g, c in counts.items():
+            all_of[g[:-1]] += c
+            held[g[:-1]] += discount(c)
+        probability.update(
+            {
+                g: (c - discount(c)) / all_of[g[:-1]]
+                + held[g[:-1]] / all_of[g[:-1]] * probability[g[1:]]
+                for g, c in counts.items()
+            }
+        )
+    return full, {g: probability[g] for g in full}, fallback
+
+
+def test_model_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(perplexity, "COUNTED_UNITS", 50)
+    monkeypatch.setattr(perplexity, "KEPT_GRAMS", 200)
+    rng = random.Random(4)
+    texts = ["".join(rng.choices("abcé ", k=rng.randrange(90))) for _ in range(30)]
+    docs = spark.createDataFrame(
+        [("x", t) for t in texts] + [("y", "zz"), (None, None), ("x", None)], "lang string, text string"
+    )
+    counts = perplexity.gram_counts(docs, "lang", "text")
+    full, expected, fallback = brute_kneser_ney(texts)
+    found = {
+        int(r._gram) & (1 << 64) - 1: r._p
+        for r in perplexity.kneser_ney(counts).collect()
+        if r._lang == "x"
+    }
+    assert len(found) == len(expected)
+    for gram, p in expected.items():
+        packed = sum(ord(c) << 16 * (3 - i) for i, c in enumerate(gram))
+        assert math.isclose(found[packed], p, rel_tol=1e-9)
+    model = perplexity.model_arrays(perplexity.kneser_ney(counts))
+    assert (np.diff(model.slots) > 0).all()
+    text = max(texts, key=len)
+    own = Counter(("\0\0\0" + text)[i : i + 4] for i in range(len(text)))
+    exact = -sum(
+        n * math.log(fallback[g] if n == full[g] else expected[g]) for g, n in own.items()
+    ) / len(text)
+    assert any(n == full[g] for g, n in own.items())
+    assert math.isclose(perplexity.mean_surprise(text, "x", model), exact, rel_tol=1e-4)
+
+
+def test_judgement(spark):
+    rng = random.Random(6)
+    syllables = ["ba", "do", "ki", "lu", "me", "ra", "so", "ti"]
+    prose = lambda n: " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(n))
+    rows = [(i, prose(120), "aa", "c") for i in range(80)]
+    noise = " ".join("".join(chr(rng.randrange(0x4E00, 0x9000)) for _ in range(5)) for _ in range(80))
+    rows += [
+        (100, noise, "aa", "c"), (101, None, "aa", "c"), (102, "", None, "c"), (103, prose(10), "aa", "c"),
+        (104, "ba do ki " * 40, "aa", "c"), (105, prose(90), None, "c"), (0, rows[0][1], "aa", "c"),
+        (None, prose(90), "aa", "c"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, kept string")
+    out = perplexity.judged_documents(docs).collect()
+    assert len(out) == len(rows)
+    lost = {r.doc_id for r in out if not r.kept}
+    assert lost == {100, 101, 102, 103, 104}
+    assert {r.doc_id for r in out if r.base_failed} == {101, 102, 103, 104}
+    for r in out:
+        if r.doc_id in range(1, 80):
+            text = next(x[1] for x in rows if x[0] == r.doc_id)
+            assert tuple(r[c] for c in perplexity.BASE) == brute_base(text)
+    kept = perplexity.kept_documents(docs)
+    assert kept.columns == docs.columns and kept.count() == len(rows) - 5
+    assert perplexity.judged_documents(docs.limit(0)).collect() == []
+
+
+def test_languages_of_held_out_documents(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    out = registry.op10_byte_cnn_language(spark, SMALL).join(docs, "doc_id").collect()
+    held = [r for r in out if r.held_out]
+    assert len(out) == docs.count() and held
+    assert sum(r.lang == r.lang_pred for r in held) >= 0.95 * len(held)
+    assert all(0 <= r.score <= 1 for r in out)
+
+
+def test_odd_texts_and_no_labels(spark):
+    rows = [(1, None), (2, ""), (3, "123 !"), (4, "é"), (None, "abc"), (4, "é")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labelled = docs.withColumn("lang", F.lit("xx"))
+    network = language_id.fit(labelled, F.col("doc_id"))
+    codes = sorted((r.doc_id or 0, r.lang_pred) for r in language_id.predict(docs, network).collect())
+    assert codes == [(0, "xx"), (1, "und"), (2, "und"), (3, "und"), (4, "xx"), (4, "xx")]
+    assert language_id.fit(labelled.limit(0), F.col("doc_id")) is None
+    assert {r.lang_pred for r in language_id.predict(docs, None).collect()} == {"und"}
+    assert language_id.predict(docs.limit(0), network).collect() == []
+
+
+def test_windows_cover_the_whole_text():
+    text = bytes(range(97, 123)) * 30
+    x = language_id.windows_of(text)
+    assert x.tobytes()[: len(text)] == text and set(x.tobytes()[len(text) :]) == {0}
+
+
+def test_tables_equal_the_filters():
+    rng = np.random.default_rng(1)
+    x = rng.integers(0, 256, (5, language_id.WINDOW)).astype(np.uint8)
+    net = language_id.train(x, np.array([0, 1, 0, 1, 1]), ["a", "b"])
+    features = np.maximum(
+        np.concatenate([net.responses(x, w).max(axis=1) for w in language_id.WIDTHS], axis=1), 0
+    )
+    direct = features @ net.output[:-1] + net.output[-1]
+    assert np.allclose(net.logits(x, net.tables()), direct, atol=1e-3)
