@@ -1,14 +1,16 @@
 """Quality rules: character n-gram perplexity within language-specific bands.
 
 The model is modified Kneser-Ney over 4-grams of UTF-16 units, one per language.
+It learns from all documents with clean base signals, so junk does not teach it;
+grams that only other documents have get their probability from shorter ones.
 Tasks count the grams of their rows, Spark sums the counts over the whole corpus
 and turns them into probabilities order by order. What scoring needs of it is
 stored in arrays by sorted slots of hashed grams, of at most 2^SLOT_BITS entries
 whatever the corpus; grams sharing a slot share the mean of their values,
 weighted by count. That bound is what is broadcast.
 
-Each document was counted too, so its own rarities would look familiar. A gram
-that only this document has is therefore scored by its fallback, the shorter
+A document it learnt from was counted too, so its own rarities would look
+familiar. A gram that only this document has is therefore scored by its fallback, the shorter
 gram that follows more than one unit.
 """
 
@@ -34,11 +36,12 @@ COUNTED_UNITS = 1 << 19
 KEPT_GRAMS = 1 << 22
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
-# A band reaches BAND robust standard deviations from the language's median, but
-# at least LEAST_BAND nats a unit: prose that quotes another language stays inside
-# that, text that is no language at all does not.
+# The model and the bands learn from documents with at most this share of symbols.
+MAX_SYMBOL_PERCENT = 1
+# A band reaches BAND robust standard deviations from the language's median; with
+# fewer than FITTED documents to tell them, at least those of all languages together.
 BAND = 8.0
-LEAST_BAND = 1.0
+FITTED = 30
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 _BLANKS = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -74,6 +77,16 @@ def _repeated(words: list[bytes]) -> int:
     return int(covered.sum())
 
 
+def teaches(counts: tuple[int, int, int, int, int]) -> bool:
+    """Whether a text with these base counts passes the base rules and has few symbols."""
+    words, chars, symbols, _, repeated = counts
+    return (
+        words >= MIN_WORDS
+        and 100 * repeated <= MAX_REPEATED_PERCENT * words
+        and 100 * symbols <= MAX_SYMBOL_PERCENT * chars
+    )
+
+
 def grams_of(text: str) -> np.ndarray:
     """The gram ending at each UTF-16 unit, packed into 64 bits; units before the text are 0."""
     units = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2")
@@ -114,8 +127,10 @@ class _Counts:
         self.grams, first = np.unique(both[order], return_index=True)
         self.n = np.add.reduceat(np.concatenate([self.n, n])[order], first)
 
-    def taken(self, code: str) -> Iterator[pa.RecordBatch]:
+    def taken(self, code: str, counted: bool) -> Iterator[pa.RecordBatch]:
         self.merge()
+        if not counted:
+            self.n[:] = 0
         for start in range(0, len(self.grams), COUNTED_UNITS):
             grams = self.grams[start : start + COUNTED_UNITS].view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -128,25 +143,32 @@ class _Counts:
             )
 
 
-def gram_counts(docs: DataFrame, lang: str, text: str) -> DataFrame:
+def gram_counts(docs: DataFrame, lang: str, text: str, clean: bool = False) -> DataFrame:
     """How often each language has each gram, as _lang, _gram and _n, over all rows.
 
+    With clean, rows that do not teach the model have their grams listed but not
+    counted, so that _n is 0 where no other row has them.
     A task counts its rows in arrays of at most about KEPT_GRAMS entries, which
     go to Spark's aggregate when they are full and at the end.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: dict[str, _Counts] = {}
+        found: dict[tuple[str, bool], _Counts] = {}
         for batch in batches:
             for code, body in zip(batch.column(0), batch.column(1), strict=True):
                 if body.is_valid:
-                    found.setdefault(code.as_py(), _Counts()).add(grams_of(body.as_py()))
+                    whole = body.as_py()
+                    counted = not clean or teaches(
+                        base_counts(whole.encode("utf-8", "surrogatepass"))
+                    )
+                    kind = code.as_py(), counted
+                    found.setdefault(kind, _Counts()).add(grams_of(whole))
             if sum(len(c.grams) + c.units for c in found.values()) > KEPT_GRAMS:
-                for code, counts in found.items():
-                    yield from counts.taken(code)
+                for kind, counts in found.items():
+                    yield from counts.taken(*kind)
                 found = {}
-        for code, counts in found.items():
-            yield from counts.taken(code)
+        for kind, counts in found.items():
+            yield from counts.taken(*kind)
 
     rows = docs.select(F.coalesce(F.col(lang), F.lit("")), text)
     counted = rows.mapInArrow(each, "_lang string, _gram long, _n long")
@@ -178,7 +200,9 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     """Probability _p of each counted gram's last unit after the others, with its count _n.
 
     The highest order has its counts, each lower one the number of distinct
-    units its grams follow. Orders are interpolated down to a uniform share.
+    units its grams follow. A gram without a count has what its context leaves
+    for unseen units, or all of the shorter gram's share if the context has no
+    count either. Orders are interpolated down to a uniform share.
     _fallback is the probability by the longest shorter gram that follows two
     units or more, or else the uniform share.
     """
@@ -186,13 +210,18 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("_gram").bitwiseAND(F.lit((1 << _UNIT * order) - 1))
         orders.append(
-            orders[-1].groupBy("_lang", suffix.alias("_gram")).agg(F.count(F.lit(1)).alias("_n"))
+            orders[-1].groupBy("_lang", suffix.alias("_gram")).agg(F.count_if(F.col("_n") > 0).alias("_n"))
         )
     known = orders[-1].groupBy("_lang").agg(F.count(F.lit(1)).alias("_units"))
     lower = None
     for order, grams in zip(range(1, ORDER + 1), reversed(orders), strict=True):
         n = F.col("_n")
-        d = F.when(n == 1, F.col("_d1")).when(n == 2, F.col("_d2")).otherwise(F.col("_d3"))
+        d = (
+            F.when(n == 0, 0.0)
+            .when(n == 1, F.col("_d1"))
+            .when(n == 2, F.col("_d2"))
+            .otherwise(F.col("_d3"))
+        )
         discounted = (
             spread_join(grams, _discounts(grams), ["_lang"], "inner")
             .withColumn("_d", d)
@@ -205,8 +234,8 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
             "_lang",
             "_gram",
             "_n",
-            ((n - F.col("_d")) / F.col("_all")).alias("_own"),
-            (F.col("_held") / F.col("_all")).alias("_backoff"),
+            F.coalesce(F.try_divide(n - F.col("_d"), F.col("_all")), F.lit(0.0)).alias("_own"),
+            F.coalesce(F.try_divide("_held", "_all"), F.lit(1.0)).alias("_backoff"),
             F.col("_gram").bitwiseAND(F.lit((1 << _UNIT * (order - 1)) - 1)).alias("_suffix"),
         )
         if lower is None:
@@ -278,7 +307,8 @@ def model_arrays(probabilities: DataFrame, bits: int = SLOT_BITS) -> Model:
     slot = F.shiftrightunsigned(F.xxhash64("_lang", "_gram"), 64 - bits).cast("int")
 
     def mean(probability: str) -> Column:
-        return (F.sum(F.col("_n") * F.log(probability)) / F.sum("_n")).cast("float")
+        weight = F.greatest("_n", F.lit(1))
+        return (F.sum(weight * F.log(probability)) / F.sum(weight)).cast("float")
 
     stored = (
         probabilities.groupBy(slot.alias("slots"))
@@ -296,13 +326,17 @@ def model_arrays(probabilities: DataFrame, bits: int = SLOT_BITS) -> Model:
 # --- scoring -----------------------------------------------------------------------
 
 
-def mean_surprise(text: str, lang: str, model: Model) -> float:
-    """Nats a unit of the text under its language's model: the log of its perplexity."""
+def mean_surprise(text: str, lang: str, model: Model, taught: bool = True) -> float:
+    """Nats a unit of the text under its language's model: the log of its perplexity.
+
+    taught tells whether the model's counts hold the text's own.
+    """
     grams, n = np.unique(grams_of(text), return_counts=True)
     if not len(grams):
         return 0.0
     at = np.searchsorted(model.slots, slot_of(grams, lang))
-    logp = np.where(n >= model.counts[at], model.fallback[at], model.logp[at])
+    own = (n >= model.counts[at]) if taught else np.zeros(len(n), dtype=bool)
+    logp = np.where(own, model.fallback[at], model.logp[at])
     return float(-(logp * n).sum() / n.sum())
 
 
@@ -317,7 +351,9 @@ def scored_documents(docs: DataFrame, id_column: str, lang: str, text: str, mode
             for code, body in zip(batch.column(1), batch.column(3), strict=True):
                 whole = body.as_py() or ""
                 counts.append(base_counts(whole.encode("utf-8", "surrogatepass")))
-                surprise.append(mean_surprise(whole, code.as_py(), shared.value))
+                surprise.append(
+                    mean_surprise(whole, code.as_py(), shared.value, teaches(counts[-1]))
+                )
             columns = np.array(counts, dtype=np.int64).reshape(-1, len(BASE)).T
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], *map(pa.array, columns), pa.array(surprise, pa.float64())],
@@ -337,21 +373,31 @@ def scored_documents(docs: DataFrame, id_column: str, lang: str, text: str, mode
 
 
 def language_bands(scored: DataFrame) -> DataFrame:
-    """Lower and upper surprise of each language: its median and so many deviations around it."""
-    prose = scored.where(~F.col("base_failed"))
+    """Lower and upper surprise of each language: its median and so many deviations around it.
+
+    Both come from the documents that teach the model. A language without any has no row.
+    """
+    prose = scored.where("_teaches")
     middle = prose.groupBy("_lang").agg(
         F.percentile_approx("surprise", 0.5, 10000).alias("_middle")
     )
     off = spread_join(prose, middle, ["_lang"], "inner").withColumn(
         "_off", F.abs(F.col("surprise") - F.col("_middle"))
     )
-    width = F.greatest(F.col("_spread_off") * (1.4826 * BAND), F.lit(LEAST_BAND))
+    typical = F.percentile_approx("_off", 0.5, 10000)
+    of_all = off.agg(typical.alias("_all_off"))
+    spread = F.when(F.col("_fitted") < FITTED, F.greatest("_own_off", "_all_off")).otherwise(
+        F.col("_own_off")
+    )
+    width = spread * (1.4826 * BAND)
     return (
         off.groupBy("_lang")
         .agg(
             F.max("_middle").alias("_middle"),
-            F.percentile_approx("_off", 0.5, 10000).alias("_spread_off"),
+            F.count(F.lit(1)).alias("_fitted"),
+            typical.alias("_own_off"),
         )
+        .crossJoin(F.broadcast(of_all))
         .select(
             "_lang",
             (F.col("_middle") - width).alias("lower"),
@@ -370,20 +416,23 @@ def judged_documents(
 
     base_failed: fewer than MIN_WORDS words, or over MAX_REPEATED_PERCENT of
     them in repeated 3-word windows. kept is false if base_failed or if the
-    surprise lies outside its language's band, which the documents that do not
-    fail the base rules set. Rows without a language are one language of their
+    surprise lies outside its language's band, which the documents set that do
+    not fail the base rules and have at most MAX_SYMBOL_PERCENT symbols to their
+    word_chars. A language without such documents has no band, and only the base
+    rules judge it. Rows without a language are one language of their
     own. NULL and empty texts have no words, surprise 0, and fail. Repeated
     rows count as often as they come and are judged alike; no rows give no
     rows. text_hash is xxhash64 of the text.
     """
-    counts = settle(gram_counts(docs, lang_column, text_column)).rows
+    counts = settle(gram_counts(docs, lang_column, text_column, clean=True)).rows
     model = model_arrays(kneser_ney(counts))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
     )
+    few = 100 * F.col("n_symbols") <= MAX_SYMBOL_PERCENT * F.col("word_chars")
     scored = settle(
-        scored_documents(docs, id_column, lang_column, text_column, model).withColumn(
-            "base_failed", failed
+        scored_documents(docs, id_column, lang_column, text_column, model).withColumns(
+            {"base_failed": failed, "_teaches": ~failed & few}
         )
     ).rows
     inside = F.col("surprise").between(F.col("lower"), F.col("upper"))
@@ -393,7 +442,7 @@ def judged_documents(
         *BASE,
         "base_failed",
         "surprise",
-        (~F.col("base_failed") & F.coalesce(inside, F.lit(False))).alias("kept"),
+        (~F.col("base_failed") & F.coalesce(inside, F.lit(True))).alias("kept"),
     )
 
 

@@ -150,6 +150,20 @@ def test_judgement(spark):
     assert perplexity.judged_documents(docs.limit(0)).collect() == []
 
 
+def test_junk_in_most_documents_teaches_nothing(spark):
+    rng = random.Random(8)
+    syllables = ["ba", "do", "ki", "lu", "me", "ra", "so", "ti"]
+    word = lambda: "".join(rng.choices(syllables, k=rng.randrange(1, 5)))
+    prose = [" ".join(word() for _ in range(120)) for _ in range(60)]
+    junk = [" ".join(word() + rng.choice("#$%&*") * 3 for _ in range(120)) for _ in range(80)]
+    rows = [(i, t, "aa") for i, t in enumerate(prose + junk)] + [(999, junk[0], "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = {r.doc_id: r for r in perplexity.judged_documents(docs).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert {i for i, r in out.items() if not r.kept} == set(range(60, 140))
+    assert math.isclose(out[999].surprise, math.log(len(set(junk[0]))), rel_tol=1e-5)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = registry.op10_byte_cnn_language(spark, SMALL).join(docs, "doc_id").collect()
