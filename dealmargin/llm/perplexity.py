@@ -10,7 +10,7 @@ whatever the corpus; grams sharing a slot share the mean of their values,
 weighted by count. That bound is what is broadcast.
 
 A document it learnt from was counted too, so its own rarities would look
-familiar. A gram that only this document has is therefore scored by its fallback, the shorter
+familiar. Equal texts are counted once, and a gram that only this text has is scored by its fallback, the shorter
 gram that follows more than one unit.
 """
 
@@ -143,6 +143,26 @@ class _Counts:
             )
 
 
+def distinct_texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
+    """Each text once for each of its languages, as _lang and _text.
+
+    A filter of the hashes that come twice or more leaves the other texts where
+    they are; the rest are compared as they are, not by their hashes.
+    """
+    rows = docs.where(F.col(text).isNotNull()).select(
+        F.coalesce(F.col(lang), F.lit("")).alias("_lang"), F.col(text).alias("_text")
+    )
+    keyed = rows.withColumn("_pair", F.xxhash64("_lang", "_text"))
+    again = settle(
+        keyed.groupBy("_pair").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_pair")
+    )
+    blocks = bloom.block_count(again.count)
+    known = bloom.bloom_filter(again.rows, "_pair", blocks)
+    probed = bloom.with_possible(keyed, known, "_pair", blocks, "_maybe")
+    once = probed.where(~F.col("_maybe")).select("_lang", "_text")
+    return once.unionByName(probed.where("_maybe").select("_lang", "_text").distinct())
+
+
 def gram_counts(docs: DataFrame, lang: str, text: str, clean: bool = False) -> DataFrame:
     """How often each language has each gram, as _lang, _gram and _n, over all rows.
 
@@ -375,9 +395,9 @@ def scored_documents(docs: DataFrame, id_column: str, lang: str, text: str, mode
 def language_bands(scored: DataFrame) -> DataFrame:
     """Lower and upper surprise of each language: its median and so many deviations around it.
 
-    Both come from the documents that teach the model. A language without any has no row.
+    Both come from the texts that teach the model, each counted once. A language without any has no row.
     """
-    prose = scored.where("_teaches")
+    prose = scored.where("_teaches").select("_lang", "_hash", "surprise").distinct()
     middle = prose.groupBy("_lang").agg(
         F.percentile_approx("surprise", 0.5, 10000).alias("_middle")
     )
@@ -420,11 +440,12 @@ def judged_documents(
     not fail the base rules and have at most MAX_SYMBOL_PERCENT symbols to their
     word_chars. A language without such documents has no band, and only the base
     rules judge it. Rows without a language are one language of their
-    own. NULL and empty texts have no words, surprise 0, and fail. Repeated
-    rows count as often as they come and are judged alike; no rows give no
-    rows. text_hash is xxhash64 of the text.
+    own. NULL and empty texts have no words, surprise 0, and fail. Equal texts
+    of a language count once in its model and band and are judged alike; no
+    rows give no rows. text_hash is xxhash64 of the text.
     """
-    counts = settle(gram_counts(docs, lang_column, text_column, clean=True)).rows
+    texts = distinct_texts(docs, lang_column, text_column)
+    counts = settle(gram_counts(texts, "_lang", "_text", clean=True)).rows
     model = model_arrays(kneser_ney(counts))
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")

@@ -164,6 +164,26 @@ def test_junk_in_most_documents_teaches_nothing(spark):
     assert math.isclose(out[999].surprise, math.log(len(set(junk[0]))), rel_tol=1e-5)
 
 
+def test_copies_of_junk_do_not_make_it_familiar(spark):
+    rng = random.Random(9)
+    syllables = ["ba", "do", "ki", "lu", "me", "ra", "so", "ti"]
+    prose = [
+        " ".join("".join(rng.choices(syllables, k=rng.randrange(1, 5))) for _ in range(120))
+        for _ in range(60)
+    ]
+    han = [chr(c) for c in range(0x4E00, 0x9000)]
+    junk = [" ".join("".join(rng.choices(han, k=5)) for _ in range(80)) for _ in range(3)]
+    rows = [(t, "aa") for t in [*prose, *junk[:1], *junk[1:2] * 2, *junk[2:] * 100]]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string")
+    out = perplexity.judged_documents(docs).collect()
+    assert len(out) == len(rows) and not any(r.base_failed for r in out)
+    assert {r.doc_id for r in out if not r.kept} == set(range(60, len(rows)))
+    highest = max(r.surprise for r in out if r.doc_id < 60)
+    assert all(r.surprise > highest + 1 for r in out if r.doc_id >= 60)
+    texts = perplexity.distinct_texts(docs, "lang", "text").collect()
+    assert sorted(r._text for r in texts) == sorted({t for t, _ in rows})
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = registry.op10_byte_cnn_language(spark, SMALL).join(docs, "doc_id").collect()
