@@ -4,10 +4,10 @@ The model is modified Kneser-Ney over 4-grams of UTF-16 units, one per language.
 It learns from all documents with clean base signals, so junk does not teach it;
 grams that only other documents have get their probability from shorter ones.
 Tasks count the grams of their rows, Spark sums the counts over the whole corpus
-and turns them into probabilities order by order. What scoring needs of it is
-stored in arrays by sorted slots of hashed grams, of at most 2^SLOT_BITS entries
-whatever the corpus; grams sharing a slot share the mean of their values,
-weighted by count. That bound is what is broadcast.
+and turns them into probabilities order by order. Scoring has an entry for every
+gram, in arrays sorted by a 64-bit key. A large model is cut into ranges of the
+key of about RANGE_GRAMS entries: the driver holds one of them at a time, and a
+task takes one after the other for each of its chunks of documents.
 
 A document it learnt from was counted too, so its own rarities would look
 familiar. Equal texts are counted once, and a gram that only this text has is scored by its fallback, the shorter
@@ -16,22 +16,26 @@ gram that follows more than one unit.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealmargin.llm import bloom
 from dealmargin.operators.joins import settle, spread_join
+from dealmargin.session import scratch_dir
 
 ORDER = 4
 _UNIT = 16
-SLOT_BITS = 23
+RANGE_GRAMS = 1 << 22
+CHUNK_GRAMS = 1 << 20
 COUNTED_UNITS = 1 << 19
 KEPT_GRAMS = 1 << 22
 MIN_WORDS = 50
@@ -287,8 +291,11 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     return lower
 
 
-def slot_of(grams: np.ndarray, lang: str, bits: int = SLOT_BITS) -> np.ndarray:
-    """The slot of each gram: the upper bits of Spark's xxhash64(lang, gram)."""
+def slot_of(grams: np.ndarray, lang: str) -> np.ndarray:
+    """The key of each gram: Spark's xxhash64(lang, gram), unsigned.
+
+    Its steps can all be undone, so no two grams of one language share a key.
+    """
     p1, p2, p3, p4, p5 = (
         np.uint64(p)
         for p in (  # fixed values of the hash
@@ -310,11 +317,11 @@ def slot_of(grams: np.ndarray, lang: str, bits: int = SLOT_BITS) -> np.ndarray:
         h = (h ^ (h >> np.uint64(33))) * p2
         h = (h ^ (h >> np.uint64(29))) * p3
         h = h ^ (h >> np.uint64(32))
-    return (h >> np.uint64(64 - bits)).astype(np.int64)
+    return h
 
 
 class Model(NamedTuple):
-    """By sorted slot: how often its grams occur, and their mean log probabilities."""
+    """By sorted key: how often each gram occurs, and its log probabilities."""
 
     slots: np.ndarray
     counts: np.ndarray
@@ -322,58 +329,122 @@ class Model(NamedTuple):
     fallback: np.ndarray
 
 
-def model_arrays(probabilities: DataFrame, bits: int = SLOT_BITS) -> Model:
-    """The model of at most 2^bits entries of 16 bytes each, collected to the driver."""
-    slot = F.shiftrightunsigned(F.xxhash64("_lang", "_gram"), 64 - bits).cast("int")
+def _entries(probabilities: DataFrame) -> DataFrame:
+    return probabilities.select(
+        F.xxhash64("_lang", "_gram").alias("slots"),
+        F.least("_n", F.lit((1 << 31) - 1)).cast("int").alias("counts"),
+        F.log("_p").cast("float").alias("logp"),
+        F.log("_fallback").cast("float").alias("fallback"),
+    )
 
-    def mean(probability: str) -> Column:
-        weight = F.greatest("_n", F.lit(1))
-        return (F.sum(weight * F.log(probability)) / F.sum(weight)).cast("float")
 
-    stored = (
-        probabilities.groupBy(slot.alias("slots"))
-        .agg(
-            F.least(F.sum("_n"), F.lit((1 << 31) - 1)).cast("int").alias("counts"),
-            mean("_p").alias("logp"),
-            mean("_fallback").alias("fallback"),
-        )
-        .toArrow()
-    )
-    order = np.argsort(stored["slots"].to_numpy())
-    return Model(*(stored[name].to_numpy()[order] for name in Model._fields))
+def _collected(entries: DataFrame) -> Model:
+    stored = entries.select(*Model._fields).toArrow()
+    slots = stored["slots"].to_numpy().view(np.uint64)
+    order = np.argsort(slots)
+    return Model(slots[order], *(stored[name].to_numpy()[order] for name in Model._fields[1:]))
+
+
+def model_arrays(probabilities: DataFrame) -> Model:
+    """The whole model, 20 bytes a gram, collected to the driver."""
+    return _collected(_entries(probabilities))
+
+
+def model_ranges(probabilities: DataFrame, grams: int) -> list[Broadcast]:
+    """The model of so many grams as broadcast ranges of equal width, a power of two of them.
+
+    Several ranges are written to the checkpoint folder first, so that none is
+    computed or read twice.
+    """
+    spark = probabilities.sparkSession
+    bits = max(0, -(-grams // RANGE_GRAMS) - 1).bit_length()
+    if not bits:
+        return [spark.sparkContext.broadcast(model_arrays(probabilities))]
+    path = f"{scratch_dir(spark)}/model-{uuid.uuid4().hex}"
+    place = F.shiftrightunsigned("slots", 64 - bits).cast("int")
+    entries = _entries(probabilities).withColumn("_range", place)
+    entries.write.partitionBy("_range").parquet(path)
+    stored = spark.read.schema(entries.schema).parquet(path)
+    return [
+        spark.sparkContext.broadcast(_collected(stored.where(F.col("_range") == r)))
+        for r in range(1 << bits)
+    ]
 
 
 # --- scoring -----------------------------------------------------------------------
 
 
+def _log_probability(slots: np.ndarray, own: np.ndarray, model: Model) -> np.ndarray:
+    """By key; own is how often the text has the gram, or 0 if the model did not learn from it."""
+    at = np.searchsorted(model.slots, slots)
+    return np.where((own > 0) & (own >= model.counts[at]), model.fallback[at], model.logp[at])
+
+
 def mean_surprise(text: str, lang: str, model: Model, taught: bool = True) -> float:
     """Nats a unit of the text under its language's model: the log of its perplexity.
 
     taught tells whether the model's counts hold the text's own.
     """
-    grams, n = np.unique(grams_of(text), return_counts=True)
-    if not len(grams):
-        return 0.0
-    at = np.searchsorted(model.slots, slot_of(grams, lang))
-    own = (n >= model.counts[at]) if taught else np.zeros(len(n), dtype=bool)
-    logp = np.where(own, model.fallback[at], model.logp[at])
-    return float(-(logp * n).sum() / n.sum())
-
-
-def scored_documents(docs: DataFrame, id_column: str, lang: str, text: str, model: Model) -> DataFrame:
+    return mean_surprises([(text, lang, taught)], 0, lambda _: model)[0]
+
+
+def mean_surprises(
+    texts: list[tuple[str, str, bool]], bits: int, load: Callable[[int], Model]
+) -> list[float]:
+    """mean_surprise of each text, language and taught, by a model of 2^bits ranges of its key."""
+    found = [np.unique(grams_of(text), return_counts=True) for text, _, _ in texts]
+    sizes = [len(grams) for grams, _ in found]
+    if not sum(sizes):
+        return [0.0] * len(texts)
+    slots = np.concatenate(
+        [slot_of(grams, lang) for (grams, _), (_, lang, _) in zip(found, texts, strict=True)]
+    )
+    n = np.concatenate([n for _, n in found])
+    own = n * np.repeat([taught for _, _, taught in texts], sizes)
+    if bits:
+        places = slots >> np.uint64(64 - bits)
+        logp = np.empty(len(slots))
+        for place in np.unique(places):
+            here = places == place
+            logp[here] = _log_probability(slots[here], own[here], load(int(place)))
+    else:
+        logp = _log_probability(slots, own, load(0))
+    of = np.repeat(np.arange(len(texts)), sizes)
+    total = np.bincount(of, logp * n, len(texts))
+    units = np.bincount(of, n, len(texts))
+    return (-total / np.maximum(units, 1)).tolist()
+
+
+def _loaded(shared: Broadcast, keep: bool) -> Model:
+    """A range's arrays, which the task's process does not hold on to unless told to."""
+    model = shared.value
+    if not keep and getattr(shared, "_path", None) is not None:
+        del shared._value
+    return model
+
+
+def scored_documents(
+    docs: DataFrame, id_column: str, lang: str, text: str, ranges: list[Broadcast]
+) -> DataFrame:
     """Id, language, text hash, base counts and surprise of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    bits = len(ranges).bit_length() - 1
     kind = docs.schema[id_column].dataType.simpleString()
 
+    def load(place: int) -> Model:
+        return _loaded(ranges[place], keep=not bits)
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            counts, surprise = [], []
+            counts, surprise, texts, units = [], [], [], 0
             for code, body in zip(batch.column(1), batch.column(3), strict=True):
                 whole = body.as_py() or ""
                 counts.append(base_counts(whole.encode("utf-8", "surrogatepass")))
-                surprise.append(
-                    mean_surprise(whole, code.as_py(), shared.value, teaches(counts[-1]))
-                )
+                texts.append((whole, code.as_py(), teaches(counts[-1])))
+                units += len(whole)
+                if units >= CHUNK_GRAMS:
+                    surprise += mean_surprises(texts, bits, load)
+                    texts, units = [], 0
+            surprise += mean_surprises(texts, bits, load)
             columns = np.array(counts, dtype=np.int64).reshape(-1, len(BASE)).T
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:3], *map(pa.array, columns), pa.array(surprise, pa.float64())],
@@ -445,14 +516,14 @@ def judged_documents(
     rows give no rows. text_hash is xxhash64 of the text.
     """
     texts = distinct_texts(docs, lang_column, text_column)
-    counts = settle(gram_counts(texts, "_lang", "_text", clean=True)).rows
-    model = model_arrays(kneser_ney(counts))
+    counts = settle(gram_counts(texts, "_lang", "_text", clean=True))
+    ranges = model_ranges(kneser_ney(counts.rows), counts.count)
     failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEATED_PERCENT * F.col("n_words")
     )
     few = 100 * F.col("n_symbols") <= MAX_SYMBOL_PERCENT * F.col("word_chars")
     scored = settle(
-        scored_documents(docs, id_column, lang_column, text_column, model).withColumns(
+        scored_documents(docs, id_column, lang_column, text_column, ranges).withColumns(
             {"base_failed": failed, "_teaches": ~failed & few}
         )
     ).rows

@@ -184,6 +184,33 @@ def test_copies_of_junk_do_not_make_it_familiar(spark):
     assert sorted(r._text for r in texts) == sorted({t for t, _ in rows})
 
 
+def test_every_gram_keeps_its_own_entry_in_ranges(spark, monkeypatch):
+    rng = random.Random(10)
+    han = [chr(c) for c in range(0x4E00, 0x9000)]
+    texts = ["".join(rng.choices(han, k=400)) for _ in range(8)] + ["a\0b" * 30, ""]
+    docs = spark.createDataFrame(
+        [(i, t, lang) for i, t in enumerate(texts) for lang in ("x", "y")],
+        "doc_id long, text string, lang string",
+    )
+    counts = perplexity.gram_counts(docs, "lang", "text")
+    probabilities = perplexity.kneser_ney(counts).persist()
+    model = perplexity.model_arrays(probabilities)
+    assert len(model.slots) == len(set(model.slots.tolist())) == counts.count()
+    monkeypatch.setattr(perplexity, "RANGE_GRAMS", 1000)
+    monkeypatch.setattr(perplexity, "CHUNK_GRAMS", 500)
+    ranges = perplexity.model_ranges(probabilities, counts.count())
+    parts = [r.value for r in ranges]
+    assert len(parts) == 8 and max(len(p.slots) for p in parts) < 1000
+    for field, whole in zip(perplexity.Model._fields, model, strict=True):
+        assert np.array_equal(np.concatenate([getattr(p, field) for p in parts]), whole)
+    scored = perplexity.scored_documents(docs, "doc_id", "lang", "text", ranges).collect()
+    assert len(scored) == docs.count()
+    for r in scored:
+        counted = perplexity.teaches(perplexity.base_counts(texts[r._id].encode()))
+        expected = perplexity.mean_surprise(texts[r._id], r._lang, model, counted)
+        assert math.isclose(r.surprise, expected, rel_tol=1e-9, abs_tol=1e-12)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     out = registry.op10_byte_cnn_language(spark, SMALL).join(docs, "doc_id").collect()
