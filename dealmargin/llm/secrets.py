@@ -2,31 +2,34 @@
 
 Strong spans are reported wherever they are. Identifiers, weak secrets and
 endpoints are each too common to report alone. They are joined as intervals
-within their scope, a block of lines without a blank one: a sweep over the
-parts in text order knows the nearest complementary part on either side, so no
-pairs are formed. A weak part is reported if one is within REACH.
+within their scope, a block of lines without a blank one: a window over the
+block knows which roles it has, so no pairs are formed. A weak part is reported
+if its block has a complementary one, however far apart they are.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealmargin.llm.columns import let, text_or_empty
 from dealmargin.operators.joins import settle
 
-REACH = 300
+REACH = math.inf  # code points between linked parts: the block alone bounds them
 _VALUE = r"""["']?\x20*[:=]\x20*["']?"""
+_PREFIX = r"(?<![A-Za-z0-9_])(?:[A-Za-z0-9_]*_)?"  # of names such as db_user
 ASSIGN = rf"(?i:password|passwd|secret|token|api_?key){_VALUE}([A-Za-z0-9+/_.=-]+)"
 ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 ASSIGN_VALUE = 6
 IDENTIFIER = (
-    rf"(?<![A-Za-z0-9_])(?i:client_?id|access_?key_?id|account(?:_?id)?|user(?:_?name)?|login)"
+    rf"{_PREFIX}(?i:client_?id|access_?key_?id|account(?:_?id)?|user(?:_?name)?|login)"
     rf"{_VALUE}[A-Za-z0-9._@-]{{3,}}"
 )
 WEAK_SECRET = (
-    rf"(?<![A-Za-z0-9_])(?i:pwd|pass(?:phrase)?|private_?key|signature|credential){_VALUE}[^\s\"']{{6,}}"
+    rf"{_PREFIX}(?i:pwd|pass(?:phrase)?|private_?key|signature|credential){_VALUE}[^\s\"']{{6,}}"
     r"|(?<![A-Za-z0-9+/=_-])(?=[A-Za-z+/_-]*[0-9])(?=[a-z0-9+/_-]*[A-Z])(?=[A-Z0-9+/_-]*[a-z])"
     r"[A-Za-z0-9+/_-]{32,64}(?![A-Za-z0-9+/=_-])"
 )
@@ -95,18 +98,10 @@ def _gated(text: Column, hint: str, spans: Column) -> Column:
     return F.when(F.contains(text, F.lit(hint)), spans).otherwise(F.array().cast(_SPAN))
 
 
-def _nearest(part: Column, other: str) -> Column:
-    """Whether a complementary part of another role lies within reach on either side."""
-    before = Window.partitionBy("_id", "text_hash", "_scope").orderBy("start", "end")
-    after = Window.partitionBy("_id", "text_hash", "_scope").orderBy(
-        F.desc("start"), F.desc("end")
-    )
-    its = F.col("_role") == other
-    left = F.max(F.when(its, F.col("end"))).over(before)
-    right = F.min(F.when(its, F.col("start"))).over(after)
-    return F.coalesce(F.col("start") - left <= REACH, F.lit(False)) | F.coalesce(
-        right - F.col("end") <= REACH, F.lit(False)
-    )
+def _present(role: Column, other: str) -> Column:
+    """Whether the part's block has a part of the other role."""
+    block = Window.partitionBy("_id", "text_hash", "_scope")
+    return F.max(role == other).over(block)
 
 
 def secret_spans(
@@ -116,8 +111,8 @@ def secret_spans(
 
     rank is the kind's place in KINDS; positions are code points, ends are
     exclusive, spans are in order of start and rank. A weak identifier counts
-    near a secret of its scope, a weak secret near an identifier or endpoint, an
-    endpoint near a secret; strong spans take part. A weak part that is a strong
+    with a secret in its scope, a weak secret with an identifier or endpoint, an
+    endpoint with a secret; strong spans take part. A weak part that is a strong
     span's own text counts as that span and is not reported again.
 
     NULL texts are empty and have no spans. Rows that repeat an id are told
@@ -181,7 +176,7 @@ def secret_spans(
             F.size(F.filter("_breaks", lambda b: b < F.col("start"))).alias("_scope"),
         )
     )
-    near = {r: _nearest(F.col("_role"), r) for r in ("identifier", "secret", "endpoint")}
+    near = {r: _present(F.col("_role"), r) for r in ("identifier", "secret", "endpoint")}
     linked = parts.withColumns({f"_near_{r}": c for r, c in near.items()}).where(
         (F.col("rank") >= 3)
         & F.when(

@@ -104,3 +104,20 @@ def test_repeated_rows_and_empty_table(spark):
     out = secrets.secret_spans(docs).collect()
     assert sorted(len(r.weak) for r in out) == [0, 2, 2, 2]
     assert secrets.secret_spans(docs.limit(0)).collect() == []
+
+
+def test_far_parts_and_prefixed_names(spark):
+    far = "x" * 5000
+    texts = [
+        f'{{"private_key": "abc{far}", "client_id": "app-77"}}',
+        f"client_id=app-77 {far} pwd=hunter22x",
+        "db_user=anna\nDB_PWD=hunter22x",
+        "db_user=anna\n\nDB_PWD=hunter22x",
+        "aws_access_key_id=ASIAXYZ pwd=hunter22x",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
+    found = {i: [texts[i][s.start : s.end] for s in r.weak] for i, r in out.items()}
+    assert [len(found[i]) for i in range(5)] == [2, 2, 2, 0, 2]
+    assert found[2] == ["db_user=anna", "DB_PWD=hunter22x"]
+    assert found[4][0] == "aws_access_key_id=ASIAXYZ"
