@@ -126,7 +126,7 @@ def pnl_by_team(tables: Tables) -> DataFrame:
         .agg(
             F.count(F.lit(1)).alias("contracts"),
             F.max("product_value").alias("product_value"),
-            *[F.sum(one.won(name, scale)).alias(name) for name in _ADDITIVE],
+            *[F.sum(one.exact(name, scale)).alias(name) for name in _ADDITIVE],
         )
     )
     summed = per_opportunity.groupBy("date_payment", "team").agg(

@@ -69,9 +69,14 @@ def won(column: Column | str, scale: int = 0) -> Column:
     return value.cast("long") if scale == 0 else money(value, scale)
 
 
+def exact(column: Column | str, scale: int = 0) -> Column:
+    """Money to sum up, NULL left as it is, so that a sum of unknown amounts stays unknown."""
+    amount = F.col(column) if isinstance(column, str) else column
+    return amount.cast("long") if scale == 0 else amount
+
+
 def won_sum(value: Column | str, scale: int = 0) -> Column:
-    amount = F.col(value) if isinstance(value, str) else value
-    return or_zero(F.sum(amount.cast("long") if scale == 0 else amount))
+    return or_zero(F.sum(exact(value, scale)))
 
 
 # --- which contracts ---------------------------------------------------------------
