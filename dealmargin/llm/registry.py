@@ -9,12 +9,15 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealmargin.llm import (
+    conversation_repair,
     decontamination,
+    exact_dedup,
     language_id,
     line_dedup,
     packing,
     perplexity,
     pii,
+    prefix_trie,
     secrets,
     sharding,
     simhash,
@@ -156,6 +159,66 @@ def op10_byte_cnn_language(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_content_sort_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, folder, "documents"), keep="largest")
+
+
+def op12_conversation_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    """The trie of conversations that begin with turns of the first of their hundred."""
+    own = F.col("conv_id")
+    rebuilt = prefix_trie.prefixes(
+        _table(spark, folder, "conversations"),
+        taken=F.crc32(own.cast("string")) % 6,
+        head=own - own % 100,
+    )
+    return prefix_trie.prefix_trie(rebuilt)
+
+
+def damaged(conversations: DataFrame) -> DataFrame:
+    """Turns dropped, emptied, robbed of their marks, repeated or given to the user, by a hash."""
+    space = F.lit(" ")
+    number = F.concat_ws(
+        ":", *[F.coalesce(F.col(c).cast("string"), space) for c in ("conv_id", "turn")]
+    )
+    role, text = F.coalesce("role", space), F.coalesce("text", space)
+    kind = F.crc32(number) % 20
+    return (
+        conversations.select(
+            "conv_id",
+            "turn",
+            F.when(kind == 4, "user").otherwise(role).alias("role"),
+            F.when(kind == 1, "")
+            .when(kind == 2, F.translate(text, ".!?", ""))
+            .otherwise(text)
+            .alias("text"),
+            kind.alias("_kind"),
+        )
+        .where(F.col("_kind") != 0)
+        .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.when(F.col("_kind") == 3, 2).otherwise(1))))
+        .drop("_kind", "_copy")
+    )
+
+
+def op13_conversation_structure_repair(spark: SparkSession, folder: str) -> DataFrame:
+    whole = _table(spark, folder, "conversations")
+    mended = conversation_repair.repaired_conversations(damaged(whole))
+    lines = F.transform("repaired", lambda t: F.concat(t["role"], F.lit(":"), t["text"]))
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    digests = mended.select(
+        F.col("conv_id").alias("_own"),
+        *counts,
+        "audit",
+        F.sha2(F.array_join(lines, "\n"), 256).alias("repaired_sha256"),
+    )
+    every = whole.select("conv_id").distinct()
+    return every.join(digests, F.col("conv_id").eqNullSafe(F.col("_own")), "left").select(
+        "conv_id",
+        *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counts],
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii_surrogates": op1_pii_surrogates,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -167,10 +230,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_byte_cnn_language": op10_byte_cnn_language,
+    "op11_content_sort_dedup": op11_content_sort_dedup,
+    "op12_conversation_prefix_trie": op12_conversation_prefix_trie,
+    "op13_conversation_structure_repair": op13_conversation_structure_repair,
 }
 ORACLES: dict[str, str] = {
     "op2_benchmark_decontamination": sql.DECONTAMINATION,
     "op3_stratified_sharding": sql.SHARDING,
     "op4_line_dedup": sql.LINE_DEDUP,
     "op9_url_filter": sql.URL_FILTER,
+    "op11_content_sort_dedup": sql.EXACT_DEDUP,
+    "op12_conversation_prefix_trie": sql.PREFIX_TRIE,
+    "op13_conversation_structure_repair": sql.STRUCTURE_REPAIR,
 }
