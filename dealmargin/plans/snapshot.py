@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dealmargin.functions.dates import parse_date
+from dealmargin.operators.joins import settle
 from dealmargin.sources.schemas import SNAPSHOT
+from dealmargin.sources.versions import Version, VersionedFolder
 
 # The widths of the snapshot's text columns.
 TEXT_WIDTHS = {"doc_id": 50, "doc_name": 200}
@@ -49,23 +52,109 @@ def snapshot_rejects(dated_pnl: DataFrame) -> DataFrame:
     return _judged(dated_pnl).where(F.col("reason").isNotNull())
 
 
-def write_snapshot(rows: DataFrame, path: str) -> None:
-    """Replace the snapshot's partitions of exactly the dates present in rows.
+def _dates_rows(rows: DataFrame) -> DataFrame:
+    """Rebalanced by date: a few files of even size, and several tasks for a date of many rows."""
+    return rows.hint("rebalance", F.col("criteria_date"))
 
-    Rebalancing gives each date a few files of even size and splits a date that
-    holds much of the rows over several tasks.
+
+def write_snapshot(rows: DataFrame, path: str) -> Version:
+    """Replace the snapshot's rows of exactly the dates present in rows, in one commit."""
+    store = VersionedFolder(rows.sparkSession, path)
+    base = store.current()
+    fresh = store.add(base, _dates_rows(rows), "criteria_date")
+    return store.commit(base, {**base.parts, **fresh}) if fresh else base
+
+
+def _checks(rows: DataFrame, side: str) -> DataFrame:
+    """What tells two states of a contract on a date apart: rows and sums of halves of their hashes."""
+    whole = F.xxhash64(*SNAPSHOT.fieldNames())
+    halves = (whole.bitwiseAND(0xFFFFFFFF), F.shiftrightunsigned(whole, 32))
+    names = ("n", "low", "high")
+    own = dict(zip(names, (F.lit(1).cast("long"), *halves), strict=True))
+    sides = {
+        f"{name}_{each}": value if each == side else F.lit(0).cast("long")
+        for each in ("old", "new")
+        for name, value in own.items()
+    }
+    return rows.select("criteria_date", "doc_id", *[v.alias(name) for name, v in sides.items()])
+
+
+def _compared(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """Per contract and date how many rows it has now, and change: added, removed, changed or NULL.
+
+    Both states are added up side by side in one aggregate, where a contract
+    without a document id meets itself too and hot keys shrink before the shuffle.
     """
-    (
-        rows.hint("rebalance", F.col("criteria_date"))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("criteria_date")
-        .parquet(path)
+    sides = _checks(stored, "old").unionByName(_checks(rows, "new"))
+    names = [c for c in sides.columns if c not in ("criteria_date", "doc_id")]
+    sums = sides.groupBy("criteria_date", "doc_id").agg(*[F.sum(n).alias(n) for n in names])
+    same = (
+        (F.col("n_old") == F.col("n_new"))
+        & (F.col("low_old") == F.col("low_new"))
+        & (F.col("high_old") == F.col("high_new"))
     )
+    change = (
+        F.when(F.col("n_old") == 0, "added")
+        .when(F.col("n_new") == 0, "removed")
+        .when(~same, "changed")
+    )
+    return sums.select("criteria_date", "doc_id", "n_new", change.alias("change"))
+
 
+def snapshot_changes(stored: DataFrame, rows: DataFrame) -> DataFrame:
+    """The contracts and dates in which rows differ from the stored snapshot, and how.
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(SNAPSHOT).parquet(path)
+    change is added, removed or changed; a contract's rows of one date count as
+    a whole, in any order, repeated rows with their number.
+    """
+    differing = _compared(stored, rows).where(F.col("change").isNotNull())
+    return differing.select("criteria_date", "doc_id", "change")
+
+
+class SnapshotSync(NamedTuple):
+    """What a sync did: the version it left, and the dates it wrote and removed."""
+
+    version: Version
+    written: list[datetime.date]
+    removed: list[datetime.date]
+
+
+def sync_snapshot(rows: DataFrame, path: str) -> SnapshotSync:
+    """Make the stored snapshot hold exactly rows, writing only the dates that differ.
+
+    Dates without rows are gone afterwards. All of it is one commit; without a
+    difference nothing is written and the version stays.
+    """
+    store = VersionedFolder(rows.sparkSession, path)
+    base = store.current()
+    kept = settle(rows).rows
+    dates = settle(
+        _compared(store.read(SNAPSHOT, version=base), kept)
+        .groupBy("criteria_date")
+        .agg(F.sum("n_new").alias("n"), F.count("change").alias("changes"))
+        .where("changes > 0")
+    ).rows
+    found = dates.collect()  # a row for each calendar day at most
+    written = sorted(r.criteria_date for r in found if r.n)
+    removed = sorted(r.criteria_date for r in found if not r.n)
+    if not found:
+        return SnapshotSync(base, [], [])
+    gone = {f"criteria_date={day}" for day in removed}
+    parts = {part: folder for part, folder in base.parts.items() if part not in gone}
+    if written:
+        chosen = F.broadcast(dates.where("n > 0").select("criteria_date"))
+        fresh = kept.join(chosen, "criteria_date", "left_semi").select(*SNAPSHOT.fieldNames())
+        parts |= store.add(base, _dates_rows(fresh), "criteria_date")
+    return SnapshotSync(store.commit(base, parts), written, removed)
+
+
+def read_snapshot(
+    spark: SparkSession, path: str, date: datetime.date | str | None = None
+) -> DataFrame:
+    """The newest version of the stored snapshot; of one date only, with nothing else listed."""
+    part = None if date is None else f"criteria_date={parse_date(date)}"
+    wanted = None if part is None else (lambda name: name == part)
+    return VersionedFolder(spark, path).read(SNAPSHOT, wanted)
 
 
 def snapshot_by_date(snapshot: DataFrame, date: datetime.date | str) -> DataFrame:

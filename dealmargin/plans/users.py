@@ -67,8 +67,12 @@ def role_change_rejects(changes: DataFrame) -> DataFrame:
 
 
 def store_role_changes(store: ParquetTables, changes: DataFrame) -> None:
-    """Apply the changes to the stored users and replace their table as a whole."""
-    store.save("users", apply_role_changes(store["users"], changes))
+    """Apply the changes to the stored users and commit them as the table's next version.
+
+    ConcurrentChange if someone else has changed the users meanwhile.
+    """
+    base = store.versions("users").current()
+    store.save("users", apply_role_changes(store.at("users", base), changes), base)
 
 
 def current_logins(users: DataFrame, history: DataFrame) -> DataFrame:

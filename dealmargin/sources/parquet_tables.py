@@ -7,17 +7,31 @@ from collections.abc import Iterator, Mapping
 from pyspark.sql import DataFrame, SparkSession
 
 from dealmargin.sources.schemas import ALL
+from dealmargin.sources.versions import Version, VersionedFolder
 
 
 class ParquetTables(Mapping[str, DataFrame]):
-    """The tables under one folder, each read with its stated schema."""
+    """The tables under one folder, each read with its stated schema.
+
+    A table that was saved here is read in its newest version, any other as a
+    plain folder of parquet files.
+    """
 
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self._spark = spark
         self._folder = folder.rstrip("/")
 
+    def versions(self, name: str) -> VersionedFolder:
+        return VersionedFolder(self._spark, f"{self._folder}/{name}")
+
     def __getitem__(self, name: str) -> DataFrame:
-        return self._spark.read.schema(ALL[name]).parquet(f"{self._folder}/{name}")
+        return self.at(name, self.versions(name).current())
+
+    def at(self, name: str, version: Version) -> DataFrame:
+        """A table as of a version, or as plain files where it has none."""
+        if not version.number:
+            return self._spark.read.schema(ALL[name]).parquet(f"{self._folder}/{name}")
+        return self.versions(name).read(ALL[name], version=version)
 
     def __iter__(self) -> Iterator[str]:
         return iter(ALL)
@@ -25,24 +39,15 @@ class ParquetTables(Mapping[str, DataFrame]):
     def __len__(self) -> int:
         return len(ALL)
 
-    def save(self, name: str, rows: DataFrame) -> None:
-        """Replace a table by rows of its stated columns and types.
+    def save(self, name: str, rows: DataFrame, base: Version | None = None) -> Version:
+        """Replace a table by rows of its stated columns and types, as its next version.
 
-        The rows are written beside the table and then take its place by
-        renaming, so they may come from the table itself, and a job that dies
-        while writing leaves the table as it was.
+        base is the version that the rows were derived from, the newest one by
+        default. ConcurrentChange if the table has got a newer one meanwhile;
+        then, or if a job dies on the way, the table stays as it was.
         """
         fields = ALL[name].fields
-        path, new, old = (f"{self._folder}/{name}{end}" for end in ("", ".new", ".old"))
-        rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in fields]).write.mode(
-            "overwrite"
-        ).parquet(new)
-        hadoop = self._spark.sparkContext._jvm.org.apache.hadoop.fs
-        conf = self._spark.sparkContext._jsc.hadoopConfiguration()
-        files = hadoop.Path(path).getFileSystem(conf)
-        files.delete(hadoop.Path(old), True)
-        if files.exists(hadoop.Path(path)):
-            files.rename(hadoop.Path(path), hadoop.Path(old))
-        if not files.rename(hadoop.Path(new), hadoop.Path(path)):
-            raise OSError(f"{new} could not take the place of {path}")
-        files.delete(hadoop.Path(old), True)
+        table = self.versions(name)
+        base = table.current() if base is None else base
+        fitting = rows.select(*[rows[f.name].cast(f.dataType).alias(f.name) for f in fields])
+        return table.commit(base, table.add(base, fitting))
