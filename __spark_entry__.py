@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dealmargin.functions import dates, display, rules
 from dealmargin.operators import export, grid, joins, search
 from dealmargin.operators.grid import Both, Condition, Either
-from dealmargin.plans import all_dates, approvals, requests, snapshot, users
+from dealmargin.plans import all_dates, approvals, purchase_sums, requests, snapshot, users
 from dealmargin.plans import contract_pnl as pnl
 from dealmargin.sources.parquet_tables import ParquetTables
 from dealmargin.sources.tpch_mapping import MappedTables, mapped_tables
@@ -118,7 +118,7 @@ def _grid(t: MappedTables) -> DataFrame:
 def _export_csv(t: MappedTables) -> DataFrame:
     shown = _grid(t)
     path = t.stored("grid_csv", lambda p: export.export_csv(shown, p))
-    return t.spark.read.option("header", True).schema(shown.schema).csv(path)
+    return export.read_csv(t.spark, path, shown.schema)
 
 
 # --- the snapshot and the grid over it ---------------------------------------------
@@ -134,6 +134,40 @@ def _snapshot(t: MappedTables) -> DataFrame:
     return snapshot.read_snapshot(t.spark, path)
 
 
+def _stale_snapshot(t: MappedTables) -> DataFrame:
+    """An older state: July not there yet, first days with other costs, and days that vanish."""
+    rows = _snapshot(t)
+    day, cost = F.col("criteria_date"), F.col("total_cost")
+    known = rows.where(F.month(day) != 7).withColumn(
+        "total_cost", F.when(F.dayofmonth(day) == 1, cost + 1).otherwise(cost).cast("decimal(15,0)")
+    )
+    vanishing = rows.where(F.month(day) == 12).withColumn("criteria_date", F.date_add(day, 10000))
+    return known.unionByName(vanishing)
+
+
+def _synced_snapshot(t: MappedTables) -> DataFrame:
+    def write(path: str) -> None:
+        snapshot.sync_snapshot(_stale_snapshot(t), path)
+        snapshot.sync_snapshot(_snapshot(t), path)
+
+    return snapshot.read_snapshot(t.spark, t.stored("followed_profit_data", write))
+
+
+def _sums_after_deltas(t: MappedTables) -> DataFrame:
+    """Purchase sums begun with the purchases up to a date, some of them twice, and then completed."""
+    purchases, due = t["revenue_purchase"], F.col("date_payment")
+    early = F.coalesce(due < datetime.date(1996, 1, 1), F.lit(True))
+    twice = purchases.where(early & (F.col("purchase_type_two") == 28))
+
+    def write(path: str) -> None:
+        sums = purchase_sums.PurchaseSums(t.spark, path)
+        sums.rebuild(purchases.where(early).unionByName(twice))
+        sums.apply(purchases.where(~early & (F.year(due) < 1997)), removed=twice)
+        sums.apply(purchases.where(~early & (F.year(due) >= 1997)))
+
+    return purchase_sums.PurchaseSums(t.spark, t.stored("purchase_sums", write)).by_date()
+
+
 def _filter_text(t: MappedTables) -> DataFrame:
     return grid.grid_filter(
         _snapshot(t),
@@ -194,6 +228,21 @@ def _update_row(t: MappedTables) -> DataFrame:
     return grid.update_rows(t["users"], changes, "id", "seq")
 
 
+def _update_fields(t: MappedTables) -> DataFrame:
+    """Changes that send a role, an e-mail address, both or none; some send no address as NULL."""
+    seq = F.col("seq")
+    changes = t["role_changes"].select(
+        F.col("user_id").alias("id"),
+        "seq",
+        "role",
+        (seq % 2 == 0).alias("has_role"),
+        F.when(seq % 2 == 0, F.concat(F.lit("new"), seq.cast("string"))).alias("email"),
+        (seq % 3 == 0).alias("has_email"),
+    )
+    sent = {"role": "has_role", "email": "has_email"}
+    return grid.update_rows(t["users"], changes, "id", "seq", sent)
+
+
 # --- date functions over the orders' dates -----------------------------------------
 
 
@@ -254,8 +303,13 @@ _QUERIES: dict[str, Callable[[MappedTables], DataFrame]] = {
     # all dates
     "contract_pnl_all_dates": all_dates.contract_pnl_all_dates,
     "pnl_by_team": all_dates.pnl_by_team,
+    "all_dates_after_deltas": lambda t: all_dates.contract_pnl_all_dates(
+        t, _sums_after_deltas(t)
+    ),
     # snapshot
     "write_snapshot": _snapshot,
+    "synced_snapshot": _synced_snapshot,
+    "snapshot_changes": lambda t: snapshot.snapshot_changes(_stale_snapshot(t), _snapshot(t)),
     "snapshot_rejects": lambda t: snapshot.snapshot_rejects(all_dates.contract_pnl_all_dates(t)),
     "snapshot_by_date": lambda t: snapshot.snapshot_by_date(_snapshot(t), DATE),
     # approvals and users
@@ -321,6 +375,8 @@ _QUERIES: dict[str, Callable[[MappedTables], DataFrame]] = {
     ),
     "grid_totals": lambda t: grid.grid_totals(t["voucher_lines"], ["amount"], "side"),
     "grid_update_row": _update_row,
+    "grid_update_fields": _update_fields,
+    "grid_update_rejects": lambda t: grid.update_rejects(t["role_changes"], "user_id", "seq"),
     # dates and display
     "closing_date": lambda t: _days(t).withColumn(
         "closing_date", dates.closing_date(F.col("day"))

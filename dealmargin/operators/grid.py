@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, DecimalType, StringType
 
+from dealmargin.operators.joins import spread_join
+
 
 class Condition(NamedTuple):
     """One filter condition; to is the upper bound of inRange."""
@@ -98,15 +100,28 @@ def grid_filter(rows: DataFrame, filters: Mapping[str, Filter]) -> DataFrame:
 def apply_sort(rows: DataFrame, order: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows by the given columns, each asc, desc or none; NULLs first ascending, last descending.
 
-    Ties follow a hash of the row, so that a value most rows share is still
-    sorted by several tasks.
+    A stable sort: ties keep the order in which the rows come, whatever it is.
+    Each row carries its place, its partition's number and its number within
+    it, which also lets a value that most rows share sort in several tasks.
     """
     keys = [
         F.col(name).asc_nulls_first() if way == "asc" else F.col(name).desc_nulls_last()
         for name, way in order
         if way != "none"
     ]
-    return rows.orderBy(*keys, F.xxhash64(*rows.columns)) if keys else rows
+    if not keys:
+        return rows
+    place = free_name(rows, "place")
+    placed = rows.withColumn(place, F.monotonically_increasing_id())
+    return placed.orderBy(*keys, place).drop(place)
+
+
+def free_name(rows: DataFrame, name: str) -> str:
+    """A column name that the rows do not have, in any case."""
+    taken = {c.lower() for c in rows.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
 
 
 def _sum_type(kind: DataType) -> DataType:
@@ -148,24 +163,98 @@ def grid_totals(
     return widened.unionByName(totals)
 
 
-def update_rows(rows: DataFrame, changes: DataFrame, key: str, seq: str) -> DataFrame:
-    """Rows with the changed fields merged in by key; the last change of a key wins.
+def _applicable(key: str, seq: str) -> Column:
+    return F.col(key).isNotNull() & F.col(seq).isNotNull()
+
 
-    A field the changes do not carry stays, and so does every row without a change.
+def update_rejects(changes: DataFrame, key: str, seq: str) -> DataFrame:
+    """The changes that update_rows cannot apply to anyone, with the reason."""
+    reason = F.when(F.col(key).isNull(), "no key").when(F.col(seq).isNull(), "no sequence")
+    return changes.withColumn("reason", reason).where(F.col("reason").isNotNull())
+
+
+def update_rows(
+    rows: DataFrame,
+    changes: DataFrame,
+    key: str,
+    seq: str,
+    sent: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """Rows with the changed fields merged in by key, each field from the last change that sends it.
+
+    sent names, for a field, the boolean column of the changes that tells
+    whether a change sends it; a field without one is sent by every change. A
+    field that is not sent stays as it is, one sent as NULL becomes NULL, and so
+    every row without a change stays. Changes without a key or a sequence are
+    not applied, see update_rejects. Of changes of a key with one sequence a
+    hash of their fields decides.
+
+    Per key and field only numbers are aggregated, the last sequence and then
+    the hash, in place and before the shuffle; values are fetched by a join
+    from the few changes that won.
     """
-    fields = [name for name in changes.columns if name not in (key, seq)]
-    last = (
-        changes.where(F.col(key).isNotNull())
-        .groupBy(key)
-        .agg(F.max_by(F.struct(*fields), F.col(seq)).alias("_change"))
+    flags = dict(sent or {})
+    fields = [c for c in changes.columns if c not in (key, seq, *flags.values()) and c in rows.columns]
+    if not fields:
+        return rows
+    numbered = changes.where(_applicable(key, seq)).select(
+        F.col(key).alias("_key"),
+        F.col(seq).alias("_seq"),
+        F.xxhash64(*fields).alias("_hash"),
+        F.struct(*[F.col(f).alias(f"v{i}") for i, f in enumerate(fields)]).alias("_values"),
+        *[
+            (F.coalesce(F.col(flags[f]), F.lit(False)) if f in flags else F.lit(True)).alias(f"_sent{i}")
+            for i, f in enumerate(fields)
+        ],
+    )
+    every = range(len(fields))
+
+    def last(found: DataFrame, number: str, known: str | None = None) -> DataFrame:
+        """The greatest number of each key and field, of its changes that are still in question."""
+        picked = {i: F.col(f"_sent{i}") for i in every}
+        if known is not None:
+            picked = {i: p & (F.col("_seq") == F.col(f"{known}{i}")) for i, p in picked.items()}
+        tops = found.groupBy("_key").agg(
+            *[F.max(F.when(p, F.col(number))).alias(f"_last{number}{i}") for i, p in picked.items()]
+        )
+        met = spread_join(found, tops, ["_key"], "inner")
+        own = [p & (F.col(number) == F.col(f"_last{number}{i}")) for i, p in picked.items()]
+        return met.where(reduce(lambda a, b: a | b, own))
+
+    won = last(last(numbered, "_seq"), "_hash", "_last_seq")
+    at = [f"{name}{i}" for name in ("_last_seq", "_last_hash") for i in every]
+    merged = won.groupBy("_key", *at).agg(
+        F.collect_set(F.struct("_seq", "_hash", "_values")).alias("_won")
+    )
+
+    def value(i: int) -> Column:
+        chosen = F.filter(
+            "_won",
+            lambda c: (c["_seq"] == F.col(f"_last_seq{i}")) & (c["_hash"] == F.col(f"_last_hash{i}")),
+        )
+        return F.get(chosen, F.lit(0))["_values"][f"v{i}"]
+
+    updates = merged.select(
+        F.col("_key"),
+        F.struct(*[F.col(f"_last_seq{i}").isNotNull().alias(f"s{i}") for i in every]).alias("_sent"),
+        F.struct(*[value(i).alias(f"v{i}") for i in every]).alias("_new"),
+    )
+    number = {f: i for i, f in enumerate(fields)}
+    joined = spread_join(
+        rows.select(F.col(key).alias("_key"), F.struct(*rows.columns).alias("_own")),
+        updates,
+        ["_key"],
+        "left",
+        F.xxhash64("_own"),
     )
-    changed = F.col("_change").isNotNull()
-    return rows.join(last, key, "left").select(
+    return joined.select(
         *[
-            F.when(changed, F.col(f"_change.{name}")).otherwise(F.col(name)).alias(name)
-            if name in fields
-            else F.col(name)
-            for name in rows.columns
+            F.when(F.col(f"_sent.s{number[c]}"), F.col(f"_new.v{number[c]}"))
+            .otherwise(F.col("_own")[c])
+            .alias(c)
+            if c in number
+            else F.col("_own")[c].alias(c)
+            for c in rows.columns
         ]
     )
 

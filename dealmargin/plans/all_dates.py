@@ -9,23 +9,17 @@ from dealmargin.functions import rules
 from dealmargin.operators.joins import settle, spread_join
 from dealmargin.plans import contract_pnl as one
 from dealmargin.plans.contract_pnl import Tables
+from dealmargin.plans.purchase_sums import sums_by_date
 from dealmargin.sources.schemas import RATE
 
 
 def purchases_by_date(purchases: DataFrame) -> DataFrame:
-    """Every purchase sum per contract and payment date, undated purchases under no date.
+    """Every purchase sum per contract and payment date, settled.
 
     The one pass over the purchases: totals per contract, what remains on each
-    date, and the dates themselves all come from its rows, which are settled.
+    date, and the dates themselves all come from its rows.
     """
-    measures = {**one.purchase_measures(), "sum_remain": F.col("amount_remain")}
-    scale = one.purchase_scale(purchases)
-    sums = (
-        purchases.where(F.col("contract_doc_id").isNotNull())
-        .groupBy(F.col("contract_doc_id").alias("id"), "date_payment")
-        .agg(*[one.won_sum(value, scale).alias(name) for name, value in measures.items()])
-    )
-    return settle(sums).rows
+    return settle(sums_by_date(purchases)).rows
 
 
 def totals_of(by_date: DataFrame) -> DataFrame:
@@ -77,14 +71,18 @@ def amounts_by_date(tables: Tables, prices: one.Settled, dated: DataFrame) -> Da
     )
 
 
-def dated_contracts(tables: Tables) -> DataFrame:
-    """Main columns and profit of each contract on each of its payment dates, terms left out."""
+def dated_contracts(tables: Tables, by_date: DataFrame | None = None) -> DataFrame:
+    """Main columns and profit of each contract on each of its payment dates, terms left out.
+
+    by_date are sums of the purchases kept by PurchaseSums, which save reading them.
+    """
     prices = one.settled_prices(tables)
     headers = one.contract_headers(tables)
     so_amounts = one.sale_order_amounts(
         tables["sale_order_line"], one.contract_sale_orders(tables["sale_order"]), prices
     )
-    by_date = purchases_by_date(tables["revenue_purchase"])
+    if by_date is None:
+        by_date = purchases_by_date(tables["revenue_purchase"])
     per_contract = (
         headers.join(totals_of(by_date), "id")
         .join(one.sale_sums(tables["revenue_sale"]), "id", "left")
@@ -98,11 +96,12 @@ def dated_contracts(tables: Tables) -> DataFrame:
     return one.with_profit(one.with_main_columns(core))
 
 
-def contract_pnl_all_dates(tables: Tables) -> DataFrame:
+def contract_pnl_all_dates(tables: Tables, by_date: DataFrame | None = None) -> DataFrame:
     """The rows of contract_pnl for every payment date, with that date in front."""
     contracts = tables["approval_approval"].select("id")
     terms = one.contract_terms(tables["approval_approval_contract"], contracts)
-    return one.with_terms(dated_contracts(tables), terms).select("date_payment", *one.PNL_COLUMNS)
+    dated = dated_contracts(tables, by_date)
+    return one.with_terms(dated, terms).select("date_payment", *one.PNL_COLUMNS)
 
 
 _ADDITIVE = (
@@ -111,7 +110,7 @@ _ADDITIVE = (
 )
 
 
-def pnl_by_team(tables: Tables) -> DataFrame:
+def pnl_by_team(tables: Tables, by_date: DataFrame | None = None) -> DataFrame:
     """Profit and loss per payment date and team.
 
     A contract counts once, whatever number of terms rows it has. An
@@ -119,7 +118,7 @@ def pnl_by_team(tables: Tables) -> DataFrame:
     counts once per team and date, so team costs are no plain sum of contract
     costs.
     """
-    contracts = dated_contracts(tables)
+    contracts = dated_contracts(tables, by_date)
     scale = one.money_scale(contracts, *_ADDITIVE)
     per_opportunity = (
         contracts.groupBy("date_payment", "team", "opportunity_id")

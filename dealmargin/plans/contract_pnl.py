@@ -14,6 +14,7 @@ from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DecimalType
@@ -536,12 +537,18 @@ def date_lines(tables: Tables, headers: Settled) -> tuple[DataFrame, DataFrame |
 
 
 def payment_scope(tables: Tables, date: datetime.date) -> PaymentScope:
-    """The selections of a payment date; those that do not build on each other run together."""
+    """The selections of a payment date; those that do not build on each other run together.
+
+    Threads take over the caller's job tags, so that a deadline reaches their jobs.
+    """
+    inheriting = inheritable_thread_target(tables["revenue_purchase"].sparkSession)
     with ThreadPoolExecutor(max_workers=2) as pool:
-        prices = pool.submit(settled_prices, tables)
+        prices = pool.submit(inheriting(settled_prices), tables)
         headers = date_headers(tables, date)
         sale_orders = pool.submit(
-            lambda: settle(contract_sale_orders(tables["sale_order"], headers.hinted("id")))
+            inheriting(
+                lambda: settle(contract_sale_orders(tables["sale_order"], headers.hinted("id")))
+            )
         )
         lines, line_ids = date_lines(tables, headers)
         return PaymentScope(headers, sale_orders.result(), lines, line_ids, prices.result())

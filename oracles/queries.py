@@ -75,9 +75,7 @@ ON_DATE = {
     "pnl_ordered": "SELECT team, doc_id, id FROM pnl ORDER BY COALESCE(team, '') DESC, doc_id",
     "contract_pnl": f"SELECT {_PNL} FROM pnl",
     "contract_pnl_grid": f"SELECT {_GRID} FROM pnl",
-    # A CSV file does not tell an empty text from a missing one.
-    "export_csv": f"""
-        SELECT {_GRID.removesuffix('biz_note')} NULLIF(biz_note, '') AS biz_note FROM pnl""",
+    "export_csv": f"SELECT {_GRID} FROM pnl",
 }
 
 OVER_ALL = {
@@ -85,6 +83,7 @@ OVER_ALL = {
         SELECT product_id, CAST(price_unit AS DECIMAL(18,4)) AS price_unit FROM newest_price""",
     "latest_po_line_per_delivery_line": "SELECT delivery_order_line_id, order_id FROM newest_line",
     "contract_pnl_all_dates": f"SELECT d AS date_payment, {_PNL} FROM pnl",
+    "all_dates_after_deltas": f"SELECT d AS date_payment, {_PNL} FROM pnl",
     "pnl_by_team": f"""
         WITH by_opportunity AS (
             SELECT d, team, opportunity_id, count(*) AS contracts,
@@ -104,6 +103,27 @@ OVER_ALL = {
                    / 10.0 AS DECIMAL(18,1)) END AS profit_rate
         FROM summed""",
     "write_snapshot": "SELECT * FROM snapshot",
+    "synced_snapshot": "SELECT * FROM snapshot",
+    "snapshot_changes": """
+        WITH stale AS (
+            SELECT * REPLACE (CASE WHEN day(criteria_date) = 1 THEN total_cost + 1
+                              ELSE total_cost END AS total_cost)
+            FROM snapshot WHERE month(criteria_date) <> 7
+            UNION ALL
+            SELECT * REPLACE (criteria_date + 10000 AS criteria_date)
+            FROM snapshot WHERE month(criteria_date) = 12),
+        old_state AS (
+            SELECT criteria_date, doc_id, list(CAST(stale AS VARCHAR) ORDER BY CAST(stale AS VARCHAR)) AS own
+            FROM stale GROUP BY ALL),
+        new_state AS (
+            SELECT criteria_date, doc_id,
+                   list(CAST(snapshot AS VARCHAR) ORDER BY CAST(snapshot AS VARCHAR)) AS own
+            FROM snapshot GROUP BY ALL)
+        SELECT criteria_date, doc_id,
+               CASE WHEN o.own IS NULL THEN 'added' WHEN n.own IS NULL THEN 'removed'
+                    ELSE 'changed' END AS change
+        FROM old_state o FULL JOIN new_state n USING (criteria_date, doc_id)
+        WHERE o.own IS DISTINCT FROM n.own""",
     "snapshot_rejects": f"""
         SELECT {_LOOKUP}, d AS criteria_date, reason FROM judged WHERE reason <> ''""",
     "snapshot_by_date": f"""
@@ -230,9 +250,23 @@ OVER_ALL = {
     "grid_update_row": """
         SELECT u.id, email, password, COALESCE(r.role, u.role) AS role
         FROM users u LEFT JOIN (
-            SELECT user_id, role FROM role_changes
+            SELECT user_id, role FROM role_changes WHERE seq IS NOT NULL
             QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1) r
         ON r.user_id = u.id""",
+    "grid_update_fields": """
+        WITH roles AS (
+            SELECT user_id, role FROM role_changes WHERE seq % 2 = 0
+            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1),
+        emails AS (
+            SELECT user_id, CASE WHEN seq % 2 = 0 THEN 'new' || seq END AS email
+            FROM role_changes WHERE seq % 3 = 0
+            QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY seq DESC) = 1)
+        SELECT u.id, CASE WHEN e.user_id IS NULL THEN u.email ELSE e.email END AS email, password,
+               CASE WHEN r.user_id IS NULL THEN u.role ELSE r.role END AS role
+        FROM users u LEFT JOIN roles r ON r.user_id = u.id LEFT JOIN emails e ON e.user_id = u.id""",
+    "grid_update_rejects": """
+        SELECT *, CASE WHEN user_id IS NULL THEN 'no key' ELSE 'no sequence' END AS reason
+        FROM role_changes WHERE user_id IS NULL OR seq IS NULL""",
     "row_count": "SELECT count(*) AS row_count FROM tax_invoices",
     "preview": "SELECT * FROM vouchers ORDER BY voucher_no LIMIT 5",
     "result_json": """
