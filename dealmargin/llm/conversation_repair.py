@@ -10,6 +10,10 @@ and from an item alone another one by an inserted turn. An item's weight is
 adds a cost and a letter, which keeps the order of weights and never lessens
 one, so these functions are superior: the least weight on the agenda is final
 when it is taken, and the search ends with the goal item.
+
+Of items of one cost the agenda takes those of fewer turns first. That is as
+good as the order of their audits, for only a kept turn costs nothing and it
+leads on to more turns, and it spares comparing audits but of the same item.
 """
 
 from __future__ import annotations
@@ -85,12 +89,12 @@ class _Weight:
         return _Weight(self.cost + cost, letter, self)
 
     def __lt__(self, other: _Weight) -> bool:
+        """By cost, then by audit in ASCII order, a beginning before its extension.
+
+        Audits are compared back to where they part.
+        """
         if self.cost != other.cost:
             return self.cost < other.cost
-        return self._less_audit(other)
-
-    def _less_audit(self, other: _Weight) -> bool:
-        """ASCII order of the audits, decided where they part, a beginning before its extension."""
         a, b = self, other
         less = a.length < b.length
         while a.length > b.length:
@@ -128,28 +132,32 @@ def _edits(turn: Turn, fault: str) -> dict[int, list[tuple[int, str, int]]]:
 def lightest(turns: Sequence[Turn], found: Sequence[str]) -> tuple[int, str]:
     """The least cost of a repair and, of the cheapest repairs, the ASCII-least audit."""
     axioms = [_edits(turn, fault) for turn, fault in zip(turns, found, strict=True)]
-    agenda: list[tuple[_Weight, int, int]] = [(_Weight(0), 0, _START)]
+    goal = (len(turns) + 1, _START)
+    best = {(0, _START): _Weight(0)}
+    agenda = [(0, 0, _START)]  # cost, turns dealt with, state
     final: set[tuple[int, int]] = set()
-    best: dict[tuple[int, int], _Weight] = {(0, _START): agenda[0][0]}
 
     def derive(item: tuple[int, int], weight: _Weight) -> None:
         known = best.get(item)
-        if item not in final and (known is None or weight < known):
+        if known is None or weight < known:
             best[item] = weight
-            heapq.heappush(agenda, (weight, *item))
+            if known is None or weight.cost < known.cost:
+                heapq.heappush(agenda, (weight.cost, *item))
 
-    while True:  # the goal follows from any item by deleting and inserting turns
-        weight, i, state = heapq.heappop(agenda)
+    while goal not in final:  # it follows from any item by deleting and inserting turns
+        _, i, state = heapq.heappop(agenda)
         if (i, state) in final:
             continue
         final.add((i, state))
-        if i == len(turns):
-            if state in _COMPLETE:
-                return weight.cost, weight.audit()
-        else:
+        weight = best[i, state]
+        if i < len(turns):
             for cost, letter, after in axioms[i][state]:
                 derive((i + 1, after), weight.then(cost, letter))
-        derive((i, _added(state)), weight.then(INSERT, "I"))
+        elif state in _COMPLETE:
+            derive(goal, weight)
+        if i <= len(turns):
+            derive((i, _added(state)), weight.then(INSERT, "I"))
+    return best[goal].cost, best[goal].audit()
 
 
 def edited(turns: Sequence[Turn], audit: str) -> list[tuple[str, str]]:

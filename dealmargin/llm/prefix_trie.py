@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 from typing import NamedTuple
 
 import numpy as np
@@ -169,13 +170,13 @@ def _buckets(digests: pa.Array, counters: int) -> np.ndarray:
     return (halves & np.uint64(counters - 1)).T
 
 
-def _local_sketch(buckets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    """The touched counters of each block: those of one, and those of more."""
+def _local_sketch(buckets: list[np.ndarray], block: int) -> Iterator[pa.RecordBatch]:
+    """The touched counters of each block of so many: those of one, and those of more."""
     held = np.concatenate(buckets, axis=1)
     for row in range(SKETCH_ROWS):
         touched, n = np.unique(held[row], return_counts=True)
-        blocks = (touched // np.uint64(_BLOCK)).astype(np.int64)
-        places = (touched % np.uint64(_BLOCK)).astype("<u2")
+        blocks = (touched // np.uint64(block)).astype(np.int64)
+        places = (touched % np.uint64(block)).astype("<u2")
         cuts = np.flatnonzero(np.diff(blocks)) + 1
         starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), len(blocks)]
         once, more = [], []
@@ -194,11 +195,13 @@ def _local_sketch(buckets: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _merged_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merged_blocks(
+    batches: Iterator[pa.RecordBatch], block: int
+) -> Iterator[pa.RecordBatch]:
     """From sorted parts of blocks a bit for each counter of two or more."""
-    key, counts = None, np.zeros(_BLOCK, dtype=np.int64)
+    key, counts = None, np.zeros(block, dtype=np.int64)
 
-    def block() -> pa.RecordBatch:
+    def merged() -> pa.RecordBatch:
         bits = np.packbits(counts > 1, bitorder="little").tobytes()
         return pa.RecordBatch.from_arrays(
             [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([bits])],
@@ -209,12 +212,12 @@ def _merged_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         for row, at, once, more in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if (row, at) != key:
                 if key is not None and (counts > 1).any():
-                    yield block()
-                key, counts = (row, at), np.zeros(_BLOCK, dtype=np.int64)
+                    yield merged()
+                key, counts = (row, at), np.zeros(block, dtype=np.int64)
             counts[np.frombuffer(once, dtype="<u2")] += 1
             counts[np.frombuffer(more, dtype="<u2")] += 2
     if key is not None and (counts > 1).any():
-        yield block()
+        yield merged()
 
 
 def shared_bits(kept_prefixes: DataFrame, counters: int) -> np.ndarray:
@@ -223,6 +226,7 @@ def shared_bits(kept_prefixes: DataFrame, counters: int) -> np.ndarray:
     Every task counts its own digests and hands on the counters it touched, two
     bytes each; counts of the same block are added up by one task as they pass.
     """
+    block = min(_BLOCK, counters)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -232,10 +236,10 @@ def shared_bits(kept_prefixes: DataFrame, counters: int) -> np.ndarray:
                 held.append(_buckets(batch.column(0), counters))
                 size += batch.num_rows
             if size >= HELD_BUCKETS:
-                yield from _local_sketch(held)
+                yield from _local_sketch(held, block)
                 held, size = [], 0
         if held:
-            yield from _local_sketch(held)
+            yield from _local_sketch(held, block)
 
     parts = kept_prefixes.select("_digest").mapInArrow(
         each, "_row int, _block long, _once binary, _more binary"
@@ -243,13 +247,13 @@ def shared_bits(kept_prefixes: DataFrame, counters: int) -> np.ndarray:
     blocks = (
         parts.repartition("_row", "_block")
         .sortWithinPartitions("_row", "_block")
-        .mapInArrow(_merged_blocks, "_row int, _block long, _bits binary")
+        .mapInArrow(partial(_merged_blocks, block=block), "_row int, _block long, _bits binary")
         .toArrow()
     )
     bits = np.zeros((SKETCH_ROWS, counters // 8), dtype=np.uint8)
-    size = _BLOCK // 8
-    for row, block, part in zip(*(c.to_pylist() for c in blocks.columns), strict=True):
-        bits[row, block * size : (block + 1) * size] = np.frombuffer(part, dtype=np.uint8)
+    size = block // 8
+    for row, at, part in zip(*(c.to_pylist() for c in blocks.columns), strict=True):
+        bits[row, at * size : (at + 1) * size] = np.frombuffer(part, dtype=np.uint8)
     return bits
 
 
@@ -312,13 +316,15 @@ def _with_next(rows: pa.RecordBatch, following: pa.RecordBatch) -> pa.RecordBatc
 # --- the trie ----------------------------------------------------------------------
 
 
-def _joined_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _joined_ids(
+    batches: Iterator[pa.RecordBatch], piece_ids: int
+) -> Iterator[pa.RecordBatch]:
     """Sorted nodes and members as pieces of joined members, each with its first."""
     node, ids = None, []
     for batch in batches:
         out = []
         for digest, conv in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if ids and (digest != node or len(ids) >= PIECE_IDS):
+            if ids and (digest != node or len(ids) >= piece_ids):
                 out.append((node, ids[0], ",".join(map(str, ids))))
                 ids = []
             node = digest
@@ -363,7 +369,7 @@ def _list_batch(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
-def listed_ends(ends: DataFrame) -> DataFrame:
+def listed_ends(ends: DataFrame, piece_ids: int = PIECE_IDS) -> DataFrame:
     """_sha of each _digest: the hash of its members' identifiers, ascending and comma-joined.
 
     A node with very many members is sorted in several tasks, which join them
@@ -372,7 +378,9 @@ def listed_ends(ends: DataFrame) -> DataFrame:
     pieces = (
         ends.repartitionByRange("_digest", "_conv")
         .sortWithinPartitions("_digest", "_conv")
-        .mapInArrow(_joined_ids, "_digest binary, _first long, _ids string")
+        .mapInArrow(
+            partial(_joined_ids, piece_ids=piece_ids), "_digest binary, _first long, _ids string"
+        )
     )
     return (
         pieces.repartition("_digest")

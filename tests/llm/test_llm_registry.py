@@ -13,15 +13,15 @@ from tests.conftest import SMALL
 @pytest.fixture(scope="module")
 def sql():
     connection = duckdb.connect()
-    for name in ("documents", "pages", "benchmark"):
+    for name in ("documents", "pages", "benchmark", "conversations"):
         connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{SMALL}/{name}.parquet'")
     yield connection
     connection.close()
 
 
-def test_ten_operators_and_the_pipeline_are_registered():
+def test_every_operator_and_the_pipeline_are_registered():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(registry.QUERIES) | {"pipeline"} <= set(entry_point.queries())
     assert set(registry.ORACLES) <= set(entry_point.oracle_sql())
 
