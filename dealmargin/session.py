@@ -35,6 +35,12 @@ def local_session(cores: int | str = "*", app: str = "dealmargin", **conf: str)
     return session
 
 
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this application has written and does not need any more."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder named by spark.checkpoint.dir, one sub-folder per application.
 
