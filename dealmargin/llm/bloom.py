@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from dealmargin.llm.columns import enclosed
 from dealmargin.operators.joins import settle
 
 WORDS = 8
@@ -76,13 +77,13 @@ def without_rows(
     blocks = block_count(gone.count)
     key = F.xxhash64("_gone", "_gone_hash").alias("_pair")
     known = bloom_filter(gone.rows.select(key), "_pair", blocks)
-    hashed = rows.withColumn("_hash", F.xxhash64(F.col(text_column)))
-    paired = hashed.withColumn("_pair", F.xxhash64(F.col(id_column), F.col("_hash")))
+    hashed = enclosed(rows, _id=F.col(id_column), _hash=F.xxhash64(F.col(text_column)))
+    paired = hashed.withColumn("_pair", F.xxhash64("_id", "_hash"))
     probed = with_possible(paired, known, "_pair", blocks, "_maybe")
-    stay = probed.where(~F.col("_maybe")).select(*rows.columns)
+    stay = probed.where(~F.col("_maybe")).select("_own.*")
     rest = probed.where("_maybe").join(
         gone.rows,
-        F.col(id_column).eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash")),
+        F.col("_id").eqNullSafe(F.col("_gone")) & (F.col("_hash") == F.col("_gone_hash")),
         "left_anti",
     )
-    return stay.unionByName(rest.select(*rows.columns))
+    return stay.unionByName(rest.select("_own.*"))

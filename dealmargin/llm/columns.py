@@ -31,6 +31,12 @@ def text_or_empty(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
 
+def enclosed(rows: DataFrame, **added: Column) -> DataFrame:
+    """Rows as the one column _own beside others computed from them, so that no names clash."""
+    own = F.struct(*[F.col(f"`{c}`") for c in rows.columns]).alias("_own")
+    return rows.select(own, *[value.alias(name) for name, value in added.items()])
+
+
 def without(rows: DataFrame, *names: str) -> DataFrame:
     """Rows without the columns an operator is about to add, whatever their case."""
     added = {name.lower() for name in names}

@@ -2,8 +2,8 @@
 
 Lines are exploded as two hashes each, the distinct documents of each hash are
 counted, lines over the threshold are dropped, and the text is put together
-again by line position. Text itself is shuffled once, to meet the positions it
-loses; before that only hashes move.
+again by line position. Only hashes move, and at the end the texts of documents
+that lose a line, to meet the positions they lose.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealmargin.llm.columns import BLANKS, ascii_lower, text_or_empty, without
-from dealmargin.operators.joins import spread_join
+from dealmargin.llm import bloom
+from dealmargin.llm.columns import BLANKS, ascii_lower, enclosed, text_or_empty, without
+from dealmargin.operators.joins import settle, spread_join
 
 MIN_LENGTH = 20
 MIN_DOCUMENTS = 3
@@ -88,27 +89,39 @@ def drop_shared_lines(
         .where(F.col("_n") >= min_documents)
         .drop("_n")
     )
-    lost = (
+    lost = settle(
         spread_join(lines, shared, ["_h", "_g"], "inner")
         .where(~F.col("_id").eqNullSafe(F.col("_keeper")))
         .groupBy("_id", "_row")
         .agg(F.sort_array(F.collect_set("_at")).alias("_lost"))
-        .withColumnsRenamed({"_id": "_lost_id", "_row": "_lost_row"})
+        .select(F.col("_id").alias("_lost_id"), F.col("_row").alias("_lost_row"), "_lost")
     )
-    met = docs.withColumn("_row", row_key).join(
-        lost,
-        own.eqNullSafe(F.col("_lost_id")) & (F.col("_row") == F.col("_lost_row")),
-        "left",
+    # Rows that the filter of losing ones rules out stay where they are.
+    blocks = bloom.block_count(lost.count)
+    pairs = lost.rows.select(F.xxhash64("_lost_id", "_lost_row").alias("_pair"))
+    hashed = enclosed(docs, _id=own, _row=row_key, _text=text)
+    probed = bloom.with_possible(
+        hashed.withColumn("_pair", F.xxhash64("_id", "_row")),
+        bloom.bloom_filter(pairs, "_pair", blocks),
+        "_pair",
+        blocks,
+        "_maybe",
     )
     nothing = F.array().cast("array<int>")
-    whole = met.withColumn("_dropped", F.coalesce("_lost", nothing)).withColumn(
-        "_lines", split_lines(text)
+    losing = probed.where("_maybe").join(
+        lost.rows,
+        F.col("_id").eqNullSafe(F.col("_lost_id")) & (F.col("_row") == F.col("_lost_row")),
+        "left",
+    )
+    met = probed.where(~F.col("_maybe")).select("_own", "_text", nothing.alias("_dropped")).union(
+        losing.select("_own", "_text", F.coalesce("_lost", nothing))
     )
-    return whole.select(
-        *[F.col(c) for c in docs.columns if c != text_column],
-        F.when(F.size("_dropped") == 0, text_or_empty(text))
-        .otherwise(F.array_join(kept_lines(F.col("_lines"), F.col("_dropped")), "\n"))
-        .alias(text_column),
-        F.size("_lines").cast("long").alias("n_lines"),
+    lines_of = split_lines(F.col("_text"))
+    kept = F.when(F.size("_dropped") == 0, text_or_empty(F.col("_text"))).otherwise(
+        F.array_join(kept_lines(lines_of, F.col("_dropped")), "\n")
+    )
+    return met.select(
+        *[kept.alias(c) if c == text_column else F.col("_own")[c].alias(c) for c in docs.columns],
+        F.size(lines_of).cast("long").alias("n_lines"),
         F.size("_dropped").cast("long").alias("n_dropped"),
-    ).select(*docs.columns, "n_lines", "n_dropped")
+    )

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from dealmargin.llm import bloom
 from dealmargin.operators.joins import settle, spread_join
-from dealmargin.session import scratch_dir
+from dealmargin.session import remove_folder, scratch_dir
 
 ORDER = 4
 _UNIT = 16
@@ -230,12 +230,13 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
     _fallback is the probability by the longest shorter gram that follows two
     units or more, or else the uniform share.
     """
+    # Settled order by order: each is read several times, and the plan stays short.
     orders = [counts]
     for order in range(ORDER - 1, 0, -1):
         suffix = F.col("_gram").bitwiseAND(F.lit((1 << _UNIT * order) - 1))
-        orders.append(
-            orders[-1].groupBy("_lang", suffix.alias("_gram")).agg(F.count_if(F.col("_n") > 0).alias("_n"))
-        )
+        follows = F.count_if(F.col("_n") > 0).alias("_n")
+        shorter = orders[-1].groupBy("_lang", suffix.alias("_gram")).agg(follows)
+        orders.append(settle(shorter).rows)
     known = orders[-1].groupBy("_lang").agg(F.count(F.lit(1)).alias("_units"))
     lower = None
     for order, grams in zip(range(1, ORDER + 1), reversed(orders), strict=True):
@@ -281,13 +282,15 @@ def kneser_ney(counts: DataFrame) -> DataFrame:
                 ["_lang", "_suffix"],
                 "inner",
             )
-        lower = below.select(
-            "_lang",
-            "_gram",
-            "_n",
-            (F.col("_own") + F.col("_backoff") * F.col("_less")).alias("_p"),
-            "_fallback",
-        )
+        lower = settle(
+            below.select(
+                "_lang",
+                "_gram",
+                "_n",
+                (F.col("_own") + F.col("_backoff") * F.col("_less")).alias("_p"),
+                "_fallback",
+            )
+        ).rows
     return lower
 
 
@@ -365,10 +368,12 @@ def model_ranges(probabilities: DataFrame, grams: int) -> list[Broadcast]:
     entries = _entries(probabilities).withColumn("_range", place)
     entries.write.partitionBy("_range").parquet(path)
     stored = spark.read.schema(entries.schema).parquet(path)
-    return [
+    ranges = [
         spark.sparkContext.broadcast(_collected(stored.where(F.col("_range") == r)))
         for r in range(1 << bits)
     ]
+    remove_folder(spark, path)
+    return ranges
 
 
 # --- scoring -----------------------------------------------------------------------
@@ -527,6 +532,8 @@ def judged_documents(
             {"base_failed": failed, "_teaches": ~failed & few}
         )
     ).rows
+    for each in ranges:
+        each.destroy()
     inside = F.col("surprise").between(F.col("lower"), F.col("upper"))
     return spread_join(scored, language_bands(scored), ["_lang"], "left").select(
         F.col("_id").alias(id_column),

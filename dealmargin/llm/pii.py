@@ -4,7 +4,7 @@ A surrogate is drawn from a keyed hash of the entity, so an entity has the same
 one in every document without any exchange. Two entities might draw the same,
 or one that really occurs; a table of the distinct entities finds such clashes
 and gives the later one another attempt, until none is left. Only documents
-with an entity of more than one attempt meet that table again.
+with an entity of more than one attempt are shuffled to meet that table again.
 """
 
 from __future__ import annotations
@@ -12,11 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dealmargin.llm.columns import LOWER, UPPER, let, text_or_empty, without
+from dealmargin.llm import bloom
+from dealmargin.llm.columns import LOWER, UPPER, enclosed, let, text_or_empty, without
 from dealmargin.operators.joins import Settled, settle, spread_join
 
 MAX_ROUNDS = 40
-LOOSE_ATTEMPT = 8  # from here on a surrogate may be longer, so that no space runs out
+# From here on a surrogate gets a further character with each attempt, and an address octets
+# of three digits, so that no space runs out, however many entities occur.
+LOOSE_ATTEMPT = 8
 
 # Titles by gender, and pools to draw from by script.
 MALE_TITLES = ("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин")
@@ -47,7 +50,7 @@ PATTERNS = {
     "card": r"(?<![0-9])(?:[0-9]{13,19}|[0-9]{4}(?:[\x20-][0-9]{4}){3})(?![0-9])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[\x20.-]?)?(?:\([0-9]{2,4}\)[\x20.-]?|[0-9]{3}[\x20.-])"
     r"[0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])"
-    r"|(?<![0-9+])\+[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,5}(?![0-9])",
+    r"|(?<![0-9+])\+(?=[0-9](?:[\x20.-]?[0-9]){6})[0-9]{1,3}(?:[\x20.-]?[0-9]{2,4}){2,5}(?![0-9])",
     "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.?\x20{_NAME}(?:\x20{_NAME})?",
 }
 ENTITY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -127,13 +130,14 @@ def _same_class(char: Column, number: Column) -> Column:
 
 def _mapped(text: Column, stream: Column) -> Column:
     """Every letter and digit replaced by one of its script and class, the rest as it is."""
-    return F.array_join(
+    mapped = F.array_join(
         F.transform(
             F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))),
             lambda i: _same_class(F.substr(text, i, F.lit(1)), _draw(stream, i)),
         ),
         "",
     )
+    return F.when(text == "", "").otherwise(mapped)
 
 
 def _luhn_sum(digits: Column) -> Column:
@@ -168,7 +172,8 @@ def _ip(address: Column, stream: Column, attempt: Column) -> Column:
             F.split(address, r"\."),
             lambda octet, i: let(
                 _draw(stream, i),
-                lambda n: F.when(attempt >= LOOSE_ATTEMPT, n % 256)
+                lambda n: F.when(attempt >= 2 * LOOSE_ATTEMPT, n % 1000)
+                .when(attempt >= LOOSE_ATTEMPT, n % 256)
                 .when(F.length(octet) == 1, n % 10)
                 .when(F.length(octet) == 2, n % 90 + 10)
                 .otherwise(n % 156 + 100)
@@ -196,8 +201,10 @@ def _named(kind: Column, name: Column, stream: Column, attempt: Column) -> Colum
     latin_end = F.when(kind == "given_f", "na").when(kind == "given_m", "rd").otherwise("ll")
     cyrillic_end = F.when(kind == "given_f", "на").when(kind == "given_m", "н").otherwise("ль")
     other = name.rlike(r"[\p{L}&&[^\p{IsLatin}\p{IsCyrillic}]]")
+    longer = F.greatest(attempt - (LOOSE_ATTEMPT - 1), F.lit(0))
+    more = _mapped(F.repeat(F.substr(name, F.length(name), F.lit(1)), longer), F.reverse(stream))
     return (
-        F.when(other, _mapped(name, stream))
+        F.when(other, F.concat(_mapped(name, stream), more))
         .when(cyrillic, F.concat(_syllables(CYRILLIC_SYLLABLES, stream, count), cyrillic_end))
         .otherwise(F.concat(_syllables(LATIN_SYLLABLES, stream, count), latin_end))
     )
@@ -213,41 +220,50 @@ def surrogate(kind: Column, canonical: Column, attempt: Column, key: str) -> Col
         ),
         256,
     )
-    more = F.when(attempt >= LOOSE_ATTEMPT, attempt.cast("string")).otherwise("")
+    longer = F.greatest(attempt - (LOOSE_ATTEMPT - 1), F.lit(0))
     top = F.concat(F.lit("."), F.substring_index(canonical, ".", -1))
     low = F.length(canonical) - F.length(top)
     cc = F.substring_index(canonical, "+", 1)
     rest = F.substring_index(canonical, "+", -1)
-    return let(
-        keyed,
-        lambda s: F.when(
-            kind == "email", F.concat(_mapped(F.substring_index(canonical, "@", 1), s), more)
-        )
-        .when(
-            kind == "domain",
-            F.concat(_mapped(F.substr(canonical, F.lit(1), low), s), more, top),
-        )
-        .when(kind == "ip", _ip(canonical, s, attempt))
-        .when(kind == "phone", F.concat(cc, F.lit("+"), _mapped(rest, s)))
-        .when(kind == "card", _card(canonical, s))
-        .when(
-            kind == "iban",
-            F.concat(
-                F.substr(canonical, F.lit(1), F.lit(2)),
-                _mapped(F.substr(canonical, F.lit(3), F.length(canonical)), s),
-            ),
+
+    def of(s: Column) -> Column:
+        more = _mapped(F.repeat(F.lit("0"), longer), F.reverse(s))
+        return (
+            F.when(
+                kind == "email", F.concat(_mapped(F.substring_index(canonical, "@", 1), s), more)
+            )
+            .when(
+                kind == "domain",
+                F.concat(_mapped(F.substr(canonical, F.lit(1), low), s), more, top),
+            )
+            .when(kind == "ip", _ip(canonical, s, attempt))
+            .when(kind == "phone", F.concat(cc, F.lit("+"), _mapped(rest, s), more))
+            .when(kind == "card", F.concat(_card(canonical, s), more))
+            .when(
+                kind == "iban",
+                F.concat(
+                    F.substr(canonical, F.lit(1), F.lit(2)),
+                    _mapped(F.substr(canonical, F.lit(3), F.length(canonical)), s),
+                    more,
+                ),
+            )
+            .when(kind == "ssn", F.concat(_mapped(canonical, s), more))
+            .otherwise(_named(kind, canonical, s, attempt))
         )
-        .when(kind == "ssn", _mapped(canonical, s))
-        .otherwise(_named(kind, canonical, s, attempt)),
-    )
+
+    return let(keyed, of)
 
 
 # --- putting surrogates in place ---------------------------------------------------
 
 
 def _filled(shape: Column, filling: Column) -> Column:
-    """The shape with its ASCII letters and digits replaced, in order, by those of the filling."""
-    return F.array_join(
+    """The shape with its ASCII letters and digits replaced, in order, by those of the filling.
+
+    What the filling has beyond them follows.
+    """
+    rest = F.substr(filling, F.length(_letters_and_digits(shape)) + 1, F.length(filling))
+    filled = F.array_join(
         F.transform(
             F.sequence(F.lit(1), F.length(shape)),
             lambda i: let(
@@ -264,6 +280,7 @@ def _filled(shape: Column, filling: Column) -> Column:
         ),
         "",
     )
+    return F.concat(filled, rest)
 
 
 def _replacement(match: Column, entities: Column, surrogates: Column) -> Column:
@@ -327,6 +344,88 @@ def _settled_attempts(entities: DataFrame, key: str) -> Settled:
     return settle(drawn.where(F.col("attempt") > 0).select("kind", "canonical", "attempt"))
 
 
+_ATTEMPTS = "array<struct<kind:string,canonical:string,attempt:int>>"
+_NAME_KINDS = ("surname", "given_m", "given_f")
+
+
+def _found(text: Column) -> Column:
+    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), 0)).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def _with_attempts(rows: DataFrame, key: str) -> DataFrame:
+    """Rows of _id, _row and _text with _attempts, their entities of more than one attempt.
+
+    Rows that a filter of the others rules out stay where they are, so only the
+    texts that hold such an entity, and a few others, are shuffled.
+    """
+    listed = F.explode(F.flatten(F.transform(_found(F.col("_text")), _entities))).alias("_e")
+    held = settle(rows.select("_id", "_row", listed).select("_id", "_row", "_e.*").distinct()).rows
+    again = _settled_attempts(settle(held.select("kind", "canonical").distinct()).rows, key)
+    attempts = settle(
+        spread_join(held, again.rows, ["kind", "canonical"], "inner")
+        .groupBy("_id", "_row")
+        .agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("_attempts"))
+        .select(F.col("_id").alias("_of"), F.col("_row").alias("_of_row"), "_attempts")
+    )
+    blocks = bloom.block_count(attempts.count)
+    pairs = attempts.rows.select(F.xxhash64("_of", "_of_row").alias("_pair"))
+    probed = bloom.with_possible(
+        rows.withColumn("_pair", F.xxhash64("_id", "_row")),
+        bloom.bloom_filter(pairs, "_pair", blocks),
+        "_pair",
+        blocks,
+        "_maybe",
+    )
+    stay = probed.where(~F.col("_maybe")).select(
+        "_own", "_text", F.lit(None).cast(_ATTEMPTS).alias("_attempts")
+    )
+    same = F.col("_id").eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row"))
+    met = probed.where("_maybe").join(attempts.rows, same, "left")
+    return stay.unionByName(met.select("_own", "_text", "_attempts"))
+
+
+def _interleaved(gaps: Column, new: Column) -> Column:
+    """Gaps and what stands between them, joined."""
+    return F.array_join(
+        F.flatten(
+            F.zip_with(gaps, new, lambda gap, n: F.array(gap, F.coalesce(n, F.lit(""))))
+        ),
+        "",
+    )
+
+
+def _names_replaced(gap: Column, names: Column) -> Column:
+    """The gap with mentions without a title of the document's names replaced, in one pass."""
+    pattern = F.concat(
+        F.lit(r"(?<!\p{L})(?:"),
+        F.array_join(F.map_keys(names), "|"),
+        F.lit(r")(?![\p{L}\p{N}])"),
+    )
+    new = F.transform(
+        F.regexp_extract_all(gap, pattern, F.lit(0)), lambda m: F.element_at(names, m)
+    )
+    return _interleaved(F.split(gap, pattern, -1), new)
+
+
+def _known_names(of: Column) -> Column:
+    """From a document's entities, a map of its names to their surrogates, both capitalised."""
+
+    def of_kind(kind: str) -> Column:
+        return F.filter(of, lambda e: e["kind"] == kind)
+
+    pairs = F.transform(
+        F.concat(*map(of_kind, _NAME_KINDS)),
+        lambda e: F.struct(
+            F.initcap(e["canonical"]).alias("key"), F.initcap(e["surrogate"]).alias("value")
+        ),
+    )
+    keys = F.transform(pairs, lambda p: p["key"])
+    first = F.filter(pairs, lambda p, i: F.array_position(keys, p["key"]) == i + 1)
+    return F.map_from_entries(first)
+
+
 def with_surrogates(
     docs: DataFrame, key: str, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -334,55 +433,30 @@ def with_surrogates(
     (kind, canonical, surrogate).
 
     Kinds: e-mail addresses (the domain is an entity of its own), IP addresses,
-    phone numbers, card and other long numbers, social security numbers, IBANs,
-    and names after a title. Equal entities get equal surrogates in all
-    documents, different ones different surrogates; none is an entity that
-    occurs. Digits stay digits, letters keep script and case class, separators,
-    country codes, top-level domains, titles, a card's first digit and a right
-    check digit stay.
-
-    NULL texts stay NULL with no entities. Repeated rows are replaced alike and
-    a NULL id changes nothing. A column called entities is replaced, others pass
-    through; no rows give no rows.
+    phone numbers of seven digits or more, card and other long numbers, social
+    security numbers, IBANs, and names after a title. A name found so is
+    replaced in the rest of its document too, with any other title or none; as
+    a surname where it is one and a given name both. Equal entities get equal
+    surrogates in all documents, different ones different surrogates; none is an
+    entity that occurs. Digits stay digits, letters keep script and case class,
+    separators, country codes, top-level domains, titles, a card's first digit
+    and a right check digit stay; only where short forms run out does a
+    surrogate get longer.
+
+    NULL texts stay NULL with no entities, empty ones empty. Repeated rows are
+    replaced alike and a NULL id changes nothing. A column called entities is
+    replaced, others pass through, whatever their names; no rows give no rows.
     """
     docs = without(docs, "entities")
-    text = text_or_empty(F.col(text_column))
-    found = F.when(
-        text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), 0)
-    ).otherwise(F.array().cast("array<string>"))
-    entities = F.transform(found, lambda m: _entities(m))
-    listed = settle(
-        docs.select(F.explode(F.flatten(entities)).alias("_e")).select("_e.*").distinct()
-    ).rows
-    again = _settled_attempts(listed, key)
-    hashed = docs.withColumn("_row", F.xxhash64(F.col(text_column)))
-    if again.count:
-        own = hashed.select(
-            F.col(id_column).alias("_of"),
-            F.col("_row").alias("_of_row"),
-            F.explode(F.flatten(entities)).alias("_e"),
-        )
-        own = own.select("_of", "_of_row", "_e.*").distinct()
-        attempts = (
-            spread_join(own, again.rows, ["kind", "canonical"], "inner")
-            .groupBy("_of", "_of_row")
-            .agg(F.collect_set(F.struct("kind", "canonical", "attempt")).alias("_attempts"))
-        )
-        hashed = hashed.join(
-            attempts,
-            F.col(id_column).eqNullSafe(F.col("_of")) & (F.col("_row") == F.col("_of_row")),
-            "left",
-        ).drop("_of", "_of_row")
-    else:
-        none = "array<struct<kind:string,canonical:string,attempt:int>>"
-        hashed = hashed.withColumn("_attempts", F.lit(None).cast(none))
+    own, whole = F.col(id_column), F.col(text_column)
+    rows = enclosed(docs, _id=own, _row=F.xxhash64(whole), _text=text_or_empty(whole))
 
     def attempt_of(e: Column) -> Column:
-        own = F.filter(
+        same = F.filter(
             F.col("_attempts"),
             lambda a: (a["kind"] == e["kind"]) & (a["canonical"] == e["canonical"]),
         )
-        return F.coalesce(F.get(own, F.lit(0))["attempt"], F.lit(0))
+        return F.coalesce(F.get(same, F.lit(0))["attempt"], F.lit(0))
 
     def replaced(m: Column) -> Column:
         return let(
@@ -406,22 +480,19 @@ def with_surrogates(
             ),
         )
 
-    done = hashed.withColumn("_done", F.transform(found, replaced))
-    gaps = F.split(text, ENTITY, -1)
-    joined = F.array_join(
-        F.flatten(
-            F.zip_with(
-                gaps,
-                F.transform(F.col("_done"), lambda d: d["text"]),
-                lambda gap, new: F.array(gap, F.coalesce(new, F.lit(""))),
-            )
-        ),
-        "",
+    done = _with_attempts(rows, key).withColumn(
+        "_done", F.transform(_found(F.col("_text")), replaced)
     )
-    changed = F.when(F.size("_done") > 0, joined).otherwise(F.col(text_column))
-    return done.select(
-        *[changed.alias(c) if c == text_column else F.col(c) for c in docs.columns],
-        F.array_distinct(F.flatten(F.transform(F.col("_done"), lambda d: d["of"]))).alias(
-            "entities"
-        ),
+    listed = done.withColumn(
+        "_of", F.array_distinct(F.flatten(F.transform(F.col("_done"), lambda d: d["of"])))
+    ).withColumn("_names", _known_names(F.col("_of")))
+    gaps = F.split(F.col("_text"), ENTITY, -1)
+    named = F.when(
+        F.size("_names") > 0, F.transform(gaps, lambda gap: _names_replaced(gap, F.col("_names")))
+    ).otherwise(gaps)
+    new = _interleaved(named, F.transform(F.col("_done"), lambda d: d["text"]))
+    changed = F.when(F.size("_done") > 0, new).otherwise(F.col("_own")[text_column])
+    return listed.select(
+        *[changed.alias(c) if c == text_column else F.col("_own")[c].alias(c) for c in docs.columns],
+        F.col("_of").alias("entities"),
     )

@@ -37,8 +37,8 @@ RULES = (
     ("example.com", "/de/", "block"),
     ("org", "/fr/", "allow"),
 )
-# Pages fetched without TLS from a host with one of these labels make up the listing.
-LISTED_LABELS = ("casino-win", "ads-track", "spam-farm")
+# The listing holds the pages whose canonical URL's MD5 begins with this digit, a sixteenth.
+LISTED_DIGIT = "7"
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -132,11 +132,8 @@ def op8_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listed_urls(pages: DataFrame) -> DataFrame:
-    host = url_filter.url_host(F.col("url"))
-    return pages.where(
-        F.col("url").startswith("http://")
-        & F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, LISTED_LABELS)))
-    ).select("url")
+    digest = F.md5(F.concat(F.lit("listing:"), url_filter.canonical_url(F.col("url"))))
+    return pages.where(digest.startswith(LISTED_DIGIT)).select("url")
 
 
 def op9_url_filter(spark: SparkSession, folder: str) -> DataFrame:

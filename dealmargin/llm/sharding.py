@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dealmargin.llm.columns import without
+from dealmargin.llm.columns import enclosed, without
 
 ROWS_PER_BUCKET = 1000
 MAX_BUCKETS = 16384
@@ -68,20 +68,15 @@ def interleaved_shards(
     called shard or slot are replaced, others pass through. No rows give no rows.
     """
     rows = without(rows, "shard", "slot")
-    names = rows.columns
     buckets = min(MAX_BUCKETS, max(1, rows.count() // ROWS_PER_BUCKET))
     stratum, own = F.col(stratum_column).cast("string"), F.col(id_column)
-    keyed = (
-        rows.withColumn(
-            "_stratum", F.when(stratum.isNull(), "0").otherwise(F.concat(F.lit("1"), stratum))
-        )
-        .withColumn("_key", seeded_key(seed, own))
-        .withColumn(
-            "_bucket",
-            F.shiftright(F.shiftright("_key", _KEY_BITS - 20) * buckets, 20),
-        )
-    )
-    order = ["_key", id_column]
+    keyed = enclosed(
+        rows,
+        _stratum=F.when(stratum.isNull(), "0").otherwise(F.concat(F.lit("1"), stratum)),
+        _key=seeded_key(seed, own),
+        _id=own,
+    ).withColumn("_bucket", F.shiftright(F.shiftright("_key", _KEY_BITS - 20) * buckets, 20))
+    order = ["_key", "_id"]
     within = _ranked(keyed, ["_stratum"], "_bucket", order, "_rank", "_of").drop("_bucket")
     fractional = within.withColumn(
         "_fraction", (2 * F.col("_rank") - 1).cast("double") / (2 * F.col("_of")).cast("double")
@@ -96,8 +91,7 @@ def interleaved_shards(
             "slot",
             F.expr(f"_place - 1 - ((shard * _all + {shards - 1}) div {shards})"),
         )
-        .withColumn("shard", F.col("shard").cast("int"))
-        .select(*names, "shard", "slot")
+        .select("_own.*", F.col("shard").cast("int").alias("shard"), "slot")
     )
 
 

@@ -204,11 +204,16 @@ def near_duplicates(
     marked = settle(with_fingerprints(docs, id_column, text_column)).rows
     fps = settle(marked.groupBy("_fp").agg(F.min("_id").alias("_least_id")))
     roots = fingerprint_components(Settled(fps.rows.select("_fp"), fps.count), radius)
-    rooted = fps.rows.join(roots, F.col("_fp") == F.col("node"), "left").select(
-        "_fp", "_least_id", F.coalesce("root", "_fp").alias("_root")
-    )
+    rooted = settle(
+        fps.rows.join(roots, F.col("_fp") == F.col("node"), "left").select(
+            "_fp", "_least_id", F.coalesce("root", "_fp").alias("_root")
+        )
+    ).rows
     least = rooted.groupBy("_root").agg(F.min("_least_id").alias("component_id"))
-    of_fp = rooted.select("_fp", "_root").join(least, "_root").select("_fp", "component_id")
+    # A component of very many fingerprints is one key here.
+    of_fp = spread_join(rooted.select("_fp", "_root"), least, ["_root"], "inner").select(
+        "_fp", "component_id"
+    )
     return spread_join(marked, of_fp, ["_fp"], "inner").select(
         F.col("_id").alias(id_column),
         F.col("_hash").alias("text_hash"),

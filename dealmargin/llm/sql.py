@@ -87,8 +87,7 @@ WITH parts AS (
   GROUP BY page_id
 ), listing AS (
   SELECT DISTINCT canonical FROM named
-  WHERE starts_with(url, 'http://')
-    AND list_has_any(string_split(host, '.'), ['casino-win', 'ads-track', 'spam-farm'])
+  WHERE starts_with(md5('listing:' || canonical), '7')
 )
 SELECT n.page_id, n.host, n.path, f.rule,
        CASE WHEN f.v IS NOT NULL THEN f.v WHEN l.canonical IS NOT NULL THEN 'block'

@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealmargin.llm import bloom
-from dealmargin.llm.columns import ascii_lower, without
-from dealmargin.operators.joins import spread_join
+from dealmargin.llm.columns import ascii_lower, enclosed, without
+from dealmargin.operators.joins import settle, spread_join
 
 TRACKING = ("utm_", "ref=")
 
@@ -72,29 +72,33 @@ def filter_urls(
     """
     pages = without(pages, "host", "path", "rule", "verdict")
     url = F.col(url_column)
-    known = (
+    known = settle(
         listed.where(F.col(listed_column).isNotNull())
         .select(canonical_url(F.col(listed_column)).alias("_canonical"))
         .distinct()
     )
-    blocks = bloom.block_count(known.count())
-    listing = bloom.bloom_filter(known, "_canonical", blocks)
-    split = pages.withColumn("host", url_host(url)).withColumn("path", url_path(url))
-    rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
-    ruled = (
-        split.withColumn("rule", rule)
-        .withColumn("_ruled", verdict)
-        .withColumn("_canonical", F.when(url.isNotNull(), canonical_url(url)))
+    blocks = bloom.block_count(known.count)
+    listing = bloom.bloom_filter(known.rows, "_canonical", blocks)
+    split = enclosed(
+        pages,
+        host=url_host(url),
+        path=url_path(url),
+        _canonical=F.when(url.isNotNull(), canonical_url(url)),
     )
+    rule, verdict = rule_verdict(F.col("host"), F.col("path"), rules)
+    ruled = split.withColumn("rule", rule).withColumn("_ruled", verdict)
     probed = bloom.with_possible(ruled, listing, "_canonical", blocks, "_in").withColumn(
         "_maybe", F.col("_in") & F.col("_ruled").isNull() & F.col("_canonical").isNotNull()
     )
-    out = [*split.columns, "rule"]
+    out = ["_own.*", "host", "path", "rule"]
     passed = probed.where(~F.col("_maybe")).select(
         *out, F.coalesce("_ruled", F.lit("allow")).alias("verdict")
     )
     possible = spread_join(
-        probed.where("_maybe"), known.withColumn("_listed", F.lit(True)), ["_canonical"], "left"
+        probed.where("_maybe"),
+        known.rows.withColumn("_listed", F.lit(True)),
+        ["_canonical"],
+        "left",
     ).select(
         *out, F.when(F.col("_listed"), "block").otherwise("allow").alias("verdict")
     )

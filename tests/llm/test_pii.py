@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from dealmargin.llm import pii
 
@@ -93,3 +96,119 @@ def test_key_decides_and_empty_table(spark):
     texts = {pii.with_surrogates(docs, k).first().text for k in ("one", "two", "one")}
     assert len(texts) == 2
     assert pii.with_surrogates(docs.limit(0), "k").collect() == []
+
+
+# --- against plain Python ----------------------------------------------------------
+
+
+def drawn(stream, at):
+    start = at * 7 % 61
+    return int(stream[start : start + 4], 16)
+
+
+def digits_of(text, stream):
+    return "".join(str(drawn(stream, i) % 10) for i in range(1, len(text) + 1))
+
+
+def brute_surrogate(kind, canonical, attempt, key):
+    """Numbers and addresses only: what the drawing gives, written out by hand."""
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    stream = sha(f"{key}:" + sha(f"{key}:{kind}:{attempt}:{canonical}"))
+    more = digits_of("0" * max(0, attempt - 7), stream[::-1])
+    if kind == "ssn":
+        return digits_of(canonical, stream) + more
+    if kind == "phone":
+        cc, rest = canonical.split("+")
+        return f"{cc}+{digits_of(rest, stream)}{more}"
+    octets = []
+    for i, octet in enumerate(canonical.split(".")):
+        n = drawn(stream, i)
+        loose = 1000 if attempt >= 16 else 256 if attempt >= 8 else 0
+        octets.append(n % loose if loose else [n % 10, n % 90 + 10, n % 156 + 100][len(octet) - 1])
+    return ".".join(map(str, octets))
+
+
+def brute_attempts(entities, key):
+    """Rounds of drawing in which all but the earliest claim, and claims of real ones, go on."""
+    attempt = dict.fromkeys(entities, 0)
+    while True:
+        claims = defaultdict(list)
+        for (kind, canonical), n in attempt.items():
+            claims[kind, brute_surrogate(kind, canonical, n, key)].append((n, canonical))
+        again = {(k, c) for (k, s), held in claims.items() for n, c in held if (n, c) != min(held)}
+        again |= {(k, c) for (k, s), held in claims.items() if (k, s) in entities for _, c in held}
+        if not again:
+            return attempt
+        for e in again:
+            attempt[e] += 1
+
+
+def test_surrogates_equal_those_drawn_by_hand(spark):
+    """Spaces so crowded that entities are retried up to forms that get longer."""
+    ips = [f"{a}.{b}.{c}.{d}" for a in range(9) for b in range(9) for c in range(9) for d in range(2)]
+    ssns = [f"{n:03}-{n % 100:02}-{n:04}" for n in range(300)]
+    phones = [f"+1 555-{n:03}-{n * 7 % 1000:03}" for n in range(300)]
+    rows = [(i, f"a {x} b {y} c {z} d") for i, (x, y, z) in enumerate(
+        zip(ips, (ssns * 5)[: len(ips)], (phones * 5)[: len(ips)], strict=True))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = set()
+    for own, text in rows:
+        x, y, z = re.fullmatch("a (.*) b (.*) c (.*) d", text).groups()
+        cc, rest = "1", re.sub("[^0-9]", "", z)[1:]
+        expected |= {(own, "ip", x), (own, "ssn", y.replace("-", "")), (own, "phone", f"{cc}+{rest}")}
+    attempts = brute_attempts({e[1:] for e in expected}, "key")
+    assert max(attempts.values()) > 3
+    out = pii.with_surrogates(docs, "key").collect()
+    assert {(r.doc_id, e.kind, e.canonical) for r in out for e in r.entities} == expected
+    for r in out:
+        for e in r.entities:
+            n = attempts[e.kind, e.canonical]
+            assert e.surrogate == brute_surrogate(e.kind, e.canonical, n, "key")
+        assert re.sub("[0-9]+", "", r.text) == re.sub("[0-9]+", "", dict(rows)[r.doc_id])
+
+
+def test_a_space_that_runs_out_gets_longer(spark):
+    """Many short names of another script, whose surrogates must avoid the names themselves."""
+    pairs = [(i, f"10.0.0.{i % 10} or Mr {chr(0x391 + i % 17)}{chr(0x3b1 + i % 17)}") for i in range(40)]
+    out = pii.with_surrogates(spark.createDataFrame(pairs, "doc_id long, text string"), "k").collect()
+    names = {e.canonical: e.surrogate for r in out for e in r.entities if e.kind == "surname"}
+    assert len(names) == 17 and len(set(names.values())) == 17
+    assert not set(names) & set(names.values())
+
+
+# --- names, short numbers, odd inputs ----------------------------------------------
+
+
+def test_names_are_replaced_without_their_title(spark):
+    text = "Mr John Smith came. Smith left, said Dr Smith; John's Smithy, Jones."
+    docs = spark.createDataFrame([(1, text), (2, "Smith is nobody's title here")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.with_surrogates(docs, "key").collect()}
+    new = {e.canonical: e.surrogate.capitalize() for e in out[1].entities}
+    assert out[1].text == (
+        f"Mr {new['john']} {new['smith']} came. {new['smith']} left, said Dr {new['smith']}; "
+        f"{new['john']}'s Smithy, Jones."
+    )
+    assert out[2].text == "Smith is nobody's title here"
+
+
+def test_short_numbers_are_no_phones(spark):
+    texts = ["+15000 of them", "+1 22 22", "call +1 222 2222", "+49 30 1234567"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r.doc_id: r for r in pii.with_surrogates(docs, "key").collect()}
+    assert [out[i].text == texts[i] for i in range(4)] == [True, True, False, False]
+
+
+def test_columns_of_any_name_and_very_long_texts(spark):
+    body = "Mail die.55@mail4.example.com from 97.51.17.173, " + "wörter und mehr " * 60_000
+    docs = spark.createDataFrame([(1, body + "Ende 97.51.17.173"), (2, "x 97.51.17.174")],
+                                 "doc_id long, text string")
+    internal = ("_own", "_id", "_row", "_text", "_pair", "_maybe", "_attempts", "_done", "_of",
+                "_names", "_block", "_w0", "_hash", "kind", "canonical", "attempt")
+    for name in internal:
+        docs = docs.withColumn(name, F.lit(f"my {name}"))
+    out = pii.with_surrogates(docs, "key").collect()
+    assert [r[name] for r in out for name in internal] == [f"my {n}" for _ in out for n in internal]
+    whole = next(r for r in out if r.doc_id == 1)
+    ip = next(e.surrogate for e in whole.entities if e.kind == "ip")
+    assert whole.text.endswith(f"Ende {ip}") and whole.text.count(ip) == 2
+    assert whole.text.count("wörter und mehr ") == 60_000
