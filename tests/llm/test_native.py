@@ -7,8 +7,9 @@ import re
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from dealmargin.llm import bloom, decontamination, line_dedup, sharding, url_filter
+from dealmargin.llm import bloom, decontamination, line_dedup, registry, sharding, url_filter
 
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -186,3 +187,72 @@ def test_contamination_of_nothing(spark):
     assert decontamination.contamination(docs.limit(0), items).collect() == []
     (row,) = decontamination.contamination(docs, items.limit(0)).collect()
     assert (row.n_words, row.n_hit, list(row["items"])) == (2, 0, [])
+
+
+# --- columns of any name -----------------------------------------------------------
+
+
+def clashing(rows, *names):
+    """Rows with further columns called like the operators' own, each with a value to look for."""
+    for name in names:
+        rows = rows.withColumn(name, F.concat(F.lit(f"my {name} "), F.col(rows.columns[0]).cast("string")))
+    return rows
+
+
+def untouched(out, own, names):
+    rows = out.select(own, *names).collect()
+    assert rows
+    assert all(r[n] == f"my {n} {r[own]}" for r in rows for n in names)
+
+
+BLOOM = ("_own", "_id", "_hash", "_pair", "_maybe", "_block", "_gone", "_gone_hash",
+         *(f"_w{i}" for i in range(8)))
+
+
+def test_clashing_columns_pass_through(spark):
+    line = "a line that all of the documents share"
+    docs = spark.createDataFrame(
+        [(i, f"{line}\nown {i}", "ab"[i % 2]) for i in range(6)], "doc_id long, text string, source string"
+    )
+    names = (*BLOOM, "_row", "_at", "_key", "_h", "_g", "_lost", "_lost_id", "_lost_row", "_dropped",
+             "_lines", "_text", "_keeper")
+    out = line_dedup.drop_shared_lines(clashing(docs, *names))
+    assert sorted(r.n_dropped for r in out.collect()) == [0, 1, 1, 1, 1, 1]
+    untouched(out, "doc_id", names)
+    names = ("_own", "_stratum", "_key", "_bucket", "_rank", "_of", "_fraction", "_part", "_place",
+             "_all", "_n", "_before", "_row", "_id")
+    out = sharding.interleaved_shards(clashing(docs, *names), 3)
+    assert sorted(r.shard for r in out.collect()) == [0, 0, 1, 1, 2, 2]
+    untouched(out, "doc_id", names)
+    lost = docs.where("doc_id < 2").select("doc_id", F.xxhash64("text").alias("text_hash"))
+    out = bloom.without_rows(clashing(docs, *BLOOM), lost, "doc_id", "text", "doc_id", "text_hash")
+    assert sorted(r.doc_id for r in out.collect()) == [2, 3, 4, 5]
+    untouched(out, "doc_id", BLOOM)
+
+
+def test_clashing_columns_of_pages(spark):
+    pages = spark.createDataFrame(
+        [(i, f"http://h.org/{i}") for i in range(6)], "page_id long, url string"
+    )
+    names = (*BLOOM, "_canonical", "_ruled", "_in", "_listed")
+    out = url_filter.filter_urls(clashing(pages, *names), pages.where("page_id = 3"), RULES)
+    assert [r.page_id for r in out.where("verdict = 'block'").collect()] == [3]
+    untouched(out, "page_id", names)
+
+
+def test_the_listing_is_there_at_every_size(spark):
+    for size in ("sf0.001", "sf0.01", "sf0.1"):
+        pages = spark.read.parquet(f"/root/testdata/{size}/pages.parquet").select("page_id", "url")
+        judged = registry.op9_url_filter(spark, f"/root/testdata/{size}")
+        listed = registry.listed_urls(pages).distinct().count()
+        blocked = judged.where("verdict = 'block' AND rule IS NULL").count()
+        assert 0 < blocked <= pages.count() // 8 and listed <= blocked * 3
+
+
+def test_very_long_texts(spark):
+    line = "a line that all of the documents share"
+    body = f"{line}\n" + "\n".join(f"own line {i}" for i in range(100_000))
+    docs = spark.createDataFrame([(1, body), (2, line), (3, line + "\n" + body)], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.drop_shared_lines(docs, min_documents=3).collect()}
+    assert (out[1].n_lines, out[1].n_dropped, out[3].n_dropped) == (100_001, 1, 0)
+    assert out[1].text == body[len(line) + 1 :] and out[2].text == ""
