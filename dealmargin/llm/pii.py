@@ -41,8 +41,9 @@ _TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES, key=len, reverse=True))
 _NAME = r"\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 #: Kinds in the order in which they are tried at a place, each with its pattern.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}_%+-]+(?:\.[\p{L}\p{N}_%+-]+)*@"
-    r"(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,24}",
+    # Groups are bounded: one repeated very often would exhaust the stack, or be tried at every dot.
+    "email": r"(?<![\p{L}\p{N}_%+-])[\p{L}\p{N}_%+-]++(?:\.[\p{L}\p{N}_%+-]++){0,20}+@"
+    r"(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.){1,100}\p{L}{2,24}",
     "ip": r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?![0-9]|\.[0-9])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){3,7}(?:\x20?[A-Z0-9]{1,3})?"

@@ -2,22 +2,19 @@
 
 Strong spans are reported wherever they are. Identifiers, weak secrets and
 endpoints are each too common to report alone. They are joined as intervals
-within their scope, a block of lines without a blank one: a window over the
-block knows which roles it has, so no pairs are formed. A weak part is reported
-if its block has a complementary one, however far apart they are.
+within their scope, a block of lines without a blank one, in one pass over a
+document's spans and breaks in order, so no pairs are formed. A weak part is
+reported if its block has a complementary one, however far apart they are.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dealmargin.llm.columns import let, text_or_empty
 from dealmargin.operators.joins import settle
 
-REACH = math.inf  # code points between linked parts: the block alone bounds them
 _VALUE = r"""["']?\x20*[:=]\x20*["']?"""
 _PREFIX = r"(?<![A-Za-z0-9_])(?:[A-Za-z0-9_]*_)?"  # of names such as db_user
 ASSIGN = rf"(?i:password|passwd|secret|token|api_?key){_VALUE}([A-Za-z0-9+/_.=-]+)"
@@ -36,7 +33,8 @@ WEAK_SECRET = (
 ENDPOINT = (
     r"(?<![A-Za-z0-9_])(?:https?|jdbc:[a-z]+|postgres(?:ql)?|mysql|mongodb|redis|amqp)://[^\s\"'<>]+"
 )
-BREAK = r"\n(?:[ \t]*\n)+"
+# Possessive, as a group repeated very often would otherwise exhaust the stack.
+BREAK = r"\n(?:[ \t]*+\n)++"
 #: Kinds in the order that settles equal starts; the first three are strong.
 KINDS = ("assign", "access", "hex", "identifier", "weak_secret", "endpoint")
 _ROLE = {
@@ -47,14 +45,16 @@ _ROLE = {
     "weak_secret": "secret",
     "endpoint": "endpoint",
 }
+_WEAK, _BREAK = KINDS.index("identifier"), len(KINDS)
 _SPAN = "array<struct<start:int,rank:int,end:int>>"
+_MATCHES = "array<struct<rank:int,gap:int,size:int,fits:boolean>>"
 
 
-def match_spans(text: Column, pattern: str, rank: int, least_value: int = 0) -> Column:
-    """Leftmost non-overlapping matches as (start, rank, end) in code points, end exclusive.
+def _measured(text: Column, pattern: str, rank: int, least_value: int = 0) -> Column:
+    """Leftmost non-overlapping matches, each as the gap before it and its size in code points.
 
     What lies between the matches gives their places, since no function tells
-    them. With least_value, matches whose first group is shorter are left out.
+    them. fits is false where the match's first group is shorter than least_value.
     """
     matches = F.regexp_extract_all(text, F.lit(pattern), 0)
     values = F.regexp_extract_all(text, F.lit(pattern), 1) if least_value else matches
@@ -62,46 +62,68 @@ def match_spans(text: Column, pattern: str, rank: int, least_value: int = 0) ->
         F.split(text, pattern, -1),
         F.arrays_zip(matches.alias("m"), values.alias("v")),
         lambda gap, m: F.struct(
+            F.lit(rank).alias("rank"),
             F.length(gap).alias("gap"),
             F.length(m["m"]).alias("size"),
             F.coalesce(F.length(m["v"]) >= least_value, F.lit(False)).alias("fits"),
         ),
     )
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("found"))
-    placed = F.aggregate(
-        measured,
-        start,
-        lambda acc, m: F.struct(
-            (acc["at"] + m["gap"] + F.coalesce(m["size"], F.lit(0))).alias("at"),
-            F.when(
-                m["fits"],
-                F.concat(
-                    acc["found"],
-                    F.array(
-                        F.struct(
-                            (acc["at"] + m["gap"]).alias("start"),
-                            F.lit(rank).alias("rank"),
-                            (acc["at"] + m["gap"] + m["size"]).alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
-        lambda acc: acc["found"],
-    )
-    return F.when(text.rlike(pattern), placed).otherwise(F.array().cast(_SPAN))
+    matched = F.filter(measured, lambda m: m["size"].isNotNull())
+    return F.when(text.rlike(pattern), matched).otherwise(F.array().cast(_MATCHES))
+
+
+def _gated(text: Column, hint: str, matches: Column) -> Column:
+    return F.when(F.contains(text, F.lit(hint)), matches).otherwise(F.array().cast(_MATCHES))
 
 
-def _gated(text: Column, hint: str, spans: Column) -> Column:
-    return F.when(F.contains(text, F.lit(hint)), spans).otherwise(F.array().cast(_SPAN))
+def _placed(matches: DataFrame) -> DataFrame:
+    """Matches of rows with start and end, those that fit.
 
+    Places are running sums over a row's matches of one kind, so the work grows
+    with their number.
+    """
+    before = Window.partitionBy("_row", "rank").orderBy("_at").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
+    )
+    end = F.sum(F.col("gap") + F.col("size")).over(before).cast("int")
+    return (
+        matches.withColumn("end", end)
+        .where("fits")
+        .select("_row", "rank", (F.col("end") - F.col("size")).alias("start"), "end")
+    )
 
-def _present(role: Column, other: str) -> Column:
-    """Whether the part's block has a part of the other role."""
-    block = Window.partitionBy("_id", "text_hash", "_scope")
-    return F.max(role == other).over(block)
+
+def _linked(spans: DataFrame) -> DataFrame:
+    """The strong spans and breaks of rows, and the weak ones whose block has a complement.
+
+    In order of their starts, a running count of breaks numbers the blocks, and
+    the strong spans' greatest end so far and next start tell which weak parts
+    are of their text. Within a block windows know which roles it has.
+    """
+    order = Window.partitionBy("_row").orderBy("start", "rank")
+    so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    later = Window.partitionBy("_row").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(
+        Window.unboundedPreceding, -1
+    )
+    strong, weak = F.col("rank") < _WEAK, F.col("rank").between(_WEAK, _BREAK - 1)
+    ended = F.max(F.when(strong, F.col("end"))).over(so_far)
+    next_start = F.last(F.when(strong, F.col("start")), ignorenulls=True).over(later)
+    inside = F.coalesce(ended > F.col("start"), F.lit(False)) | F.coalesce(
+        next_start < F.col("end"), F.lit(False)
+    )
+    parts = spans.select(
+        "*",
+        F.count_if(F.col("rank") == _BREAK).over(so_far).alias("_scope"),
+        (weak & inside).alias("_inside"),
+        F.get(F.array(*[F.lit(_ROLE[k]) for k in KINDS]), F.col("rank")).alias("_role"),
+    ).where(~F.col("_inside"))
+    block = Window.partitionBy("_row", "_scope")
+    near = {r: F.max(F.col("_role") == r).over(block) for r in ("identifier", "secret", "endpoint")}
+    met = parts.withColumns({f"_near_{r}": present for r, present in near.items()})
+    complemented = F.when(
+        F.col("_role") == "secret", F.col("_near_identifier") | F.col("_near_endpoint")
+    ).otherwise(F.col("_near_secret"))
+    return met.where(strong | (weak & complemented))
 
 
 def secret_spans(
@@ -119,85 +141,45 @@ def secret_spans(
     apart by text_hash (xxhash64); identical rows give identical results.
     Other columns are left aside; no rows give no rows.
     """
-    text = text_or_empty(F.col(text_column))
-    rows = docs.select(
-        F.col(id_column).alias("_id"),
-        F.xxhash64(F.col(text_column)).alias("text_hash"),
-        text.alias("_text"),
-    )
-    body = F.col("_text")
-    found = rows.select(
-        "_id",
-        "text_hash",
-        F.sort_array(
-            F.concat(
-                match_spans(body, ASSIGN, 0, ASSIGN_VALUE),
-                _gated(body, "AKIA", match_spans(body, ACCESS, 1)),
-                match_spans(body, HEX, 2),
-            )
-        ).alias("strong"),
-        F.concat(
-            match_spans(body, IDENTIFIER, 3),
-            match_spans(body, WEAK_SECRET, 4),
-            _gated(body, "://", match_spans(body, ENDPOINT, 5)),
-        ).alias("_weak"),
-        F.transform(match_spans(body, BREAK, 0), lambda s: s["start"]).alias("_breaks"),
+    body = text_or_empty(F.col(text_column))
+    weak = F.concat(
+        _measured(body, IDENTIFIER, 3),
+        _measured(body, WEAK_SECRET, 4),
+        _gated(body, "://", _measured(body, ENDPOINT, 5)),
     )
     kept = settle(
-        found.withColumn(
-            "_breaks", F.when(F.size("_weak") > 0, F.col("_breaks"))
-        )
+        docs.select(
+            F.col(id_column).alias("_id"),
+            F.xxhash64(F.col(text_column)).alias("text_hash"),
+            F.monotonically_increasing_id().alias("_row"),
+            F.concat(
+                _measured(body, ASSIGN, 0, ASSIGN_VALUE),
+                _gated(body, "AKIA", _measured(body, ACCESS, 1)),
+                _measured(body, HEX, 2),
+            ).alias("_strong"),
+            weak.alias("_weak"),
+            _measured(body, BREAK, _BREAK).alias("_breaks"),
+        ).withColumn("_breaks", F.when(F.size("_weak") > 0, F.col("_breaks")).otherwise(F.array()))
     ).rows
-    inside = F.filter(
-        F.col("_weak"),
-        lambda w: ~F.exists(
-            F.col("strong"), lambda s: (w["start"] < s["end"]) & (s["start"] < w["end"])
-        ),
-    )
-    role = F.element_at(
-        F.array(*[F.lit(_ROLE[k]) for k in KINDS]), F.col("rank") + 1
-    )
-    parts = (
-        kept.where(F.size("_weak") > 0)
-        .select(
-            "_id",
-            "text_hash",
-            "_breaks",
-            F.inline(F.concat("strong", inside)),
-        )
-        .distinct()
-        .select(
-            "_id",
-            "text_hash",
-            "start",
-            "rank",
-            "end",
-            role.alias("_role"),
-            F.size(F.filter("_breaks", lambda b: b < F.col("start"))).alias("_scope"),
-        )
-    )
-    near = {r: _present(F.col("_role"), r) for r in ("identifier", "secret", "endpoint")}
-    linked = parts.withColumns({f"_near_{r}": c for r, c in near.items()}).where(
-        (F.col("rank") >= 3)
-        & F.when(
-            F.col("_role") == "secret", F.col("_near_identifier") | F.col("_near_endpoint")
-        ).otherwise(F.col("_near_secret"))
-    )
-    of_row = (
-        linked.groupBy("_id", "text_hash")
-        .agg(F.sort_array(F.collect_set(F.struct("start", "rank", "end"))).alias("_linked"))
-        .withColumnsRenamed({"_id": "_of", "text_hash": "_of_hash"})
+    # By row alone, so that the windows by row and kind or block need no shuffle of their own.
+    matches = (
+        kept.select("_row", F.posexplode(F.concat("_strong", "_weak", "_breaks")).alias("_at", "_m"))
+        .select("_row", "_at", "_m.*")
+        .repartition("_row")
     )
-    met = kept.join(
-        of_row,
-        F.col("_id").eqNullSafe(F.col("_of")) & (F.col("text_hash") == F.col("_of_hash")),
-        "left",
+    span = F.struct("start", "rank", "end")
+    of_row = _linked(_placed(matches)).groupBy("_row").agg(
+        *[
+            F.sort_array(F.collect_list(F.when(kind, span))).alias(name)
+            for name, kind in (("strong", F.col("rank") < _WEAK), ("weak", F.col("rank") >= _WEAK))
+        ]
     )
-    return met.select(
+    none = F.array().cast(_SPAN)
+    return kept.join(of_row, "_row", "left").select(
         F.col("_id").alias(id_column),
         "text_hash",
-        "strong",
-        F.coalesce("_linked", F.array().cast(_SPAN)).alias("weak"),
+        F.coalesce("strong", none).alias("strong"),
+        F.coalesce("weak", none).alias("weak"),
     )
 
 

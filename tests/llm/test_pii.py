@@ -212,3 +212,14 @@ def test_columns_of_any_name_and_very_long_texts(spark):
     ip = next(e.surrogate for e in whole.entities if e.kind == "ip")
     assert whole.text.endswith(f"Ende {ip}") and whole.text.count(ip) == 2
     assert whole.text.count("wörter und mehr ") == 60_000
+
+
+def test_long_runs_of_anything(spark):
+    """Runs that an unbounded pattern would try again at every character, or exhaust its stack on."""
+    runs = ["a." * 60_000, "1." * 60_000, "1 " * 60_000, "A1" * 60_000, "@" * 60_000, "a" * 120_000,
+            "x@" + "a." * 60_000, "+1" * 60_000, "Mr A" * 30_000, "1-" * 60_000]
+    docs = spark.createDataFrame([(i, r + " x@y.org") for i, r in enumerate(runs)],
+                                 "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.text for r in pii.with_surrogates(docs, "key").collect()}
+    assert all("x@y.org" not in t for t in out.values())
+    assert out[0].startswith("a." * 60_000) and out[5].startswith("a" * 120_000)

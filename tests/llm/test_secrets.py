@@ -42,13 +42,12 @@ def brute_weak(text):
     scope = lambda s: sum(b < s[0] for b in breaks)
     role = lambda s: secrets._ROLE[secrets.KINDS[s[1]]]
     wants = {"secret": {"identifier", "endpoint"}, "identifier": {"secret"}, "endpoint": {"secret"}}
-    gap = lambda a, b: max(a[0] - b[2], b[0] - a[2])
     every = strong + weak
     return sorted(
         w
         for w in weak
         if any(
-            role(o) in wants[role(w)] and scope(o) == scope(w) and gap(w, o) <= secrets.REACH
+            role(o) in wants[role(w)] and scope(o) == scope(w)
             for o in every
         )
     )
@@ -121,3 +120,25 @@ def test_far_parts_and_prefixed_names(spark):
     assert [len(found[i]) for i in range(5)] == [2, 2, 2, 0, 2]
     assert found[2] == ["db_user=anna", "DB_PWD=hunter22x"]
     assert found[4][0] == "aws_access_key_id=ASIAXYZ"
+
+
+def test_very_many_parts_in_one_text(spark):
+    """A text of 30 000 blocks, where pairs of parts, or of parts and breaks, would be too many."""
+    blocks = ["user=bob pwd=hunter22x", "user=bob", "pwd=hunter22x https://e.org/x", f"token={HEX40}"]
+    text = "\n\n".join(blocks[i % 4] for i in range(30_000))
+    docs = spark.createDataFrame([(1, text), (2, "user=a" + "\n\n" * 50_000 + "pwd=hunter22x")],
+                                 "doc_id long, text string")
+    out = {r.doc_id: r for r in secrets.secret_spans(docs).collect()}
+    weak = [text[s.start : s.end] for s in out[1].weak]
+    assert len(weak) == 7_500 * 4 and weak[:2] == ["user=bob", "pwd=hunter22x"]
+    assert len(out[1].strong) == 7_500 * 2
+    assert all(HEX40 in text[s.start : s.end] for s in out[1].strong)
+    assert (out[2].strong, out[2].weak) == ([], [])
+
+
+def test_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "client_id=app-77 pwd=hunter22x")], "doc_id long, text string")
+    for name in ("_row", "_id", "_at", "_m", "start", "rank", "end", "strong", "weak", "_scope"):
+        docs = docs.withColumn(name, docs.doc_id)
+    (row,) = secrets.secret_spans(docs).collect()
+    assert [tuple(s) for s in row.weak] == [(0, 3, 16), (17, 4, 30)]
