@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _DAY, _HOUR, _MINUTE = 86_400_000_000, 3_600_000_000, 60_000_000
-_NEVER = (1 << 63) - 1
+# Microseconds later than any time up to the year 28 000, and a step above any range of ties.
+_NEVER = 9 * 10**17
+_STEP = Decimal(10**20)
 
 
 def _microseconds(clock: Column) -> Column:
@@ -18,19 +20,20 @@ def _microseconds(clock: Column) -> Column:
         F.unix_date(clock.cast("date")).cast("long") * _DAY
         + F.hour(clock).cast("long") * _HOUR
         + F.minute(clock).cast("long") * _MINUTE
-        + (seconds * 1_000_000).cast("long")
+        # a factor of few digits, so that the product still fits a long inside
+        + (seconds * F.lit(Decimal(1_000_000))).cast("long")
     )
 
 
 def newest_order(clock: Column, tie: Column) -> Column:
     """One number that orders by time and then by tie, a missing time last.
 
-    A time and a tie of 19 digits each fill a decimal of 38, which an aggregate
+    A time of 18 digits and a tie of 20 fill a decimal of 38, which an aggregate
     keeps in place; a struct would make it sort before and after the shuffle.
-    Ties must not be negative.
+    Any long is a tie, negative ones too.
     """
-    at = F.coalesce(_microseconds(clock), F.lit(_NEVER)).cast("decimal(19,0)")
-    return (at * F.lit(Decimal(10**19)) + tie.cast("decimal(19,0)")).cast(
+    at = F.coalesce(F.least(_microseconds(clock), F.lit(_NEVER - 1)), F.lit(_NEVER))
+    return (at.cast("decimal(18,0)") * F.lit(_STEP) + tie.cast("decimal(19,0)")).cast(
         "decimal(38,0)"
     )
 

@@ -92,6 +92,24 @@ def test_latest_reduces_before_the_shuffle(spark, hot):
     assert "SortAggregate" not in text and "Sort " not in text
 
 
+def test_newest_row_of_any_times_and_ids(spark):
+    """Against a sort in Python: missing, equal and far times, negative and greatest ids."""
+    import datetime
+    import itertools
+
+    far = 2**63 - 1
+    times = [None, datetime.datetime(1, 1, 1), datetime.datetime(1969, 12, 31, 23, 59, 59, 999999),
+             datetime.datetime(2026, 3, 29, 2, 30), datetime.datetime(2026, 3, 29, 2, 30, 0, 1),
+             datetime.datetime(9999, 12, 31, 23, 59, 59, 999999)]
+    ids = [-far - 1, -5, 0, 7, far]
+    keyed = list(enumerate(itertools.combinations(itertools.product(times, ids), 2)))
+    rows = [(k, t, i, f"{t} {i}") for k, pair in keyed for t, i in pair]
+    frame = spark.createDataFrame(rows, "k long, at timestamp_ntz, id long, v string")
+    found = {r.k: r.v for r in latest_by(frame, "k", "at", "id", "v").collect()}
+    newest = lambda pair: max(pair, key=lambda p: (p[0] is None, p[0] or times[1], p[1]))
+    assert found == {k: "{} {}".format(*newest(pair)) for k, pair in keyed}
+
+
 def test_all_dates_read_purchases_once(mapped):
     from dealmargin.plans import all_dates
 
