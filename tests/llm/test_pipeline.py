@@ -6,6 +6,7 @@ from array import array
 from collections import defaultdict
 
 import public_tokenizers
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -54,3 +55,59 @@ def test_run_gives_the_last_stage(spark):
     assert corpus_pipeline.run(spark, SMALL).columns == [
         "doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"
     ]
+
+
+CLASHING = ("n_lines", "n_dropped", "_own", "_id", "_hash", "_row", "_text", "_pair", "_maybe",
+            "_gone", "_block", "_w0", "text_hash", "component_id", "kept", "surprise", "items", "n_hit")
+
+
+def odd_documents(spark):
+    """Rows of the table, and NULLs in every column, empty and repeated texts and ids, a long text."""
+    table = spark.read.parquet(f"{SMALL}/documents.parquet")
+    some = table.limit(60).collect()
+    prose = max((r.text for r in some if r.lang == "en"), key=len)
+    odd = [(None, None, None, None, None), (9001, None, "en", "x", 0), (9002, "", None, "x", 0),
+           (9003, prose, "en", None, 1), (9003, prose, "en", None, 1), (None, prose, "en", "x", 1),
+           (9004, " \n\n ", "en", "x", 5), (9005, (prose + "\n") * 40, "en", "x", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kinds = {f.name: f.dataType for f in table.schema.fields}
+    rows = spark.createDataFrame(odd, schema).select(*[F.col(c).cast(kinds[c]) for c in table.columns])
+    docs = table.unionByName(rows)
+    for name in CLASHING:
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("?"))))
+    return docs
+
+
+def test_stages_keep_columns_and_bear_odd_rows(spark, tmp_path):
+    docs = odd_documents(spark)
+    for number, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        before = docs.collect()
+        stage(spark, docs, SMALL).write.parquet(str(tmp_path / name))
+        found = spark.read.parquet(str(tmp_path / name))
+        if number == 4:
+            assert {r.doc_id for r in found.collect()} == {r.doc_id for r in before}
+            break
+        assert found.columns == docs.columns
+        after = found.collect()
+        own = {r.doc_id for r in before}
+        assert {r.doc_id for r in after} <= own
+        for r in after:
+            assert all(r[c] == f"{c}{'?' if r.doc_id is None else r.doc_id}" for c in CLASHING)
+        ids = [r.doc_id for r in after]
+        if number == 0:
+            assert not {9001, 9002, 9004} & set(ids)
+        if number == 1:
+            assert len(after) == len(before) and None not in [r.text for r in after]
+        docs = found
+
+
+def test_stages_of_no_rows_and_of_texts_alone(spark):
+    """An empty table, and one whose rows have nothing to be judged by, through each stage alone."""
+    docs = odd_documents(spark)
+    blank = docs.where("doc_id IN (9001, 9002, 9004) OR doc_id IS NULL AND text IS NULL")
+    for number, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        nothing = stage(spark, docs.limit(0), SMALL)
+        assert nothing.collect() == [] and (number == 4 or nothing.columns == docs.columns)
+        left = stage(spark, blank, SMALL).collect()
+        expected = [0, 4, 1, 4, 4][number]
+        assert len(left) == expected, number
