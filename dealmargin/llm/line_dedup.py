@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dealmargin.llm import bloom
-from dealmargin.llm.columns import BLANKS, ascii_lower, enclosed, text_or_empty, without
+from dealmargin.llm.columns import BLANKS, ascii_lower, enclosed, let, text_or_empty, without
 from dealmargin.operators.joins import settle, spread_join
 
 MIN_LENGTH = 20
@@ -35,13 +35,15 @@ def kept_lines(lines: Column, dropped: Column) -> Column:
     Slices between neighbouring dropped positions, so the work is linear.
     """
     ends = F.concat(F.array(F.lit(-1)), dropped, F.array(F.size(lines)))
-    gaps = F.transform(
-        F.sequence(F.lit(1), F.size(ends) - 1),
-        lambda i: F.slice(
-            lines, F.get(ends, i - 1) + 2, F.get(ends, i) - F.get(ends, i - 1) - 1
-        ),
-    )
-    return F.when(F.size(dropped) == 0, lines).otherwise(F.flatten(gaps))
+
+    def between(e: Column) -> Column:
+        gaps = F.transform(
+            F.sequence(F.lit(1), F.size(e) - 1),
+            lambda i: F.slice(lines, F.get(e, i - 1) + 2, F.get(e, i) - F.get(e, i - 1) - 1),
+        )
+        return F.flatten(gaps)
+
+    return F.when(F.size(dropped) == 0, lines).otherwise(let(ends, between))
 
 
 def drop_shared_lines(
@@ -116,12 +118,12 @@ def drop_shared_lines(
     met = probed.where(~F.col("_maybe")).select("_own", "_text", nothing.alias("_dropped")).union(
         losing.select("_own", "_text", F.coalesce("_lost", nothing))
     )
-    lines_of = split_lines(F.col("_text"))
     kept = F.when(F.size("_dropped") == 0, text_or_empty(F.col("_text"))).otherwise(
-        F.array_join(kept_lines(lines_of, F.col("_dropped")), "\n")
+        F.array_join(kept_lines(F.col("_lines"), F.col("_dropped")), "\n")
     )
-    return met.select(
+    # A column of its own: within the lambda of kept_lines a text would be split again and again.
+    return met.withColumn("_lines", split_lines(F.col("_text"))).select(
         *[kept.alias(c) if c == text_column else F.col("_own")[c].alias(c) for c in docs.columns],
-        F.size(lines_of).cast("long").alias("n_lines"),
+        F.size("_lines").cast("long").alias("n_lines"),
         F.size("_dropped").cast("long").alias("n_dropped"),
     )

@@ -256,3 +256,11 @@ def test_very_long_texts(spark):
     out = {r.doc_id: r for r in line_dedup.drop_shared_lines(docs, min_documents=3).collect()}
     assert (out[1].n_lines, out[1].n_dropped, out[3].n_dropped) == (100_001, 1, 0)
     assert out[1].text == body[len(line) + 1 :] and out[2].text == ""
+
+
+def test_a_document_that_loses_very_many_lines(spark):
+    """Linear in the lines lost; neither the lines nor the gaps are formed again for each."""
+    body = "\n".join(f"a shared line of number {i}" for i in range(30_000))
+    docs = spark.createDataFrame([(i, body) for i in range(3)], "doc_id long, text string")
+    out = {r.doc_id: r for r in line_dedup.drop_shared_lines(docs).collect()}
+    assert [(out[i].n_dropped, out[i].text) for i in range(3)] == [(30_000, ""), (30_000, ""), (0, body)]
