@@ -590,11 +590,9 @@ def pnl_main(tables: Tables, date: datetime.date) -> DataFrame:
     terms = contract_terms(
         terms_of(tables["approval_approval_contract"], scope.ids), scope.ids
     )
-    if not scope.headers.few:
-        return with_terms(core, terms)
-    # Free text has no bound, so the hinted side holds ids and costs; the texts stay where they are.
-    kept = settle(terms)
-    return core.join(kept.hinted(), "id") if kept.small else with_terms(core, kept.rows)
+    # No hint: a contract's terms have no bound, nor has its free text. Few rows are shuffled
+    # sooner than a job of their own would settle and count them.
+    return with_terms(core, terms)
 
 
 def contract_pnl(tables: Tables, date: datetime.date | str) -> DataFrame:
