@@ -6,19 +6,23 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from dealmargin.session import scratch_dir
 
 # A broadcast side of this many narrow rows stays within some tens of MB.
 BROADCAST_ROWS = 500_000
+# Bytes of text that such a side may hold besides.
+BROADCAST_TEXT = 32_000_000
 _SPREAD = 1024
 
 
 class Settled(NamedTuple):
-    """Rows kept in the checkpoint folder, and how many they are."""
+    """Rows kept in the checkpoint folder, how many they are, and the bytes of their texts."""
 
     rows: DataFrame
     count: int
+    text: int = 0
 
     @property
     def small(self) -> bool:
@@ -29,6 +33,11 @@ class Settled(NamedTuple):
         """Whether rows of some hundred bytes, one for each of these, may be broadcast too."""
         return self.count <= BROADCAST_ROWS // 5
 
+    @property
+    def light(self) -> bool:
+        """Whether the rows may be broadcast with their texts."""
+        return self.small and self.text <= BROADCAST_TEXT
+
     def hinted(self, *columns: str) -> DataFrame:
         """The rows, or some columns of them, with a broadcast hint if their count allows."""
         rows = self.rows.select(*columns) if columns else self.rows
@@ -36,7 +45,7 @@ class Settled(NamedTuple):
 
 
 def settle(rows: DataFrame) -> Settled:
-    """Compute a selection once and count it on the way.
+    """Compute a selection once and count it and its texts' bytes on the way.
 
     For a selection that several joins need: the plan after it stays short, its
     facts are scanned once, and a lost executor costs no recomputation.
@@ -45,8 +54,14 @@ def settle(rows: DataFrame) -> Settled:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(scratch_dir(rows.sparkSession))
     seen = Observation()
-    kept = rows.observe(seen, F.count(F.lit(1)).alias("n")).checkpoint()
-    return Settled(kept, seen.get["n"])
+    texts = [f.name for f in rows.schema if isinstance(f.dataType, StringType)]
+    lengths = [F.coalesce(F.octet_length(name), F.lit(0)).cast("long") for name in texts]
+    kept = rows.observe(
+        seen,
+        F.count(F.lit(1)).alias("n"),
+        F.sum(sum(lengths, F.lit(0).cast("long"))).alias("text"),
+    ).checkpoint()
+    return Settled(kept, seen.get["n"], seen.get["text"] or 0)
 
 
 def spread_join(

@@ -39,11 +39,17 @@ def dues_of(by_date: DataFrame) -> DataFrame:
     )
 
 
-def opportunities_by_date(by_date: DataFrame, headers: DataFrame) -> DataFrame:
+def dated_opportunities(by_date: DataFrame, headers: DataFrame) -> DataFrame:
+    """What remains to be paid per contract and payment date, with the contract's opportunity."""
+    chosen = headers.where(F.col("id").isNotNull()).select("id", "opportunity_id")
+    # The shuffle that the join needs, told beforehand: else the aggregate makes one more.
+    return dues_of(by_date).join(chosen.repartition("id").distinct(), "id")
+
+
+def opportunities_by_date(dues: DataFrame) -> DataFrame:
     """The opportunities whose contracts have a purchase on each payment date."""
-    dates = by_date.where(F.col("date_payment").isNotNull()).select("id", "date_payment")
-    chosen = headers.where(F.col("opportunity_id").isNotNull()).select("id", "opportunity_id")
-    return dates.join(chosen, "id").select("date_payment", "opportunity_id").distinct()
+    chosen = dues.where(F.col("opportunity_id").isNotNull())
+    return chosen.select("date_payment", "opportunity_id").distinct()
 
 
 def amounts_by_date(tables: Tables, prices: one.Settled, dated: DataFrame) -> DataFrame:
@@ -76,8 +82,20 @@ def dated_contracts(tables: Tables, by_date: DataFrame | None = None) -> DataFra
 
     by_date are sums of the purchases kept by PurchaseSums, which save reading them.
     """
+    return one.with_profit(one.with_main_columns(_dated_core(tables, by_date)))
+
+
+def _dated_core(tables: Tables, by_date: DataFrame | None) -> DataFrame:
+    """Each contract on each of its payment dates, with the sums its columns are made of.
+
+    Contracts are shuffled by their id alone. What depends on the date finds its
+    opportunity's amounts in narrow rows and meets the contracts' texts and sums last.
+    """
     prices = one.settled_prices(tables)
-    headers = one.contract_headers(tables)
+    people = settle(one.appliers(tables))
+    headers = one.contract_headers(
+        tables, people=F.broadcast(people.rows) if people.light else people.rows
+    )
     so_amounts = one.sale_order_amounts(
         tables["sale_order_line"], one.contract_sale_orders(tables["sale_order"]), prices
     )
@@ -87,21 +105,32 @@ def dated_contracts(tables: Tables, by_date: DataFrame | None = None) -> DataFra
         headers.join(totals_of(by_date), "id")
         .join(one.sale_sums(tables["revenue_sale"]), "id", "left")
         .join(so_amounts, "id", "left")
-        .join(dues_of(by_date), "id")
     )
-    dated = settle(opportunities_by_date(by_date, headers)).rows
+    dues = dated_opportunities(by_date, headers)
+    dated = settle(opportunities_by_date(dues)).rows
     amounts = amounts_by_date(tables, prices, dated)
     keys = ["date_payment", "opportunity_id"]
-    core = spread_join(per_contract, amounts, keys, "left", F.col("id"))
-    return one.with_profit(one.with_main_columns(core))
+    costs = spread_join(dues, amounts, keys, "left", F.col("id")).withColumnsRenamed(
+        {"id": "_id", "opportunity_id": "_opportunity"}
+    )
+    # Only contracts whose id repeats differ in their opportunity; as no key of the join it
+    # needs no shuffle of its own.
+    own, other = F.col("opportunity_id"), F.col("_opportunity")
+    same = F.coalesce(own == other, own.isNull() & other.isNull())
+    core = per_contract.join(costs, (F.col("id") == F.col("_id")) & same)
+    return core.drop("_id", "_opportunity")
 
 
 def contract_pnl_all_dates(tables: Tables, by_date: DataFrame | None = None) -> DataFrame:
     """The rows of contract_pnl for every payment date, with that date in front."""
     contracts = tables["approval_approval"].select("id")
     terms = one.contract_terms(tables["approval_approval_contract"], contracts)
-    dated = dated_contracts(tables, by_date)
-    return one.with_terms(dated, terms).select("date_payment", *one.PNL_COLUMNS)
+    # Terms repeat the sums, not the columns derived from them, which would be shuffled as well.
+    core = _dated_core(tables, by_date)
+    whole = one.with_profit(
+        one.with_main_columns(one.with_terms(core, terms), one.money_scale(core))
+    )
+    return whole.select("date_payment", *one.PNL_COLUMNS)
 
 
 _ADDITIVE = (

@@ -94,16 +94,28 @@ def payment_contracts(purchases: DataFrame, date: datetime.date) -> DataFrame:
     )
 
 
-def contract_headers(tables: Tables, ids: DataFrame | None = None) -> DataFrame:
-    """One row per wanted contract whose applier and the applier's team both exist."""
+def appliers(tables: Tables) -> DataFrame:
+    """People with their team, where it exists."""
     team = tables["approval_subdepartment"].select(
         F.col("id").alias("subdepartment_id"), F.col("name").alias("team")
     )
-    people = (
+    return (
         tables["hr_employee"]
         .join(team, "subdepartment_id")
         .select(F.col("id").alias("applier"), F.col("name").alias("user"), "team")
     )
+
+
+def contract_headers(
+    tables: Tables, ids: DataFrame | None = None, people: DataFrame | None = None
+) -> DataFrame:
+    """One row per wanted contract whose applier and the applier's team both exist.
+
+    people are the appliers, where a caller has them with a hint: few people apply
+    for very many contracts, which had better not be shuffled by their applier.
+    """
+    if people is None:
+        people = appliers(tables)
     contracts = tables["approval_approval"]
     if ids is not None:
         contracts = contracts.join(ids, "id", "left_semi")
@@ -459,9 +471,12 @@ def product_value2(scale: int = 0) -> Column:
     )
 
 
-def with_main_columns(core: DataFrame) -> DataFrame:
-    """The columns up to sum_po_account, from contracts joined with their sums."""
-    scale = money_scale(core)
+def with_main_columns(core: DataFrame, scale: int | None = None) -> DataFrame:
+    """The columns up to sum_po_account, from contracts joined with their sums.
+
+    scale is that of the sums, to be told where core holds other amounts too.
+    """
+    scale = money_scale(core) if scale is None else scale
     main = {
         "occurred_sale": won("total_sale", scale),
         "uncollected_sale": won("sale_remain", scale),

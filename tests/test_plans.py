@@ -14,7 +14,10 @@ from dealmargin.operators.joins import settle, spread_join
 from dealmargin.operators.latest import latest_by
 from dealmargin.plans import all_dates
 from dealmargin.plans import contract_pnl as pnl
-from tests.conftest import SMALL
+from dealmargin.plans import snapshot
+from dealmargin.sources import tpch_mapping
+from dealmargin.sources.schemas import SNAPSHOT
+from tests.conftest import SMALL, rows_of
 
 DATE = datetime.date(1995, 12, 29)
 
@@ -162,3 +165,95 @@ def test_plans_stay_on_the_jvm_without_cross_joins(spark, name):
     text = plan_text(entry_point.queries()[name](spark, SMALL))
     for unwanted in ("Python", "Pandas", "Cartesian", "NestedLoop", "CollectLimit"):
         assert unwanted not in text
+
+
+def exchanges(df):
+    """The shuffles of a plan: how each deals out, and the columns that pass it."""
+    text = df._sc._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "formatted")
+    found = re.findall(r"\(\d+\) Exchange\nInput \[\d+\]: \[(.*)\]\nArguments: (.*)", text)
+    return [(dealt, re.findall(r"(\w+)#", columns)) for columns, dealt in found]
+
+
+def write_lineitem(spark, folder, rows):
+    kinds = (
+        "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+        "l_extendedprice double, l_returnflag string, l_shipdate timestamp_ntz"
+    )
+    spark.createDataFrame(rows, kinds).write.parquet(f"{folder}/lineitem.parquet")
+
+
+def test_lines_need_no_sort_and_add_up_exactly(spark, tmp_path):
+    at = datetime.datetime(1996, 3, 1, 5)
+    write_lineitem(
+        spark,
+        tmp_path,
+        [
+            (1, 7, 3, 1, 2.5, 10.25, "R", at),
+            (1, 6, 4, 1, 3.0, 20.25, "N", at + datetime.timedelta(days=1)),
+            (1, 6, 4, 1, None, None, None, None),
+            (1, 5, 5, 2, 1.49, -0.5, None, None),
+            (2, 5, 5, 1, None, None, "R", at),
+            (3, 5, 5, 1, 1.0, 0.49, "N", at),
+            (3, 5, 5, 1, 1.0, 0.01, "A", at),
+            (4, 5, 5, 1, 1.0, 1.0, "B", at),
+            (4, 5, 5, 1, 1.0, 1.0, "N", at),
+        ],
+    )
+    lines = tpch_mapping._lines(tpch_mapping.MappedTables(spark, str(tmp_path)))
+    found = {(r.l_orderkey, r.l_linenumber): r for r in lines.collect()}
+    assert len(found) == 5
+    shown = {
+        key: (r.partkey, r.suppkey, r.shipdate and r.shipdate.day, r.flag, r.qty, r.price, r.id)
+        for key, r in found.items()
+    }
+    assert shown[1, 1] == (6, 3, 1, "N", 6, 31, 11)
+    assert shown[1, 2] == (5, 5, None, None, 1, -1, 12)
+    assert shown[2, 1] == (5, 5, 1, "R", None, None, 21)
+    assert shown[3, 1] == (5, 5, 1, "A", 2, 1, 31)
+    assert shown[4, 1][3] not in ("A", "N", "R", None)  # the least is B, which no table asks for
+    text = plan_text(lines)
+    assert "SortAggregate" not in text and "Sort " not in text
+
+
+def test_all_dates_shuffle_texts_by_contract_only(spark, mapped, no_broadcast, monkeypatch):
+    """Not by applier, of whom there are few, and not by date, which would repeat the texts."""
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", 500_000)
+    dealt = [d for d, columns in exchanges(all_dates.contract_pnl_all_dates(mapped))
+             if "doc_name" in columns]
+    assert dealt and all(re.match(r"hashpartitioning\(id#", d) for d in dealt)
+    dealt = [d for d, columns in exchanges(all_dates.contract_pnl_all_dates(mapped))
+             if "profit_rate" in columns or "total_cost" in columns]
+    assert not dealt
+
+
+def test_long_names_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(joins, "BROADCAST_TEXT", 10)
+    names = spark.createDataFrame([(1, "seven b"), (2, None), (3, "四")], "id long, name string")
+    kept = settle(names)
+    assert (kept.text, kept.light) == (10, True)
+    longer = settle(names.unionByName(names.limit(1)))
+    assert (longer.small, longer.light) == (True, False)
+
+
+def test_repeated_contracts_on_all_dates(erp):
+    """Rows of one id with several opportunities, or none, meet their own amounts."""
+    again = [
+        (1, "D-1", "n1", 1, "complete", 1, None, 1100000, True, "x", 10),
+        (1, "D-1b", "other", 1, "complete", 1, None, 7, True, "x", 11),
+        (1, "D-1c", "none", 1, "complete", 1, None, 9, True, "x", None),
+        (None, "D-0", "no id", 1, "complete", 1, None, 9, True, "x", 10),
+    ]
+    tables = erp(extend={"approval_approval": again})
+    date = datetime.date(2026, 7, 10)
+    names = ["doc_id", "doc_name", "sum_remain", "total_qty_delivered_amount", "profit"]
+    dated = all_dates.dated_contracts(tables).where(F.col("date_payment") == F.lit(date))
+    whole = pnl.with_profit(pnl.pnl_core(pnl.payment_scope(tables, date), tables, date))
+    assert rows_of(dated.select(names)) == rows_of(whole.select(names))
+    assert dated.where("id = 1").count() == 4
+
+
+def test_compared_states_take_four_numbers_a_contract(spark):
+    rows = spark.createDataFrame([], SNAPSHOT)
+    changes = snapshot.snapshot_changes(rows, rows)
+    own = [columns for _, columns in exchanges(changes)]
+    assert [len(columns) for columns in own] == [6]
